@@ -15,6 +15,9 @@ from .common import Words, chunks, fresh, join_side, lists, materialize, mix64,
 THRESHOLD = 0.9
 #: Words are counted in so many hash buckets; a word's rarity is its bucket's count.
 BUCKETS = 1 << 18
+#: So many words of their prefixes two sets must share to be verified: each costs a line one word more of prefix, and
+#: keeps away the lines that happen to share a rare word.
+SHARED = 3
 _MIN_ID = -(1 << 63)
 
 
@@ -67,8 +70,8 @@ def fuzzy_size(t: float) -> int:
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
-    """Two sets as similar as ``t`` share one of the first so many words of either."""
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+    """Two sets as similar as ``t`` share at least SHARED of their first so many words."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + SHARED
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +103,7 @@ def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: st
 
 
 def words_of_lines(docs: DataFrame, need: DataFrame, rank, id_col: str, text_col: str) -> DataFrame:
-    """(d, rh, l, words): the sets of the lines in ``need`` (d, rh, ls)."""
+    """(d, rh, l, words): the sets of the lines in ``need`` (d, rh, ls); repeated rows give them repeatedly."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +121,7 @@ def words_of_lines(docs: DataFrame, need: DataFrame, rank, id_col: str, text_col
                 yield pa.record_batch([part.column("d").take(rows), part.column("rh").take(rows), pa.array((line[at] - start[doc]).astype(np.int32)), lists(words[mine].view(np.int64), n[at])], names=["d", "rh", "l", "words"])
 
     docs = _keyed(docs, id_col, text_col).join(join_side(need), ["d", "rh"])
-    return docs.select("d", "rh", "t", "ls").mapInArrow(each, "d bigint, rh bigint, l int, words array<bigint>").dropDuplicates(["d", "rh", "l"])
+    return docs.select("d", "rh", "t", "ls").mapInArrow(each, "d bigint, rh bigint, l int, words array<bigint>")
 
 
 def later_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,13 +141,14 @@ def later_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     post = lines.filter(F.size("prefix") > 0).select("d", "rh", "l", "n", F.posexplode("prefix").alias("i", "w"))
     a, b = post.alias("a"), post.alias("b")
     alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    # with the pair's words at places i and j, the sets share no more than min(i, j) before, one, and the shorter rest
     near = (
         (F.col("a.w") == F.col("b.w"))
         & (F.struct("a.d", "a.rh", "a.l") < F.struct("b.d", "b.rh", "b.l"))
         & (F.least("a.n", "b.n") >= F.lit(t) * F.greatest("a.n", "b.n") - 1e-9)
-        & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= alpha)
+        & (F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= alpha)
     )
-    pairs = materialize(a.join(b, near).select(*[F.col(f"a.{c}").alias(f"{c}1") for c in ("d", "rh", "l", "n")], *[F.col(f"b.{c}").alias(f"{c}2") for c in ("d", "rh", "l", "n")]).distinct())
+    pairs = materialize(a.join(b, near).select(*[F.col(f"a.{c}").alias(f"{c}1") for c in ("d", "rh", "l", "n")], *[F.col(f"b.{c}").alias(f"{c}2") for c in ("d", "rh", "l", "n")]).groupBy(*[f"{c}{k}" for k in (1, 2) for c in ("d", "rh", "l", "n")]).agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).drop("shared"))
     ends = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("d", "rh", "l")]) for k in (1, 2)])).alias("x")).select("x.*")
     need = ends.groupBy("d", "rh").agg(F.collect_set("l").alias("ls"))
     words = materialize(words_of_lines(docs, need, rank, id_col, text_col))
