@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, line_dedup, mixing, quality_rules, sentencepiece, simhash, suffix_dedup, url_filter
+from . import embedding_dedup, html_extract, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece, simhash, suffix_dedup, url_filter
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op3_quality_rules, op4_html_extraction, op5_suffix_dedup, op6_line_dedup, op7_url_filter, op8_simhash, op9_embedding_dedup, op10_sentencepiece)
+    found = (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_suffix_dedup, op6_line_dedup, op7_url_filter, op8_simhash, op9_embedding_dedup, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 

@@ -20,6 +20,7 @@ from .common import fresh, materialize, q
 
 #: Rules as (pattern, action); the most specific one that a URL is under decides.
 RULES = (
+    ("example.com", "allow"), ("example.net", "allow"), ("example.org", "allow"),
     ("spam-farm.example.org", "block"), ("spam-farm.example.org/en", "block"), ("spam-farm.example.org/en/1", "allow"),
     ("cheap-pills.example.com", "block"), ("cheap-pills.example.net", "block"), ("cheap-pills.example.net/de", "allow"), ("cheap-pills.example.net/de/4", "block"),
     ("casino-win.example.net", "block"), ("casino-win.example.com", "block"), ("casino-win.example.org", "block"),
