@@ -15,9 +15,6 @@ from .common import Words, chunks, fresh, join_side, lists, materialize, mix64,
 THRESHOLD = 0.9
 #: Words are counted in so many hash buckets; a word's rarity is its bucket's count.
 BUCKETS = 1 << 18
-#: So many words of their prefixes two sets must share to be verified: each costs a line one word more of prefix, and
-#: keeps away the lines that happen to share a rare word.
-SHARED = 3
 _MIN_ID = -(1 << 63)
 
 
@@ -70,8 +67,8 @@ def fuzzy_size(t: float) -> int:
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
-    """Two sets as similar as ``t`` share at least SHARED of their first so many words."""
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + SHARED
+    """Two sets as similar as ``t`` share one of the first so many words of either."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,7 +76,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(d, rh, l, n, s1, s2, prefix): a row for each line with a word; s1, s2: a 128-bit hash of its set of words."""
+    """(d, rh, l, n, s1, s2, bits, prefix): a row for each line with a word; s1, s2: a 128-bit hash of its set of words;
+    bits: the parity of the number of its words that fall on each of 64 places."""
     least = fuzzy_size(threshold)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +89,16 @@ def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: st
                     continue
                 n = np.diff(np.append(first, len(words)))
                 s1, s2 = np.add.reduceat(words, first), np.add.reduceat(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), first)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), first)
                 p = np.where(n >= least, prefix_length(n, threshold), 0)
                 offset = np.arange(len(words)) - np.repeat(first, n)
                 taken = words[offset < np.repeat(p, n)]
                 start = _line_of(w)[1]
                 doc = np.searchsorted(start, line, "right") - 1
                 rows = pa.array(doc)
-                yield pa.record_batch([part.column("d").take(rows), part.column("rh").take(rows), pa.array((line - start[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), signed(s1), signed(s2), lists(taken.view(np.int64), p)], names=["d", "rh", "l", "n", "s1", "s2", "prefix"])
+                yield pa.record_batch([part.column("d").take(rows), part.column("rh").take(rows), pa.array((line - start[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), signed(s1), signed(s2), signed(bits), lists(taken.view(np.int64), p)], names=["d", "rh", "l", "n", "s1", "s2", "bits", "prefix"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(each, "d bigint, rh bigint, l int, n int, s1 bigint, s2 bigint, prefix array<bigint>")
+    return _keyed(docs, id_col, text_col).mapInArrow(each, "d bigint, rh bigint, l int, n int, s1 bigint, s2 bigint, bits bigint, prefix array<bigint>")
 
 
 def words_of_lines(docs: DataFrame, need: DataFrame, rank, id_col: str, text_col: str) -> DataFrame:
@@ -129,26 +128,28 @@ def later_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
     Lines are ordered by id, text hash and number; a line goes if any earlier line, itself removed or not, has a
     Jaccard similarity of ``threshold`` at least to it.  Equal sets are grouped by hash; of each group the first goes
-    on to the join of sets that differ: the prefixes' words meet in one shuffle, pairs pass length and positional
-    filters, and what is left is verified on the whole sets.
+    on to the join of sets that differ: the prefixes' words meet in one shuffle, pairs pass the length, positional
+    and parity filters (none of which loses a pair), and what is left is verified on the whole sets.
     """
     spark, t = docs.sparkSession, threshold
     rank = spark.sparkContext.broadcast(word_ranks(docs, text_col))
     sets = line_sets(docs, rank, t, id_col, text_col)
     nth = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))
     # a repeated row's lines have the same key and are one line
-    lines = materialize(sets.withColumn("nth", nth).withColumn("at", F.struct("d", "rh", "l")).withColumn("one", F.first("at").over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))).select("d", "rh", "l", "n", (F.col("at") != F.col("one")).alias("equal"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix")))
-    post = lines.filter(F.size("prefix") > 0).select("d", "rh", "l", "n", F.posexplode("prefix").alias("i", "w"))
+    lines = materialize(sets.withColumn("nth", nth).withColumn("at", F.struct("d", "rh", "l")).withColumn("one", F.first("at").over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))).select("d", "rh", "l", "n", "bits", (F.col("at") != F.col("one")).alias("equal"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix")))
+    post = lines.filter(F.size("prefix") > 0).select("d", "rh", "l", "n", "bits", F.posexplode("prefix").alias("i", "w"))
     a, b = post.alias("a"), post.alias("b")
     alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    # with the pair's words at places i and j, the sets share no more than min(i, j) before, one, and the shorter rest
     near = (
         (F.col("a.w") == F.col("b.w"))
         & (F.struct("a.d", "a.rh", "a.l") < F.struct("b.d", "b.rh", "b.l"))
         & (F.least("a.n", "b.n") >= F.lit(t) * F.greatest("a.n", "b.n") - 1e-9)
-        & (F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= alpha)
+        # the pair's first shared word stands at places i and j: they share it and the shorter rest at most
+        & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= alpha)
+        # each bit in which the parities differ is a word, at least, that only one of the sets has
+        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= F.col("a.n") + F.col("b.n") - 2 * alpha)
     )
-    pairs = materialize(a.join(b, near).select(*[F.col(f"a.{c}").alias(f"{c}1") for c in ("d", "rh", "l", "n")], *[F.col(f"b.{c}").alias(f"{c}2") for c in ("d", "rh", "l", "n")]).groupBy(*[f"{c}{k}" for k in (1, 2) for c in ("d", "rh", "l", "n")]).agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).drop("shared"))
+    pairs = materialize(a.join(b, near).select(*[F.col(f"a.{c}").alias(f"{c}1") for c in ("d", "rh", "l", "n")], *[F.col(f"b.{c}").alias(f"{c}2") for c in ("d", "rh", "l", "n")]).distinct())
     ends = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("d", "rh", "l")]) for k in (1, 2)])).alias("x")).select("x.*")
     need = ends.groupBy("d", "rh").agg(F.collect_set("l").alias("ls"))
     words = materialize(words_of_lines(docs, need, rank, id_col, text_col))
