@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphemica.llm import line_dedup, mixing, quality_rules, simhash
+from graphemica.llm import line_dedup, mixing, quality_rules, sentencepiece, simhash
 from graphemica.llm.common import materialize, table
 from graphemica.plans.session import ship
 
@@ -27,7 +27,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentencepiece.encode(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture), ("sentencepiece", tokens)]
 
 #: SimHash groups and sampled segmentations have no SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None

@@ -29,6 +29,8 @@ SAMPLES, SEED = 2, 23
 CHUNK = 1 << 20
 _BYTES = 1 << 16  # a token from here on is the code point of an unknown character
 _MASK = (1 << 20) - 1
+#: Units whose lattices a worker keeps from its first batches on. It changes no result.
+KEPT_UNITS = 30_000
 _STRAIGHT = 40  # characters over which probabilities multiply without vanishing; logarithms beyond
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,6 +45,7 @@ class Vocabulary:
         self.log_prob[list(log_prob)] = list(log_prob.values())
         self.log_prob[_BYTES:] = byte_log_prob * (1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF))
         self.chance = np.exp(self.log_prob)
+        self.kept, self.pending, self.kept_net, self.full = {}, {}, None, False  # see Nets
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in pieces if len(p) == 1]] = True
         known = sorted({c for p in pieces for c in p} - {" "})
@@ -204,6 +207,8 @@ class Lattices:
         """(token, characters before it, its share) of the arcs that end after t characters of a unit."""
         found = self.known.get((rank, t))
         if found is None:
+            if len(self.known) > 20_000:
+                self.known.clear()
             node = int(self.off[t]) + rank
             upto, arc = self.upto[node].tolist(), self.arc[node].tolist()
             found = self.known[rank, t] = [(arc[k], t - k - 1, upto[k] - (upto[k - 1] if k else 0.0)) for k in range(min(t, self.wide)) if arc[k] >= 0]
@@ -226,7 +231,7 @@ class Lattices:
         while t:
             found = [(token, before, p, [w[:-1] for w in without if w[-1] == token]) for token, before, p in self.arcs(rank, t)]
             share = [p * self.mass(rank, before, rest) for _, before, p, rest in found]
-            u = float(uniform(np.array([key], np.uint64), step)[0]) * sum(share)
+            u = uniform_of(key, step) * sum(share)
             i = 0
             while i < len(share) - 1 and (u >= share[i] or share[i] == 0.0):
                 u -= share[i]
@@ -240,6 +245,40 @@ class Lattices:
         return tuple(tokens[::-1]), log_prob
 
 
+class Nets:
+    """The lattices of a batch's units: of those that an earlier batch of this worker has had, they are kept."""
+
+    def __init__(self, v: Vocabulary, names: list[str]):
+        if len(v.kept) < KEPT_UNITS and not v.full:
+            v.pending.update(dict.fromkeys(names))
+        at = np.array([v.kept.get(n, -1) for n in names], np.int64)
+        self.new = np.flatnonzero(at < 0)
+        self.old_net, self.net = v.kept_net, Lattices(v, [names[i] for i in self.new])
+        self.at = at
+        self.at[self.new] = np.arange(len(self.new))
+        self.is_new = np.zeros(len(names), bool)
+        self.is_new[self.new] = True
+        if not v.full and len(v.pending) >= KEPT_UNITS:
+            units = list(v.pending)
+            v.kept_net, v.kept, v.pending, v.full = Lattices(v, units), {u: i for i, u in enumerate(units)}, {}, True
+        self.single = np.ones(len(names), bool)
+        self.single[self.new] = self.net.single
+        if self.old_net is not None:
+            self.single[~self.is_new] = self.old_net.single[at[~self.is_new]]
+
+    def of(self, unit: int) -> tuple[Lattices, int]:
+        return (self.net if self.is_new[unit] else self.old_net), int(self.at[unit])
+
+    def sample(self, unit: np.ndarray, key: np.ndarray, store) -> np.ndarray:
+        """Segmentations of the units, each handed to ``store``; what it returns for them."""
+        out = np.empty(len(unit), np.int64)
+        new = self.is_new[unit]
+        for net, mine in ((self.net, np.flatnonzero(new)), (self.old_net, np.flatnonzero(~new))):
+            if len(mine):
+                out[mine] = store(*net.sample(self.at[unit[mine]], key[mine]))
+        return out
+
+
 def uniform(key: np.ndarray, step: int) -> np.ndarray:
     """In (0, 1), by key and step."""
     with np.errstate(over="ignore"):
@@ -247,6 +286,14 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def uniform_of(key: int, step: int) -> float:
+    """``uniform`` of one key."""
+    x, full = (key + (step + 1) * 0xD1B54A32D192ED03) & (2**64 - 1), 2**64 - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+    return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
+
+
 def keys(row: np.ndarray, sample: int, unit: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(row + mix64(unit.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(sample)))
@@ -269,7 +316,7 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
     many = np.array([len(f) for f in found], np.int64)
     first = np.cumsum(many) - many
     unit, names = pd.factorize(np.array([u for f in found for u in f], object)) if many.sum() else (np.zeros(0, np.int64), [])
-    net = Lattices(v, list(names))
+    net = Nets(v, list(names))
     doc = np.repeat(np.arange(len(texts)), many)
     nth = np.arange(len(unit)) - first[doc]
     # segmentations of units that some sample holds
@@ -296,7 +343,7 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
 
     one = net.single[unit]
     top = -np.log(-np.log(uniform(rows ^ np.uint64(0xA5A5A5A5), 0)))
-    refs = [store(*net.sample(unit, keys(rows[doc], 1, nth)))]
+    refs = [net.sample(unit, keys(rows[doc], 1, nth), store)]
     best, alive = [top], [np.array([t is not None for t in texts])]
 
     def rest(sample: int, after: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -328,15 +375,16 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
         old = np.stack(refs)[base[doc], np.arange(len(doc))] if len(doc) else np.zeros(0, np.int64)
         fresh_at = np.flatnonzero(nth > after[doc])
         new = old.copy()
-        new[fresh_at] = store(*net.sample(unit[fresh_at], keys(rows[doc[fresh_at]], r + 1, nth[fresh_at])))
+        new[fresh_at] = net.sample(unit[fresh_at], keys(rows[doc[fresh_at]], r + 1, nth[fresh_at]), store)
         drawn, split = [], []
         for x in lead:
             t, s = int(take[x]), int(sample[x])
             out = without.get((int(d[x]), s, t), [int(refs[s][t])])
             gone = [piece(o) for o in out]
-            tokens, lp = net.sample_without(int(unit[t]), int(keys(rows[d[x] : d[x] + 1], r + 1, nth[t : t + 1])[0]), gone)
+            lattice, u = net.of(int(unit[t]))
+            tokens, lp = lattice.sample_without(u, int(keys(rows[d[x] : d[x] + 1], r + 1, nth[t : t + 1])[0]), gone)
             drawn.append((t, tokens, lp))
-            left = net.mass(int(net.rank[unit[t]]), int(net.size[unit[t]]), [*gone, tokens])
+            left = lattice.mass(int(lattice.rank[u]), int(lattice.size[u]), [*gone, tokens])
             split.append((int(d[x]), t, s, float(prefix[x]), left, out))
         ids = store(np.array([i for _, tokens, _ in drawn for i in tokens], np.int32), np.array([len(tokens) for _, tokens, _ in drawn], np.int64), np.array([lp for _, _, lp in drawn]))
         new[[t for t, _, _ in drawn]] = ids
