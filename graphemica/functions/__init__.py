@@ -1 +1 @@
-
+"""Scalar and array functions, as column builders."""

@@ -1 +1 @@
-
+"""Operators on corpora: statistics, confusions, data sets and demappers."""

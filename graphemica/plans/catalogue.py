@@ -2,9 +2,677 @@
 
 from __future__ import annotations
 
+import tempfile
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import align as al
+from ..functions import sequences as sq
+from ..functions import unicode as uc
+from ..functions.mapper import Mapper, parse_map
+from ..functions.similarity import distance_matrix, similarity_mapping
+from ..operators import datasets as ds
+from ..operators import stats as st
+from ..operators.demap import Demapper, accuracy
+from ..sources import text as tx
+from ..sources.charsets import UNKNOWN, charset_table, charsets
+from ..streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+SETS = ["ascii", "mes1", "mes2", "iso_8859_2", "iso_8859_7", "iso_8859_15", "mufibmp"]
+ACCENTS = "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜàáâäçèéêëìíîïñòóôöùúûü"
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTS)
+FOLD = Mapper({c: c for c in charsets["ascii"]} | dict(zip(ACCENTS, PLAIN, strict=True)) | {"ß": "s", "ª": "a", "º": "o", "¿": "?", "¡": "!"}, unknown="?")
+LOWER = Mapper("abcdefghijklmnopqrstuvwxyz0123456789 \n")
+MERGES = st.parse_merges("[('u', 'v'), ('U', 'V'), ('j', 'i'), ('J', 'I')]")
+BACK = {b: a for a, b in MERGES.items()}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _translate_sql(col: str, m: Mapper, alphabet_class: str) -> str:
+    moved = {a: b for a, b in m.mapping.items() if a != b}
+    inner = f"regexp_replace({col}, '[^{alphabet_class}]', {_q(m.unknown)}, 'g')"
+    return f"translate({inner}, {_q(''.join(moved))}, {_q(''.join(moved.values()))})"
+
+
+def _fold_sql(col: str) -> str:
+    from ..functions.mapper import char_class
+
+    return _translate_sql(col, FOLD, char_class(FOLD.src_alphabet))
+
+
+def _sets_sql(names: list[str]) -> str:
+    """The named sets as a table (name, idx, chr)."""
+    parts = [f"SELECT '{n}' AS name, generate_subscripts(a, 1) - 1 AS idx, chr(CAST(unnest(a) AS INTEGER)) AS chr FROM (SELECT [{', '.join(str(ord(c)) for c in dict.fromkeys(charsets[n]))}] AS a)" for n in names]
+    return " UNION ALL ".join(parts)
+
+
+CHARS = "(SELECT doc_id, lang, unnest(string_split(text, '')) AS chr FROM documents WHERE text <> '')"
+COUNTS = f"(SELECT chr, count(*) AS n FROM {CHARS} GROUP BY chr)"
+
+
+# --- alphabets, counts, information ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT chr, CAST(unicode(chr) AS INTEGER) AS cp FROM {COUNTS}")
+def corpus_alphabet(spark, sf_dir):
+    return st.alphabet(_t(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT string_agg(chr, '' ORDER BY unicode(chr)) AS alphabet, count(*) AS n_chars FROM {COUNTS}")
+def alphabet_string(spark, sf_dir):
+    return st.alphabet_string(_t(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT chr, CAST(unicode(chr) AS INTEGER) AS cp, n FROM {COUNTS}")
+def unigram_hist(spark, sf_dir):
+    return st.histogram(_t(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH s AS ({_sets_sql(['ascii'])}), u AS {COUNTS}
+SELECT CAST(idx + 1 AS INTEGER) AS label, s.chr, CAST(coalesce(n, 0) AS BIGINT) AS n FROM s LEFT JOIN u ON s.chr = u.chr
+UNION ALL SELECT 0, '{UNKNOWN}', CAST(coalesce(sum(n), 0) AS BIGINT) FROM u WHERE chr NOT IN (SELECT chr FROM s)
+""")
+def unigram_zero_filled(spark, sf_dir):
+    return st.unigram_over(_t(spark, sf_dir, "documents"), charset_table(spark, ["ascii"]).select("idx", "chr"))
+
+
+def _information_sql(key: str) -> str:
+    return f"""
+SELECT {key}, CAST(sum(n) AS BIGINT) AS n, count(*) AS alphabet_size, round(log2(count(*)), 6) AS alphabet_bits,
+  round(log2(count(*)) * sum(n), 4) AS hartley, round(log2(sum(n)) * sum(n) - sum(n * log2(n)), 4) AS shannon
+FROM (SELECT {key}, chr, count(*) AS n FROM {CHARS} GROUP BY {key}, chr) GROUP BY {key}"""
+
+
+def _rounded_information(df: DataFrame) -> DataFrame:
+    return df.withColumn("alphabet_bits", F.round("alphabet_bits", 6)).withColumn("hartley", F.round("hartley", 4)).withColumn("shannon", F.round("shannon", 4))
+
+
+@query(_information_sql("doc_id"))
+def doc_information(spark, sf_dir):
+    return _rounded_information(st.information(_t(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query(_information_sql("lang"))
+def lang_information(spark, sf_dir):
+    return _rounded_information(st.information(_t(spark, sf_dir, "documents"), "lang"))
+
+
+@query(f"""
+SELECT lang, source, chr, count(*) AS n FROM (SELECT lang, source, unnest(string_split(text, '')) AS chr FROM documents WHERE text <> '')
+GROUP BY GROUPING SETS ((lang, source, chr), (lang, chr), (chr))
+""")
+def unigram_rollup(spark, sf_dir):
+    c = st.chars(_t(spark, sf_dir, "documents"), "lang", "source")
+    counts = c.groupBy("lang", "source", "chr").agg(F.count("*").alias("n"))  # combined before the three groupings
+    return counts.groupingSets([["lang", "source", "chr"], ["lang", "chr"], ["chr"]], "lang", "source", "chr").agg(F.sum("n").alias("n"))
+
+
+# --- character sets -------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH s AS ({_sets_sql(SETS)}), u AS {COUNTS}, t AS (SELECT sum(n) AS total, count(*) AS size FROM u),
+h AS (SELECT name, coalesce(sum(n), 0) AS covered, count(n) AS found, count(*) AS letters FROM s LEFT JOIN u ON s.chr = u.chr GROUP BY name)
+SELECT name, CAST(total AS BIGINT) AS n_chars, CAST(total - covered AS BIGINT) AS n_missing_chars, size - found AS n_missing, letters - found AS n_unfound,
+  round(CAST(total - covered AS DOUBLE) / total, 9) AS cer, round(100.0 * (size - found) / size, 6) AS missing_pct FROM h, t
+""")
+def charset_coverage(spark, sf_dir):
+    out = st.coverage(_t(spark, sf_dir, "documents"), charset_table(spark, SETS))
+    return out.withColumn("cer", F.round("cer", 9)).withColumn("missing_pct", F.round("missing_pct", 6))
+
+
+@query(f"""
+WITH s AS ({_sets_sql(SETS)}), u AS {COUNTS}
+SELECT name, string_agg(chr, '' ORDER BY unicode(chr)) AS missing FROM (SELECT DISTINCT name FROM s) x, u
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.name = x.name AND s.chr = u.chr) GROUP BY name
+""")
+def charset_missing(spark, sf_dir):
+    return st.missing_characters(_t(spark, sf_dir, "documents"), charset_table(spark, SETS))
+
+
+@query(f"""
+WITH s AS ({_sets_sql(SETS)}), u AS {COUNTS}
+SELECT name, string_agg(s.chr, '' ORDER BY unicode(s.chr)) AS unfound FROM s WHERE chr NOT IN (SELECT chr FROM u) GROUP BY name
+""")
+def charset_unfound(spark, sf_dir):
+    return st.unfound_characters(_t(spark, sf_dir, "documents"), charset_table(spark, SETS))
+
+
+@query(f"""
+WITH s AS ({_sets_sql(SETS)}), z AS (SELECT name, count(*) AS size FROM s GROUP BY name),
+r AS (
+  SELECT a.name AS a, b.name AS b, (SELECT count(*) FROM s x JOIN s y ON x.chr = y.chr WHERE x.name = a.name AND y.name = b.name) AS common,
+    greatest(a.size, b.size) // 2 AS most FROM z a, z b
+)
+SELECT a, b, common, round(max(CAST(common // 2 AS DOUBLE) / most) OVER () - CAST(common // 2 AS DOUBLE) / most, 9) AS distance FROM r
+""")
+def charset_pair_distance(spark, sf_dir):
+    return st.charset_distance(charset_table(spark, SETS)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"SELECT chr, min(name) AS name FROM ({_sets_sql(SETS)}) GROUP BY chr HAVING count(*) = 1")
+def charset_unique_chars(spark, sf_dir):
+    return st.unique_characters(charset_table(spark, SETS))
+
+
+@query(f"""
+SELECT chr, count(*) AS n FROM ({_sets_sql(SETS)}) GROUP BY chr HAVING count(*) > 1
+""")
+def charset_shared_chars(spark, sf_dir):
+    return st.duplicate_code_points(charset_table(spark, SETS), "chr")
+
+
+def _merge_sql(merges: dict[str, str]) -> str:
+    hit = f"CASE WHEN chr IN ({', '.join(_q(a) for a in merges)}) THEN n ELSE 0 END"
+    return f"SELECT CAST(sum(n) AS BIGINT) AS n_chars, CAST(sum({hit}) AS BIGINT) AS n_changed, round(CAST(sum({hit}) AS DOUBLE) / sum(n), 9) AS cer FROM {COUNTS}"
+
+
+@query(_merge_sql(MERGES))
+def merge_cer(spark, sf_dir):
+    return st.merge_cer(_t(spark, sf_dir, "documents"), MERGES).withColumn("cer", F.round("cer", 9))
+
+
+@query(_merge_sql(BACK))
+def merge_cer_reverse(spark, sf_dir):
+    return st.merge_cer(_t(spark, sf_dir, "documents"), BACK).withColumn("cer", F.round("cer", 9))
+
+
+# --- mapping --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(length({_fold_sql('text')}) AS INTEGER) AS n, md5({_fold_sql('text')}) AS mapped FROM documents")
+def llemmatize_ascii(spark, sf_dir):
+    m = FOLD.column(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(m).alias("n"), F.md5(m).alias("mapped"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(text, '[^a-z0-9 \\n]', '{UNKNOWN}', 'g')) AS mapped FROM documents")
+def llemmatize_unknown(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(LOWER.column(F.col("text"))).alias("mapped"))
+
+
+@query("SELECT doc_id, md5(translate(text, 'uUjJ', 'vViI')) AS mapped FROM documents")
+def map_option(spark, sf_dir):
+    given = spark.range(1).select(parse_map(F.lit("u:v,U:V,j:i,J:I")).alias("m")).first()["m"]
+    letters = "".join(given)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", letters, "".join(given[c] for c in letters))).alias("mapped"))
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents")
+def strip_accents_nfd(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(uc.strip_accents(F.col("text"))).alias("plain"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (nfc_normalize(text) <> text) AS changed, CAST(sum(length(text)) AS BIGINT) AS points FROM documents")
+def nfc_check(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.agg(F.count("*").alias("n"), F.count_if(uc.normalize(uc.normalize(F.col("text"), "nfd"), "nfc") != F.col("text")).alias("changed"), F.sum(F.length("text").cast("long")).alias("points"))
+
+
+@query("SELECT item_id, string_agg(CAST(CASE WHEN c = '' THEN 0 ELSE position(c IN 'abcdefghijklmnopqrstuvwxyz') END AS VARCHAR), ',' ORDER BY i) AS labels FROM (SELECT item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark) GROUP BY item_id")
+def label_sequence(spark, sf_dir):
+    m = Mapper(charsets["ascii_lowercase"])
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(m.labels(F.col("text")), ",").alias("labels"))
+
+
+@query(f"SELECT item_id, regexp_replace(text, '[^a-z]', '{UNKNOWN}', 'g') AS text FROM benchmark")
+def label_roundtrip(spark, sf_dir):
+    m = Mapper(charsets["ascii_lowercase"])
+    return _t(spark, sf_dir, "benchmark").select("item_id", m.from_labels(m.labels(F.col("text"))).alias("text"))
+
+
+@query(f"SELECT p_partkey, regexp_replace(p_brand, '[^0-9A-Za-z#]', '{UNKNOWN}', 'g') AS text FROM part")
+def onehot_argmax(spark, sf_dir):
+    m = Mapper(charsets["ascii_letters"] + charsets["digits"] + "#")
+    return _t(spark, sf_dir, "part").select("p_partkey", m.from_onehot(m.onehot(F.col("p_brand"))).alias("text"))
+
+
+@query(f"SELECT item_id, hex(encode(text)) AS utf8, CAST(length(text) AS INTEGER) AS utf16 FROM benchmark")
+def code_units(spark, sf_dir):
+    t = F.col("text")
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.hex(uc.encode_units(uc.decode_units(uc.encode_units(t, "uint32"), "uint32"), "uint8")).alias("utf8"), uc.utf16_length(uc.decode_units(uc.encode_units(t))).alias("utf16"))
+
+
+@query(f"SELECT src, dst FROM (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in FOLD.mapping.items())}) v(src, dst) WHERE src IN (SELECT chr FROM {COUNTS})")
+def mapping_pruned(spark, sf_dir):
+    return FOLD.table(spark).join(st.alphabet(_t(spark, sf_dir, "documents")).select(F.col("chr").alias("src")), "src", "left_semi")
+
+
+@query(None)
+def similarity_map(spark, sf_dir):
+    return similarity_mapping(spark, ACCENTS + "ßæœø", charsets["ascii"], min_similarity=0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(None)
+def char_distance_matrix(spark, sf_dir):
+    return distance_matrix(spark, charsets["ascii_letters"] + charsets["digits"]).withColumn("d", F.round("d", 6))
+
+
+@query(None)
+def llemmatize_corpus(spark, sf_dir):
+    from ..functions.mapper import llemmatize
+
+    return llemmatize(_t(spark, sf_dir, "documents").select("doc_id", "text"), charsets["ascii"])
+
+
+# --- error rates, alignment -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT item_id, round(CAST(list_sum(list_transform(list_zip(string_split(text, ''), string_split({_fold_sql('text')}, '')), lambda p: CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS DOUBLE) / length(text), 9) AS cer FROM benchmark")
+def positional_cer(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.round(al.positional_cer(FOLD.column(F.col("text")), F.col("text")), 9).alias("cer"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """pairs(conv_id, turn, role, src, tgt): conversations in plain letters, and without their letters e in src."""
+    tgt = FOLD.column(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.translate(tgt, "e", "").alias("src"), tgt.alias("tgt"))
+
+
+TURNS = f"(SELECT conv_id, turn, role, replace({_fold_sql('text')}, 'e', '') AS src, {_fold_sql('text')} AS tgt FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, CAST(levenshtein(src, tgt) AS INTEGER) AS d, round(levenshtein(src, tgt) / CAST(greatest(length(src), length(tgt)) AS DOUBLE), 9) AS cer FROM {TURNS} WHERE length(tgt) > 0")
+def edit_cer_pairs(spark, sf_dir):
+    p = _turns(spark, sf_dir).filter(F.length("tgt") > 0)
+    return p.select("conv_id", "turn", al.cer(F.col("src"), F.col("tgt")).alias("d"), F.round(al.cer(F.col("src"), F.col("tgt"), normalize=True), 9).alias("cer"))
+
+
+@query(f"SELECT role, CAST(sum(levenshtein(src, tgt)) AS BIGINT) AS errors, CAST(sum(length(tgt)) AS BIGINT) AS total FROM {TURNS} GROUP BY role")
+def edit_totals(spark, sf_dir):
+    return ds.edit_totals(_turns(spark, sf_dir), "role")
+
+
+@query(f"SELECT role, count(*) AS n, count(*) FILTER (levenshtein(src, tgt) > 0.1 * length(tgt)) AS dropped FROM {TURNS} WHERE length(src) BETWEEN 20 AND 2000 AND length(tgt) BETWEEN 20 AND 2000 GROUP BY role")
+def ed_filter_pairs(spark, sf_dir):
+    p = ds.within_lengths(_turns(spark, sf_dir), 20, 2000)
+    return p.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.levenshtein("src", "tgt") > 0.1 * F.length("tgt")).alias("dropped"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[^\\t-\\r -~]')")
+def alphabet_subset_filter(spark, sf_dir):
+    return ds.within_alphabet(_t(spark, sf_dir, "documents"), charsets["ascii"], "text").select("doc_id")
+
+
+@query(f"SELECT round(1 - CAST(sum(CASE WHEN length(src) = length(tgt) THEN length(tgt) ELSE 0 END) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS cer, round(CAST(sum(levenshtein(src, tgt)) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS edit_cer FROM {TURNS}")
+def dataset_cer(spark, sf_dir):
+    p = _turns(spark, sf_dir)
+    return ds.dataset_cer(p).crossJoin(ds.dataset_cer(p, edit_distance=True).withColumnRenamed("cer", "edit_cer")).select(F.round("cer", 9).alias("cer"), F.round("edit_cer", 9).alias("edit_cer"))  # a row each
+
+
+@query(f"SELECT item_id, CAST(levenshtein({_fold_sql('text')}, replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS cost, CAST(length({_fold_sql('text')}) AS INTEGER) AS length FROM benchmark")
+def banded_alignment(spark, sf_dir):
+    t = FOLD.column(F.col("text"))
+    steps = _t(spark, sf_dir, "benchmark").select("item_id", t.alias("t"), al.align(t, F.translate(t, "e", ""), first="gap").alias("steps"))
+    n = al.op_counts(F.col("steps"))
+    return steps.select("item_id", (n["del"] + n["ins"] + n["sub"]).alias("cost"), (n["match"] + n["sub"] + n["del"]).alias("length"))
+
+
+@query(f"SELECT item_id, {_fold_sql('text')} AS tgt, CAST(length(replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS n FROM benchmark")
+def substring_alignment(spark, sf_dir):
+    t = FOLD.column(F.col("text"))
+    parts = al.align_substrings(F.translate(t, "e", ""), t, band=400)
+    return _t(spark, sf_dir, "benchmark").select("item_id", parts.alias("p")).select("item_id", F.array_join(F.transform("p", lambda x: x["tgt"]), "").alias("tgt"), F.size("p").alias("n"))
+
+
+@query(f"SELECT a AS src_chr, b AS tgt_chr, count(*) AS n FROM (SELECT unnest(string_split({_fold_sql('text')}, '')) AS a, unnest(string_split(text, '')) AS b FROM documents WHERE text <> '') GROUP BY a, b")
+def confusion_matrix(spark, sf_dir):
+    pairs = ds.self_supervised(_t(spark, sf_dir, "documents").select("doc_id", "text"), FOLD)
+    return al.positional_confusions(pairs)
+
+
+@query(None)
+def edit_confusions(spark, sf_dir):
+    return al.confusions(_turns(spark, sf_dir).withColumn("steps", al.align(F.col("src"), F.col("tgt"))), "steps", "role")
+
+
+@query(f"SELECT item_id, {_fold_sql('text')} AS sub, 0 AS d FROM benchmark")
+def substitution_only(spark, sf_dir):
+    t = FOLD.column(F.col("text"))
+    sub = al.substitution_only(al.align(F.translate(t, "e", ""), t))
+    return _t(spark, sf_dir, "benchmark").select("item_id", sub.alias("sub"), F.levenshtein(sub, t).alias("d"))
+
+
+@query(None)
+def postcorrection_pairs(spark, sf_dir):
+    return ds.postcorrection_pairs(_turns(spark, sf_dir)).select("conv_id", "turn", "sub", "tgt")
+
+
+@query(f"""
+WITH c AS (SELECT a AS src_chr, b AS tgt_chr, count(*) AS n FROM (SELECT unnest(string_split({_fold_sql('text')}, '')) AS a, unnest(string_split(text, '')) AS b FROM documents WHERE text <> '') GROUP BY a, b)
+SELECT src_chr, tgt_chr, n, round(n / sum(n) OVER (PARTITION BY src_chr), 9) AS p, round(sum(n) OVER (PARTITION BY src_chr ORDER BY unicode(tgt_chr)) / sum(n) OVER (PARTITION BY src_chr), 9) AS cdf FROM c
+""")
+def confusion_cdf(spark, sf_dir):
+    return ds.substitution_cdf(confusion_matrix(spark, sf_dir)).withColumn("p", F.round("p", 9)).withColumn("cdf", F.round("cdf", 9))
+
+
+_SHIFT = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""
+WITH c AS (SELECT doc, i, c, ('0x' || substr(md5(doc || ':' || i), 1, 6))::BIGINT / 16777216.0 AS u FROM (SELECT item_id AS doc, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM benchmark))
+SELECT doc AS item_id, string_agg(CASE WHEN position(c IN '{_SHIFT}') = 0 THEN '{UNKNOWN}' WHEN u < 0.75 THEN c ELSE translate(c, '{_SHIFT}', '{_SHIFT[1:]}a') END, '' ORDER BY i) AS text FROM c GROUP BY doc
+""")
+def deterministic_distort(spark, sf_dir):
+    rows = [x for a, b in zip(_SHIFT, _SHIFT[1:] + "a", strict=True) for x in ((a, a, 0.75), (a, b, 1.0))]
+    cdf = spark.createDataFrame(rows, "src_chr string, tgt_chr string, cdf double")
+    u = F.conv(F.substring(F.md5(F.concat(F.col("item_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))), 1, 6), 16, 10).cast("double") / 16777216.0
+    return ds.distort(_t(spark, sf_dir, "benchmark"), cdf, "item_id", uniform=u)
+
+
+@query(f"""
+WITH t AS (SELECT *, levenshtein(src, tgt) AS d, levenshtein(src, tgt) <= 0.12 * length(trim(tgt)) AS ok FROM {TURNS})
+SELECT role, count(*) AS n_lines, count(*) FILTER (NOT ok) AS n_dropped, CAST(coalesce(sum(d) FILTER (ok), 0) AS BIGINT) AS distance, round(CAST(sum(d) FILTER (ok) AS DOUBLE) / sum(length(tgt)) FILTER (ok), 9) AS cer,
+  CAST(0 AS BIGINT) AS deletions, CAST(coalesce(sum(d) FILTER (ok), 0) AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS substitutions FROM t GROUP BY role
+""")
+def full_cer_report(spark, sf_dir):
+    return ds.full_cer(_turns(spark, sf_dir), "role", ignore_above=0.12).withColumn("cer", F.round("cer", 9))
+
+
+@query(None)
+def token_error_rate(spark, sf_dir):
+    words = lambda c: F.split(c, "[^A-Za-z]+")
+    p = _turns(spark, sf_dir).select("role", al.token_distance(words(F.col("src")), words(F.col("tgt"))).alias("d"), F.greatest(F.size(words(F.col("src"))), F.size(words(F.col("tgt")))).alias("n"))
+    return p.groupBy("role").agg(F.sum("d").alias("errors"), F.sum(F.when(F.col("d").isNotNull(), F.col("n"))).alias("total"))
+
+
+@query(f"SELECT item_id, {_fold_sql('text')} = text AS plain, length(text) * 10 AS n FROM benchmark")
+def render_errors(spark, sf_dir):
+    shown = al.render_errors(FOLD.column(F.col("text")), F.col("text"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", (~shown.contains("\x1b[31m")).alias("plain"), F.length(shown).cast("long").alias("n"))
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, count(*) AS n_lines, CAST(sum(length(l)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '' GROUP BY doc_id")
+def lines_scan(spark, sf_dir):
+    return tx.lines(_t(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
+p AS (SELECT doc_id, unnest(ls) AS tgt FROM l)
+SELECT doc_id, count(*) AS n_pairs, CAST(sum(length(tgt)) AS BIGINT) AS n_chars FROM p WHERE length(tgt) >= 10 GROUP BY doc_id
+""")
+def line_pair_zip(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", FOLD.column(F.col("text")).alias("other"))
+    left, right = tx.lines(d, "doc_id"), tx.lines(d.select("doc_id", "other"), "doc_id", text_col="other").withColumnRenamed("text", "src")
+    p = left.withColumnRenamed("text", "tgt").join(right, ["doc_id", "line_no"])
+    return p.filter((F.length("src") >= 10) & (F.length("tgt") >= 10)).groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.length("tgt").cast("long")).alias("n_chars"))
+
+
+def _path(name: str):
+    return F.concat(F.lit("/in/"), F.col("conv_id").cast("string"), F.lit(f".{name}.txt"))
+
+
+@query("""
+WITH x AS (SELECT conv_id, role, list(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS files FROM conversations GROUP BY conv_id, role),
+p AS (SELECT coalesce(u.conv_id, a.conv_id) AS k, u.files AS i, a.files AS o FROM (SELECT * FROM x WHERE role = 'user') u FULL JOIN (SELECT * FROM x WHERE role = 'assistant') a ON u.conv_id = a.conv_id)
+SELECT CAST(k AS VARCHAR) AS key, CAST(len(i[1]) AS INTEGER) AS n FROM p WHERE len(i) = 1 AND len(o) = 1 AND len(i[1]) = len(o[1]) AND len(i[1]) > 0
+""")
+def key_pairing(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    side = lambda role: c.filter(F.col("role") == role).select(_path(role).alias("path"), "text")
+    return tx.key_pairs(side("user"), side("assistant")).select("key", F.size("src").alias("n"))
+
+
+@query("SELECT page_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS text FROM (SELECT page_id, array_to_string(regexp_extract_all(html, '>\\s*([^<>]+?)\\s*<', 1), ' ') AS t FROM pages)")
+def xml_strip(spark, sf_dir):
+    t = tx.strip_xml(F.col("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.length(t).alias("n"), F.md5(t).alias("text"))
+
+
+@query("SELECT item_id, CASE WHEN len(w) > 2 THEN array_to_string(w[2:len(w) - 1], ' ') ELSE '' END AS text FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
+def chop_words(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", tx.chop_words(F.col("text"), 1, 1).alias("text"))
+
+
+@query(f"SELECT doc_id, md5(translate(text, '{tx.FORBIDDEN}', '')) AS text FROM documents")
+def forbidden_chars(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", tx.FORBIDDEN, "")).alias("text"))
+
+
+def _as_lines(spark, sf_dir) -> DataFrame:
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split(escaped, "\n"), lambda x: F.trim(x) != "").alias("ls"))
+
+
+_BENCH_LINES = "SELECT item_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark"
+
+
+@query(f"SELECT item_id, string_agg(trim(l), chr(10) ORDER BY i) AS text FROM ({_BENCH_LINES}) WHERE trim(l) <> '' GROUP BY item_id")
+def page_xml_text(spark, sf_dir):
+    xml = F.concat(F.lit('<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page><TextRegion>'), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("<TextLine><TextEquiv><Unicode>"), x, F.lit("</Unicode></TextEquiv></TextLine>"))), ""), F.lit("</TextRegion></Page></PcGts>"))
+    return _as_lines(spark, sf_dir).select("item_id", tx.htr_text(xml).alias("text"))
+
+
+@query(f"SELECT item_id, string_agg(trim(l), chr(10) ORDER BY i) AS text FROM ({_BENCH_LINES}) WHERE trim(l) <> '' GROUP BY item_id")
+def alto_xml_text(spark, sf_dir):
+    xml = F.concat(F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page><PrintSpace><TextBlock>'), F.array_join(F.transform("ls", lambda x: F.concat(F.lit('<TextLine><String CONTENT="'), F.trim(x), F.lit('"/></TextLine>'))), ""), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>"))
+    return _as_lines(spark, sf_dir).select("item_id", tx.htr_text(xml).alias("text"))
+
+
+@query(None)
+def icdar_align(spark, sf_dir):
+    t = F.regexp_replace(FOLD.column(F.col("text")), "[\n@]", " ")
+    files = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.concat(F.lit("[OCR_toInput] "), F.translate(t, "e", ""), F.lit("\n[OCR_aligned] "), F.translate(t, "e", "@"), F.lit("\n[ GS_aligned] "), t).alias("text"))
+    cut = tx.split_at_gaps(tx.read_icdar(files))
+    return cut.select("path", "piece", F.transform(tx.aligned_parts(F.col("ocr"), F.col("gt")), lambda p: p["tgt"]).alias("p")).select("path", "piece", F.size("p").alias("n"), F.array_join("p", "|").alias("parts"))
+
+
+# --- words, vectors, sequences --------------------------------------------------------------------------------------
+
+_WORDS = "(SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)"
+
+
+@query(f"SELECT word, count(*) AS freq FROM {_WORDS} WHERE word <> '' GROUP BY word")
+def word_vocab(spark, sf_dir):
+    return sq.vocabulary(_t(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) - 1 AS INTEGER) AS idx FROM (SELECT word, count(*) AS freq FROM {_WORDS} WHERE word <> '' GROUP BY word ORDER BY freq DESC, word LIMIT 1000)")
+def word_vocab_topk(spark, sf_dir):
+    return sq.vocabulary(_t(spark, sf_dir, "documents"), capacity=1000)
+
+
+@query(f"""
+WITH k AS (SELECT unnest(string_split('{"".join(sorted(" " + sq.ALPHANUMERIC))}', '')) AS c, generate_subscripts(string_split('{"".join(sorted(" " + sq.ALPHANUMERIC))}', ''), 1) AS label),
+w AS (SELECT p_partkey, string_split(p_brand, '') AS ls, length(p_brand) AS n FROM part),
+b AS (SELECT l AS level, unnest(generate_series(0, l - 1)) AS i FROM (VALUES (1), (2), (3)) v(l)),
+x AS (SELECT p_partkey, level, i, unnest(ls[CAST(floor(i * n / level) AS BIGINT) + 1 : CAST(ceil((i + 1) * n / CAST(level AS DOUBLE)) AS BIGINT)]) AS c, ceil((i + 1) * n / CAST(level AS DOUBLE)) - floor(i * n / CAST(level AS DOUBLE)) AS size FROM w, b)
+SELECT p_partkey, round(sum(coalesce(label, 0) / size), 6) AS weighted, count(DISTINCT (level, i)) AS bins FROM x LEFT JOIN k ON x.c = k.c GROUP BY p_partkey
+""")
+def phoc_words(spark, sf_dir):
+    v = _t(spark, sf_dir, "part").select("p_partkey", sq.phoc(F.col("p_brand"), (1, 2, 3)).alias("v"))
+    width = len(sq.ALPHANUMERIC) + 2
+    return v.select("p_partkey", F.round(F.aggregate(F.transform("v", lambda x, i: x * (i % width)), F.lit(0.0), lambda a, b: a + b), 6).alias("weighted"), (F.size("v") / width).cast("long").alias("bins"))
+
+
+@query("""
+WITH q AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+s AS (SELECT q.vec_id AS query, b.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-8) AS cosine FROM q, embeddings b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s)
+SELECT query, id, CAST(rank AS INTEGER) AS rank, round(cosine, 6) AS cosine FROM r WHERE rank <= 5
+""")
+def cosine_topk(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return sq.topk_similar(e, _prototypes(e), 5).withColumn("cosine", F.round("cosine", 6))
+
+
+def _prototypes(e: DataFrame) -> DataFrame:
+    """The first vector of each label."""
+    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"))
+
+
+@query("""
+WITH q AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+s AS (SELECT b.vec_id AS query, q.vec_id AS id, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS l2 FROM q, embeddings b)
+SELECT query, id, round(l2, 6) AS l2 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY l2, id) AS k FROM s) WHERE k = 1
+""")
+def nearest_l2(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return sq.nearest(_prototypes(e), e).withColumn("l2", F.round("l2", 6))
+
+
+@query("""
+WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark),
+n AS (SELECT *, lead(c, 1, ' ') OVER (PARTITION BY item_id ORDER BY i) AS nxt FROM c)
+SELECT item_id, coalesce(string_agg(c, '' ORDER BY i) FILTER (c <> nxt AND c <> ' '), '') AS text FROM n GROUP BY item_id
+""")
+def ctc_collapse(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(sq.ctc_collapse(st.characters(F.col("text")), " "), "").alias("text"))
+
+
+@query("SELECT item_id, string_agg(CAST(position(c IN 'abcdefghijklmnopqrstuvwxyz') AS VARCHAR) || ',0,0', ',' ORDER BY i) AS labels FROM (SELECT item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark) GROUP BY item_id")
+def ctc_expand(spark, sf_dir):
+    m = Mapper(charsets["ascii_lowercase"])
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(sq.ctc_expand(m.labels(F.col("text")), 2), ",").alias("labels"))
+
+
+@query("SELECT p_partkey, string_agg(CAST(position(c IN 'abcdefghijklmnopqrstuvwxyz') AS VARCHAR) || ',0,0', ';' ORDER BY i) AS labels FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) AS i FROM part) GROUP BY p_partkey")
+def pad_targets(spark, sf_dir):
+    m = Mapper(charsets["ascii_lowercase"])
+    padded = sq.pad_targets(F.transform(m.labels(F.col("p_name")), lambda x: F.array(x)), 2)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(padded, lambda t: F.array_join(t, ",")), ";").alias("labels"))
+
+
+@query("SELECT doc_id, CAST(greatest(length(text) - 249, 0) AS INTEGER) AS n FROM documents")
+def sliding_windows(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(ds.windows(F.col("text"), 250)).alias("n"))
+
+
+@query(None)
+def packed_lines(spark, sf_dir):
+    return ds.pack_lines(tx.lines(_t(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+# --- data sets and demappers ----------------------------------------------------------------------------------------
+
+
+def _md5_unit(key: str):
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("double") / 16777216.0
+
+
+_PART = "(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6))::BIGINT / 16777216.0)"
+
+
+@query(f"SELECT CASE WHEN {_PART} < 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1")
+def dataset_split(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("part", F.when(_md5_unit("doc_id") < 0.8, "train").otherwise("test"))
+    return d.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query(None)
+def random_crops(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", ds.crop(F.col("text"), 250, "doc_id").alias("text"))
+
+
+_OBS = f"""
+p AS (SELECT doc_id, {_PART} AS part, {_fold_sql('text')} AS src, text AS tgt FROM documents WHERE text <> ''),
+c AS (
+  SELECT doc_id, part, pos, s, t, coalesce(lag(s) OVER w, chr(2)) || s || coalesce(lead(s) OVER w, chr(2)) AS c1 FROM (
+    SELECT doc_id, part, unnest(string_split(src, '')) AS s, unnest(string_split(tgt, '')) AS t, generate_subscripts(string_split(tgt, ''), 1) - 1 AS pos FROM p)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+),
+k AS (SELECT 0 AS k, s AS ctx, t FROM c WHERE part < 0.8 UNION ALL SELECT 1, c1, t FROM c WHERE part < 0.8),
+g AS (SELECT k, ctx, t, count(*) AS n FROM k GROUP BY k, ctx, t),
+m AS (SELECT k, ctx, t AS tgt, CAST(sum(n) OVER (PARTITION BY k, ctx) AS BIGINT) AS total, n, row_number() OVER (PARTITION BY k, ctx ORDER BY n DESC, unicode(t)) AS r FROM g)
+"""
+
+
+def _demap_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pairs = ds.self_supervised(_t(spark, sf_dir, "documents").select("doc_id", "text"), FOLD).withColumn("part", _md5_unit("doc_id"))
+    return pairs.filter("part < 0.8"), pairs.filter("part >= 0.8")
+
+
+@query(f"WITH {_OBS} SELECT k, ctx, tgt, total AS n, round(CAST(n AS DOUBLE) / total, 9) AS confidence FROM m WHERE r = 1")
+def demapper_fit(spark, sf_dir):
+    return Demapper.fit(_demap_parts(spark, sf_dir)[0]).model.withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"""
+WITH {_OBS}
+SELECT count(*) AS n, count(*) FILTER (coalesce(m1.tgt, m0.tgt, s) = t) AS correct, round(avg(CASE WHEN coalesce(m1.tgt, m0.tgt, s) = t THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM c LEFT JOIN (SELECT * FROM m WHERE k = 1 AND r = 1) m1 ON c.c1 = m1.ctx LEFT JOIN (SELECT * FROM m WHERE k = 0 AND r = 1) m0 ON c.s = m0.ctx WHERE part >= 0.8
+""")
+def demapper_apply(spark, sf_dir):
+    train, test = _demap_parts(spark, sf_dir)
+    return accuracy(Demapper.fit(train).characters(test, "doc_id"), test, "doc_id").withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(None)
+def many_to_more_fit(spark, sf_dir):
+    pairs = ds.many_to_more(_t(spark, sf_dir, "benchmark").select("item_id", F.translate(FOLD.column(F.col("text")), "e", "").alias("src"), FOLD.column(F.col("text")).alias("tgt")), band=400)
+    return Demapper.fit(pairs, pieces="parts").model
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def _shared(spark, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphemica-")
+    return f"{root}/graphemica-streams/{name}-{spark.sparkContext.applicationId}-{next(_count)}"
+
+
+@query(f"SELECT chr, n FROM {COUNTS}")
+def stream_unigram(spark, sf_dir):
+    name = f"stream_unigram_{next(_count)}"
+    return streams.run_available(streams.running_unigram(_stream(spark, sf_dir, "documents")), name, _shared(spark, name))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    name = f"stream_windows_{next(_count)}"
+    counts = streams.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", every="1 day")
+    return streams.run_available(counts, name, _shared(spark, name))
+
+
+@query(f"SELECT event_id, upper(event_type) AS event_type FROM events")
+def stream_mapping(spark, sf_dir):
+    low, up = charsets["ascii_lowercase"], charsets["ascii_uppercase"]
+    m = Mapper({c: c for c in charsets["ascii"]} | dict(zip(low, up, strict=True)))
+    name = f"stream_mapping_{next(_count)}"
+    return streams.run_available(streams.mapped(_stream(spark, sf_dir, "events").select("event_id", "event_type"), m, "event_type"), name, _shared(spark, name), "append")
+
+
+def _counter():
+    n = 0
+    while True:
+        n += 1
+        yield n
+
+
+_count = _counter()

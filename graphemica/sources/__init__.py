@@ -1 +1 @@
-
+"""Scans, sinks and the catalogue of character sets."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the running statistics and of mapping."""
