@@ -133,17 +133,18 @@ def shard_pairs(f: np.ndarray, n: np.ndarray, home: np.ndarray, metric: Metric,
     that the metric allows."""
     order = np.argsort(n, kind="stable")
     f, n, home = np.ascontiguousarray(f[order]), n[order], home[order]
-    reach = np.searchsorted(n, n / math.exp(-metric.radius / metric.scale) + 1e-6, "right")
-    for i in range(0, len(n), block):
-        k = min(len(n), i + block)
-        to = int(reach[k - 1])
-        for j in range(i, to, 8192):
-            e = min(to, j + 8192)
-            h = np.bitwise_count(f[i:k, 0, None] ^ f[None, j:e, 0])
-            h += np.bitwise_count(f[i:k, 1, None] ^ f[None, j:e, 1])
+    ratio = math.exp(-metric.radius / metric.scale)
+    mine = np.flatnonzero(home)
+    for i in range(0, len(mine), block):
+        rows = mine[i : i + block]
+        lo, hi = (int(np.searchsorted(n, x, side)) for x, side in ((n[rows[0]] * ratio - 1e-6, "left"), (n[rows[-1]] / ratio + 1e-6, "right")))
+        for j in range(lo, hi, 8192):
+            e = min(hi, j + 8192)
+            h = np.bitwise_count(f[rows, 0, None] ^ f[None, j:e, 0])
+            h += np.bitwise_count(f[rows, 1, None] ^ f[None, j:e, 1])
             x, y = np.nonzero(h <= metric.radius)
-            x, y = x + i, y + j
-            ok = (x < y) & (home[x] | home[y])
+            x, y = rows[x], y + j
+            ok = (x < y) | (~home[y])
             x, y = x[ok], y[ok]
             ok = metric.near(f[x], n[x], f[y], n[y])
             if ok.any():
