@@ -48,10 +48,8 @@ def _one_way(a: str, b: str) -> float:
     score += _overlap(pa, pb, 0.7) + _overlap(la, lb, 0.5)
     if la and la == lb:
         score += 0.25
-    elif a in "aeiouy" and b in "aeiou":
-        score += 0.2
-    elif a not in "aeiouy" and b not in "aeiou":
-        score += 0.1
+    elif la and lb and (la in "aeiouy") == (lb in "aeiou"):
+        score += 0.2 if la in "aeiouy" else 0.1
     score += 0.05 / (1 + math.exp(-abs(ord(a) - ord(b))))
     return 2 * (1 / (1 + math.exp(-score)) - 0.5)
 

@@ -48,12 +48,15 @@ def rewrite_xml(xml: Column, replacements: Column, kind: str = "mixed") -> Colum
 
     @F.pandas_udf("string")
     def each(docs: pd.Series, texts: pd.Series) -> pd.Series:
+        import io
         import xml.etree.ElementTree as ET
 
         def one(x, new):
             if x is None:
                 return None
             root = ET.fromstring(x)
+            for _, (prefix, uri) in ET.iterparse(io.StringIO(x), events=["start-ns"]):
+                ET.register_namespace(prefix, uri)  # the document's own prefixes are written again
             if kind == "alto":
                 nodes = [e for e in root.iter() if e.tag.rpartition("}")[2] == "String" and (e.get("CONTENT") or "").strip()]
             else:
