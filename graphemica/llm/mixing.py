@@ -64,10 +64,12 @@ def budgets(slim: DataFrame, targets: dict[str, float] | None, ratio: float, sli
     return want.join(within, "g", "left").select("g", "share", "epochs", "last", F.col("m.k").alias("k"), F.col("m.i").alias("i"), F.col("m.n").alias("n"))
 
 
-def _copies(slice_of: Column, key: Column, row_id: Column, tokens: Column) -> Column:
+def _copies(cut: Column, slice_of: Column, key: Column, row_id: Column, tokens: Column) -> Column:
     """Copies of a row, given its source's row of ``budgets``: epochs, and one more if it comes within the rest."""
-    fits = F.col("cut.last").isNull() | (slice_of < F.col("cut.last")) | ((slice_of == F.col("cut.last")) & F.coalesce(F.struct(key.alias("k"), row_id.alias("i"), tokens.alias("n")) <= F.struct("cut.k", "cut.i", "cut.n"), F.lit(False)) & F.col("cut.k").isNotNull())
-    return F.when(F.col("cut.share") > 0, F.col("cut.epochs") + fits.cast("long")).otherwise(F.lit(0).cast("long"))
+    edge = F.struct(cut["k"].alias("k"), cut["i"].alias("i"), cut["n"].alias("n"))
+    within = cut["k"].isNotNull() & (F.struct(key.alias("k"), row_id.alias("i"), tokens.alias("n")) <= edge)
+    fits = cut["last"].isNull() | (slice_of < cut["last"]) | ((slice_of == cut["last"]) & F.coalesce(within, F.lit(False)))
+    return F.when(cut["share"] > 0, cut["epochs"] + fits.cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def _slice(key: Column, slices: int) -> Column:
@@ -94,20 +96,20 @@ def mix_plan(docs: DataFrame, targets: dict[str, float] | None = None, ratio: fl
     - Empty table: empty result. Extra columns: not read.
     """
     slim = _slim(docs, weight, seed, id_col, group_col, text_col)
-    cut = join_side(budgets(slim, targets, ratio, slices)).alias("cut")
-    s = slim.alias("s")
-    return s.join(cut, F.col("s.g") == F.col("cut.g")).select(F.col("s.id").alias(id_col), F.col("s.source").alias(group_col), F.col("s.n").alias("n_tokens"), _copies(_slice(F.col("s.k"), slices), F.col("s.k"), F.col("s.i"), F.col("s.n")).alias("copies"))
+    cut = join_side(budgets(slim, targets, ratio, slices).select("g", F.struct("*").alias("cut")))
+    copies = _copies(F.col("cut"), _slice(F.col("k"), slices), F.col("k"), F.col("i"), F.col("n"))
+    return slim.join(cut, "g").select(F.col("id").alias(id_col), F.col("source").alias(group_col), F.col("n").alias("n_tokens"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, ratio: float = 1.0, weight: Column | None = None, seed: int = SEED, id_col: str = "doc_id", group_col: str = "source", text_col: str = "text", slices: int = SLICES) -> DataFrame:
     """``docs`` with each row repeated as often as ``mix_plan`` says, columns as they were; texts are never shuffled
     where the sources' table is small. Cases are those of ``mix_plan``."""
     slim = _slim(docs, weight, seed, id_col, group_col, text_col)
-    cut = join_side(budgets(slim, targets, ratio, slices)).alias("cut")
-    g, n, k, c = fresh(docs, "g", "n", "k", "copy")
+    g, n, k, c, x = fresh(docs, "g", "n", "k", "copy", "cut")
+    cut = join_side(budgets(slim, targets, ratio, slices).select(F.col("g").alias(g), F.struct("*").alias(x)))
     group, tokens, key = _keyed(docs, weight, seed, id_col, group_col, text_col)
     d = docs.withColumn(g, group).withColumn(n, tokens).withColumn(k, key)
-    taken = d.join(cut, q(g) == F.col("cut.g")).withColumn(c, _copies(_slice(q(k), slices), q(k), F.coalesce(q(id_col).cast("string"), F.lit("")), q(n)))
+    taken = d.join(cut, g).withColumn(c, _copies(q(x), _slice(q(k), slices), q(k), F.coalesce(q(id_col).cast("string"), F.lit("")), q(n)))
     return taken.filter(q(c) > 0).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), q(c)))).select(*[q(x) for x in docs.columns])
 
 
