@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when its stored Parquet files are at most this large.
 BROADCAST_BYTES = 8 << 20
 #: Bytes of text that one vectorised pass over a batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
@@ -92,21 +93,29 @@ _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _WORD[128:] = True
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, _P, np.uint64)
-        down = np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
+_kept_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, at least, of an odd number and of its inverse modulo 2**64; a worker keeps one pair."""
+    if not _kept_powers or len(_kept_powers[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            up, down = (np.full(size, x, np.uint64) for x in (_P, pow(_P, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            _kept_powers[:] = np.cumprod(up), np.cumprod(down)
+    return _kept_powers[0], _kept_powers[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 class Words:
@@ -130,7 +139,7 @@ class Words:
         after = np.concatenate((inside[1:], [False])) if size else inside
         self.start = np.flatnonzero(inside & (~before | cut[:-1]))
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        up, down = _powers(1 << max(21, size.bit_length()))
+        up, down = powers(size + 1)
         with np.errstate(over="ignore"):
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:size], dtype=np.uint64)))
             self.hash = mix64((total[self.end] - total[self.start]) * down[self.start])
@@ -138,6 +147,29 @@ class Words:
         self.doc = np.repeat(np.arange(len(low)), np.diff(self.first))
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back: a worker lives on through later stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc()(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes of text, one row at least each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, q
+from .common import lean, materialize, q
 
 #: Cosine of two near duplicates at least; dimensions of a block; the coordinates of a block that lay out its cells.
 COSINE, BLOCK_DIMS, CELL_DIMS = 0.97, 8, 2
@@ -43,7 +43,7 @@ def rotation(units: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
-        for batch in batches:
+        for batch in lean(batches):
             x = _matrix(batch.column("x"), dims)
             total += x.T @ x
         yield pa.record_batch([pa.array(np.arange(dims)), pa.array(list(total))], names=["i", "row"])
@@ -87,7 +87,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_dims: int = B
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes, parts, _, reach = shared.value
-        for big in batches:
+        for big in lean(batches):
             for at in range(0, big.num_rows, _CHUNK):
                 batch = big.slice(at, _CHUNK)
                 y = _matrix(batch.column("x"), dims) @ axes

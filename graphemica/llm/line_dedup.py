@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, fresh, join_side, lists, materialize, mix64, q, signed
+from .common import Words, chunks, fresh, join_side, lean, lists, materialize, mix64, q, signed
 
 THRESHOLD = 0.9
 #: Words are counted in so many hash buckets; a word's rarity is its bucket's count.
@@ -47,7 +47,7 @@ def word_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 total += np.bincount(Words(part.column("t")).hash % np.uint64(BUCKETS), minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -81,7 +81,7 @@ def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: st
     least = fuzzy_size(threshold)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 w = Words(part.column("t"))
                 words, first, line = _sets(w, rank.value)
@@ -105,7 +105,7 @@ def words_of_lines(docs: DataFrame, need: DataFrame, rank, id_col: str, text_col
     """(d, rh, l, words): the sets of the lines in ``need`` (d, rh, ls); repeated rows give them repeatedly."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 w = Words(part.column("t"))
                 words, first, line = _sets(w, rank.value)

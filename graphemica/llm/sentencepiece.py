@@ -12,27 +12,24 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, mix64, q
+from .common import chunks, fresh, lean, mix64, powers, q
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 23
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BYTES = 1 << 16  # a token from here on is the code point of an unknown character
 _MASK = (1 << 20) - 1
 #: Units whose lattices a worker keeps from its first batches on. It changes no result.
 KEPT_UNITS = 30_000
 _STRAIGHT = 40  # characters over which probabilities multiply without vanishing; logarithms beyond
-_B = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -44,20 +41,25 @@ class Vocabulary:
         self.log_prob = np.full(_BYTES + len(code), -np.inf)  # by token
         self.log_prob[list(log_prob)] = list(log_prob.values())
         self.log_prob[_BYTES:] = byte_log_prob * (1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF))
+        self.log_prob[byte_id : byte_id + 128] = byte_log_prob
         self.chance = np.exp(self.log_prob)
-        self.kept, self.pending, self.kept_net, self.full = {}, {}, None, False  # see Nets
+        self.kept, self.kept_net, self.pending, self.waiting = np.zeros(0, np.uint64), None, [], 0  # see Nets
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in pieces if len(p) == 1]] = True
-        known = sorted({c for p in pieces for c in p} - {" "})
-        inner = "".join(re.escape(c) for c in known)
-        self.units = re.compile(f" *[{inner}]+| +|[^{inner} ]", re.S)
-        self.bytes = {i: p.encode() for p, i in pieces.items()} | {byte_id + b: bytes([b]) for b in range(256)}
+        self.kind = np.full(0x110000, 2, np.uint8)  # 0 the blank, 1 characters of pieces, 2 others
+        self.kind[[ord(c) for p in pieces for c in p]] = 1
+        self.kind[32] = 0
+        spelt = {i: p.encode() for p, i in pieces.items()} | {byte_id + b: bytes([b]) for b in range(256)}
+        self.bytes = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+        self.byte_size = np.array([len(b) for b in self.bytes], np.int64)
+        self.byte_begin = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         # every beginning of a piece is found, so that a search can end as soon as no piece begins so
         heads = list(dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p) + 1)))
         code = np.frombuffer("".join(heads).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.array([len(p) for p in heads])
         end = np.cumsum(size)
-        total, down = self._sums(code), self._powers(len(code) + 1)[1]
+        total, down = self._sums(code), powers(len(code) + 1)[1]
         with np.errstate(over="ignore"):
             h = mix64((total[end] - total[end - size]) * down[end - size] + size.astype(np.uint64))
         self.hash, self.id = h, np.array([pieces.get(p, -1) for p in heads], np.int32)
@@ -69,19 +71,26 @@ class Vocabulary:
             left, shift = left[slot[at] != left], shift + 20
             self.tables.append(slot)
 
-    @staticmethod
-    @functools.cache
-    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            up, down = np.full(n, _B, np.uint64), np.full(n, pow(int(_B), -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            return np.cumprod(up), np.cumprod(down)
-
     def _sums(self, code: np.ndarray) -> np.ndarray:
-        up = self._powers(1 << max(20, len(code).bit_length()))[0]
+        up = powers(len(code) + 1)[0]
         with np.errstate(over="ignore"):
             return np.concatenate((np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * up[: len(code)], dtype=np.uint64)))
 
+    def hashes(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of stretches of code points."""
+        total, down = self._sums(code.astype(np.uint64)), powers(len(code) + 1)[1]
+        with np.errstate(over="ignore"):
+            return mix64((total[start + size] - total[start]) * down[start] + size.astype(np.uint64))
+
+    def units(self, code: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+        """Where units begin: with a text, with blanks, with an unknown character and after it."""
+        kind = self.kind[code]
+        cut = kind == 2
+        cut[1:] |= kind[:-1] == 2
+        cut[1:] |= (kind[1:] == 0) & (kind[:-1] != 0)
+        cut[text_start] = True
+        return np.flatnonzero(cut)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash among the beginnings of pieces, -1 for none."""
         out = np.full(len(h), -1, np.int32)
@@ -93,6 +102,8 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids; the blank that encoding puts before it is dropped."""
+        if len(ids) and min(ids) < 0:
+            raise IndexError("an id below 0")
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
@@ -112,12 +123,12 @@ class Lattices:
     """The lattices of some distinct units, the longest first: the places after t characters lie together, so that one
     step over all units reads and writes whole slices."""
 
-    def __init__(self, v: Vocabulary, units: list[str]):
+    def __init__(self, v: Vocabulary, code: np.ndarray, size: np.ndarray):
+        """For units of so many code points each, one after the other in ``code``."""
         self.v = v
-        size = np.array([len(u) for u in units], np.int64)
         order = np.argsort(-size, kind="stable")
-        code = np.frombuffer("".join([units[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        total, down = v._sums(code.astype(np.uint64)), v._powers(1 << max(20, len(code).bit_length()))[1]
+        code = gather(code, (np.cumsum(size) - size)[order], size[order])
+        total, down = v._sums(code.astype(np.uint64)), powers(len(code) + 1)[1]
         self.size, size = size, size[order]
         longest = int(size[0]) if len(size) else 0
         base = np.cumsum(size) - size
@@ -141,12 +152,12 @@ class Lattices:
                 hits.append((k, self.off[after[at[whole]] + k] + unit[at[whole]], token[whole]))
             at = at[last[at] > k]
         odd = np.flatnonzero(~v.single[code])
-        hits.append((1, self.off[after[odd] + 1] + unit[odd], (_BYTES + code[odd]).astype(np.int32)))
+        hits.append((1, self.off[after[odd] + 1] + unit[odd], np.where(code[odd] < 128, v.byte_id + code[odd], _BYTES + code[odd]).astype(np.int32)))
         self.wide = wide = -(-max(k for k, _, _ in hits) // 8) * 8
-        self.arc = np.full((wide, nodes), -1, np.int32)
+        arc = np.full((wide, nodes), -1, np.int32)
         chance = np.zeros((wide, nodes))
         for k, node, token in hits:
-            self.arc[k - 1, node] = token
+            arc[k - 1, node] = token
             chance[k - 1, node] = v.chance[token]
         # every place has an arc of one character, so one segmentation means no other arc
         other = np.zeros(len(size), bool)
@@ -155,10 +166,11 @@ class Lattices:
                 other[node - self.off[np.searchsorted(self.off, node, "right") - 1]] = True
         self.single = ~other[self.rank]
         straight = np.ones(nodes)
+        deep = {int(t) for k, node, _ in hits if k > 8 for t in np.unique(np.searchsorted(self.off, node, "right") - 1)}
         for t in range(1, min(longest, _STRAIGHT) + 1):
             a, m = int(self.off[t]), int(many[t])
-            e = chance[:, a : a + m]
-            for k in range(1, wide + 1):
+            e = chance[: wide if t in deep else 8, a : a + m]
+            for k in range(1, len(e) + 1):
                 if k <= t:
                     e[k - 1] *= straight[int(self.off[t - k]) : int(self.off[t - k]) + m]
                 if k > 1:
@@ -176,23 +188,29 @@ class Lattices:
             e = np.exp(x - top).cumsum(0)
             self.alpha[a : a + m] = top + np.log(e[-1])
             chance[:, a : a + m] = e / e[-1]
-        self.upto, self.arc = np.ascontiguousarray(chance.T), np.ascontiguousarray(self.arc.T)
+        # the sums of the first eight arcs, to 24 bits, are what nearly every step needs of a place, in half a line of cache;
+        # places with longer arcs have the rest of theirs apart
+        self.upto, self.token = np.ascontiguousarray(chance[:8].T, np.float32), np.ascontiguousarray(arc[:8].T)
+        self.far = np.flatnonzero((arc[8:] >= 0).any(0))
+        self.far_upto, self.far_token = np.ascontiguousarray(chance[8:, self.far].T), np.ascontiguousarray(arc[8:, self.far].T)
         self.known: dict[tuple[int, int], list] = {}
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, count, log_prob): one segmentation of each unit, drawn by its probability with the random numbers
         that follow from ``key``; the tokens of the i-th begin after those before it."""
         t, rank = self.size[unit], self.rank[unit]
-        total, count, steps, step = -self.alpha[self.off[t] + rank] if len(t) else np.zeros(0), np.zeros(len(t), np.int64), [], 0
+        whole, count, steps, step = self.alpha[self.off[t] + rank], np.zeros(len(t), np.int64), [], 0
         live = np.arange(len(t))
         while len(live):
             at = self.off[t] + rank
-            above = uniform(key, step)[:, None] >= self.upto[at]
-            k = np.bitwise_count(above.view(np.uint64)).sum(1, dtype=np.int64)  # eight flags a word
-            np.minimum(k, self.wide - 1, out=k)
-            token = self.arc[at, k]
+            u = uniform(key, step)
+            above = u.astype(np.float32)[:, None] >= self.upto[at]
+            k = np.bitwise_count(above.view(np.uint64)[:, 0]).astype(np.int64)  # eight flags a word
+            token = self.token[at, np.minimum(k, 7)]
+            odd = np.flatnonzero((k == 8) | (token < 0))
+            for i in odd.tolist():  # an arc of more than eight characters, or a sum that is 1 but for rounding
+                token[i], k[i] = self.long_arc(int(at[i]), float(u[i]))
             steps.append((live, token))
-            total[live] += self.v.log_prob[token]
             count[live] += 1
             t = t - k - 1
             more = t > 0
@@ -201,7 +219,27 @@ class Lattices:
         tokens = np.empty(int(count.sum()), np.int32)
         for s, (who, token) in enumerate(steps):
             tokens[last[who] - 1 - s] = token
-        return tokens, count, total
+        total = np.add.reduceat(self.v.log_prob[tokens], last - count) if len(t) or len(count) else np.zeros(0)
+        return tokens, count, total - whole
+
+    def arcs_at(self, node: int) -> list[tuple[int, int]]:
+        """(length - 1, token) of the arcs that end at a place."""
+        tokens = self.token[node].tolist()
+        at = int(np.searchsorted(self.far, node))
+        if at < len(self.far) and self.far[at] == node:
+            tokens += self.far_token[at].tolist()
+        return [(k, token) for k, token in enumerate(tokens) if token >= 0]
+
+    def long_arc(self, node: int, u: float) -> tuple[int, int]:
+        """(token, length - 1) of the arc that a number beyond the first eight sums takes: the last one if there is none."""
+        found = self.arcs_at(node)
+        at = int(np.searchsorted(self.far, node))
+        if at < len(self.far) and self.far[at] == node:
+            k = 8 + int((u >= self.far_upto[at]).sum())
+            longer = [(x, token) for x, token in found if x >= k and x >= 8]
+            if longer:
+                return longer[0][1], longer[0][0]
+        return found[-1][1], found[-1][0]
 
     def arcs(self, rank: int, t: int) -> list[tuple[int, int, float]]:
         """(token, characters before it, its share) of the arcs that end after t characters of a unit."""
@@ -210,27 +248,45 @@ class Lattices:
             if len(self.known) > 20_000:
                 self.known.clear()
             node = int(self.off[t]) + rank
-            upto, arc = self.upto[node].tolist(), self.arc[node].tolist()
-            found = self.known[rank, t] = [(arc[k], t - k - 1, upto[k] - (upto[k - 1] if k else 0.0)) for k in range(min(t, self.wide)) if arc[k] >= 0]
+            found = self.known[rank, t] = [(token, t - k - 1, math.exp(self.v.log_prob[token] + self.alpha[int(self.off[t - k - 1]) + rank] - self.alpha[node])) for k, token in self.arcs_at(node)]
         return found
 
-    def mass(self, rank: int, t: int, without: list[tuple[int, ...]]) -> float:
-        """Share of the paths to the place after t characters other than ``without``, summed up without subtraction."""
-        if not without:
-            return 1.0
-        if not t:
-            return 0.0
-        out = 0.0
-        for token, before, p in self.arcs(rank, t):
-            out += p * self.mass(rank, before, [w[:-1] for w in without if w[-1] == token])
-        return out
+    def suffixes(self, rank: int, t: int, without: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[float]]:
+        """The tree of the endings of ``without``, of each node which token leads to which node, and what share of the paths
+        that end so are others: summed up from the leaves, without subtraction and without recursion."""
+        nodes, kids = [(t, list(range(len(without))), 0)], []
+        for place, group, depth in nodes:  # grows as it goes
+            following: dict[int, list[int]] = {}
+            if place:
+                for w in group:
+                    following.setdefault(without[w][-1 - depth], []).append(w)
+            mine = {}
+            if following:
+                for token, before, _ in self.arcs(rank, place):
+                    if token in following:
+                        mine[token] = len(nodes)
+                        nodes.append((before, following[token], depth + 1))
+            kids.append(mine)
+        share = [0.0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            place, mine = nodes[i][0], kids[i]
+            if place:
+                share[i] = sum(p * (share[mine[token]] if token in mine else 1.0) for token, _, p in self.arcs(rank, place))
+        return kids, share
+
+    def mass(self, unit: int, without: list[tuple[int, ...]]) -> float:
+        """Share of a unit's segmentations other than ``without``."""
+        return self.suffixes(int(self.rank[unit]), int(self.size[unit]), without)[1][0]
 
     def sample_without(self, unit: int, key: int, without: list[tuple[int, ...]]) -> tuple[tuple[int, ...], float]:
         """A segmentation other than ``without``, by its share of what is left, and its log-probability."""
         rank, t, tokens, log_prob, step = int(self.rank[unit]), int(self.size[unit]), [], 0.0, 0
+        kids, left = self.suffixes(rank, t, without)
+        at: int | None = 0  # None: no longer an ending of one that is left out
         while t:
-            found = [(token, before, p, [w[:-1] for w in without if w[-1] == token]) for token, before, p in self.arcs(rank, t)]
-            share = [p * self.mass(rank, before, rest) for _, before, p, rest in found]
+            arcs = self.arcs(rank, t)
+            mine = kids[at] if at is not None else {}
+            share = [p * (left[mine[token]] if token in mine else 1.0) for token, _, p in arcs]
             u = uniform_of(key, step) * sum(share)
             i = 0
             while i < len(share) - 1 and (u >= share[i] or share[i] == 0.0):
@@ -238,7 +294,8 @@ class Lattices:
                 i += 1
             while share[i] == 0.0:
                 i -= 1
-            token, t, p, without = found[i]
+            token, t, p = arcs[i]
+            at = mine.get(token)
             tokens.append(token)
             log_prob += math.log(p)
             step += 1
@@ -246,25 +303,30 @@ class Lattices:
 
 
 class Nets:
-    """The lattices of a batch's units: of those that an earlier batch of this worker has had, they are kept."""
-
-    def __init__(self, v: Vocabulary, names: list[str]):
-        if len(v.kept) < KEPT_UNITS and not v.full:
-            v.pending.update(dict.fromkeys(names))
-        at = np.array([v.kept.get(n, -1) for n in names], np.int64)
-        self.new = np.flatnonzero(at < 0)
-        self.old_net, self.net = v.kept_net, Lattices(v, [names[i] for i in self.new])
-        self.at = at
-        self.at[self.new] = np.arange(len(self.new))
-        self.is_new = np.zeros(len(names), bool)
-        self.is_new[self.new] = True
-        if not v.full and len(v.pending) >= KEPT_UNITS:
-            units = list(v.pending)
-            v.kept_net, v.kept, v.pending, v.full = Lattices(v, units), {u: i for i, u in enumerate(units)}, {}, True
-        self.single = np.ones(len(names), bool)
-        self.single[self.new] = self.net.single
+    """The lattices of a batch's distinct units; those of units that this worker's first batches had are kept."""
+
+    def __init__(self, v: Vocabulary, code: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.ndarray):
+        """For units by their places in ``code`` and their hashes ``name``."""
+        at = np.searchsorted(v.kept, name)
+        self.is_new = np.ones(len(name), bool)
+        if len(v.kept):
+            self.is_new = v.kept[np.minimum(at, len(v.kept) - 1)] != name
+        new = np.flatnonzero(self.is_new)
+        mine = gather(code, start[new], size[new])
+        self.old_net, self.net, self.at = v.kept_net, Lattices(v, mine, size[new]), at
+        self.at[new] = np.arange(len(new))
+        self.single = np.ones(len(name), bool)
+        self.single[new] = self.net.single
         if self.old_net is not None:
             self.single[~self.is_new] = self.old_net.single[at[~self.is_new]]
+        elif len(new):
+            v.pending.append((name, mine, size[new]))
+            v.waiting += len(new)
+            if v.waiting >= KEPT_UNITS:
+                names, codes, sizes = (np.concatenate(x) for x in zip(*v.pending, strict=True))
+                v.kept, first = np.unique(names, return_index=True)
+                v.kept_net = Lattices(v, gather(codes, (np.cumsum(sizes) - sizes)[first], sizes[first]), sizes[first])
+                v.pending = []
 
     def of(self, unit: int) -> tuple[Lattices, int]:
         return (self.net if self.is_new[unit] else self.old_net), int(self.at[unit])
@@ -279,19 +341,29 @@ class Nets:
         return out
 
 
+_M1, _M2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+
+
 def uniform(key: np.ndarray, step: int) -> np.ndarray:
-    """In (0, 1), by key and step."""
+    """In (0, 1), by key and step; keys are well mixed already."""
     with np.errstate(over="ignore"):
-        x = mix64(key + np.uint64((step + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+        x = key + np.uint64((step + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))
+        x *= np.uint64(_M1)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(_M2)
+        x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 def uniform_of(key: int, step: int) -> float:
     """``uniform`` of one key."""
-    x, full = (key + (step + 1) * 0xD1B54A32D192ED03) & (2**64 - 1), 2**64 - 1
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
-    return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
+    full = 2**64 - 1
+    x = ((key + (step + 1) * 0xD1B54A32D192ED03) * _M1) & full
+    x = ((x ^ (x >> 32)) * _M2) & full
+    return ((x >> 12) + 0.5) * 2.0**-52
 
 
 def keys(row: np.ndarray, sample: int, unit: np.ndarray) -> np.ndarray:
@@ -310,13 +382,17 @@ def gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
     return flat[np.arange(int(count.sum())) + shift]
 
 
-def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: int) -> list[tuple[int, int, np.ndarray, float, float, float]]:
-    """(text, rank, ids, log_prob, perturbed, inclusion) of up to ``k`` distinct segmentations of each text."""
-    found = [v.units.findall(" " + t) if t else [] for t in texts]
-    many = np.array([len(f) for f in found], np.int64)
+def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: int) -> list[tuple[int, int, np.ndarray, float, float, float, bool]]:
+    """(text, rank, ids, log_prob, perturbed, log_inclusion, lossless) of up to ``k`` distinct segmentations of each text."""
+    code = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    begins = np.cumsum(chars) - chars
+    start = v.units(code, begins[chars > 0]) if len(code) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(code)))
+    many = np.diff(np.searchsorted(start, np.append(begins, len(code))))
     first = np.cumsum(many) - many
-    unit, names = pd.factorize(np.array([u for f in found for u in f], object)) if many.sum() else (np.zeros(0, np.int64), [])
-    net = Nets(v, list(names))
+    name, where, unit = np.unique(v.hashes(code, start, size), return_index=True, return_inverse=True)
+    net = Nets(v, code, start[where], size[where], name)
     doc = np.repeat(np.arange(len(texts)), many)
     nth = np.arange(len(unit)) - first[doc]
     # segmentations of units that some sample holds
@@ -343,8 +419,9 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
 
     one = net.single[unit]
     top = -np.log(-np.log(uniform(rows ^ np.uint64(0xA5A5A5A5), 0)))
+    store(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
     refs = [net.sample(unit, keys(rows[doc], 1, nth), store)]
-    best, alive = [top], [np.array([t is not None for t in texts])]
+    best, alive = [top], [np.array([t is not None for t in texts], bool)]
 
     def rest(sample: int, after: np.ndarray) -> tuple[np.ndarray, ...]:
         """Nodes of the sample's units from ``after[text]`` on: (text, unit's place, sample, prefix mass, bound)."""
@@ -362,17 +439,17 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
     without: dict[tuple[int, int, int], list[int]] = {}
     for r in range(1, k + 1):  # the k+1-th gives the threshold only
         d, take, sample, prefix, bound = nodes
-        order = np.lexsort((-bound, d))
-        lead = order[np.flatnonzero(np.concatenate(([True], d[order][1:] != d[order][:-1])))] if len(d) else order
         value = np.full(len(texts), -np.inf)
-        value[d[lead]] = bound[lead]
+        np.maximum.at(value, d, bound)
+        lead = np.flatnonzero(bound == value[d])
+        lead = lead[np.unique(d[lead], return_index=True)[1]]
         best.append(value)
         alive.append(np.isfinite(value))
         if r == k:
             break
         after, base = np.full(len(texts), 1 << 60), np.zeros(len(texts), np.int64)
         after[d[lead]], base[d[lead]] = nth[take[lead]], sample[lead]
-        old = np.stack(refs)[base[doc], np.arange(len(doc))] if len(doc) else np.zeros(0, np.int64)
+        old = refs[0] if len(refs) == 1 else np.stack(refs)[base[doc], np.arange(len(doc))]
         fresh_at = np.flatnonzero(nth > after[doc])
         new = old.copy()
         new[fresh_at] = net.sample(unit[fresh_at], keys(rows[doc[fresh_at]], r + 1, nth[fresh_at]), store)
@@ -384,7 +461,7 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
             lattice, u = net.of(int(unit[t]))
             tokens, lp = lattice.sample_without(u, int(keys(rows[d[x] : d[x] + 1], r + 1, nth[t : t + 1])[0]), gone)
             drawn.append((t, tokens, lp))
-            left = lattice.mass(int(lattice.rank[u]), int(lattice.size[u]), [*gone, tokens])
+            left = lattice.mass(u, [*gone, tokens])
             split.append((int(d[x]), t, s, float(prefix[x]), left, out))
         ids = store(np.array([i for _, tokens, _ in drawn for i in tokens], np.int32), np.array([len(tokens) for _, tokens, _ in drawn], np.int64), np.array([lp for _, _, lp in drawn]))
         new[[t for t, _, _ in drawn]] = ids
@@ -404,6 +481,8 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
     flat, begin, size, logp = (np.concatenate(x) for x in (flat, begin, size, logp))
     out = []
     kappa = best[k]
+    told = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-8", "surrogatepass"), np.uint8)
+    told_size = np.array([len(t.encode("utf-8", "surrogatepass")) + 1 if t else 0 for t in texts], np.int64)
     for r in range(k):
         ref = refs[r] if r < len(refs) else refs[0]
         tokens = gather(flat, begin[ref], size[ref])
@@ -411,10 +490,18 @@ def segmentations(v: Vocabulary, texts: list[str | None], rows: np.ndarray, k: i
         lp = np.bincount(doc, weights=logp[ref], minlength=len(texts))
         tokens, per = spell(v, tokens, per)
         ends = np.cumsum(per)
+        back, size_back = gather(v.byte_flat, v.byte_begin[tokens], v.byte_size[tokens]), np.zeros(len(texts), np.int64)
+        np.add.at(size_back, np.repeat(np.arange(len(texts)), per), v.byte_size[tokens])
+        if np.array_equal(size_back, told_size) and np.array_equal(back, told):
+            same = np.ones(len(texts), bool)
+        else:
+            z1, z2 = np.cumsum(size_back), np.cumsum(told_size)
+            same = np.array([np.array_equal(back[z1[i] - size_back[i] : z1[i]], told[z2[i] - told_size[i] : z2[i]]) for i in range(len(texts))], bool)
+        above = lp - kappa
         with np.errstate(over="ignore"):
-            inclusion = -np.expm1(-np.exp(lp - kappa))
+            inclusion = np.where(above < -30, above, np.log(-np.expm1(-np.exp(np.maximum(above, -30)))))
         for i in np.flatnonzero(alive[r]):
-            out.append((int(i), r + 1, tokens[ends[i] - per[i] : ends[i]], float(lp[i]), float(best[r][i]), float(inclusion[i])))
+            out.append((int(i), r + 1, tokens[ends[i] - per[i] : ends[i]], float(lp[i]), float(best[r][i]), float(inclusion[i]), bool(same[i])))
     return out
 
 
@@ -446,15 +533,15 @@ def model_file(spark, path: str) -> str:
 
 
 def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sample, ids, n_tokens, log_prob, perturbed, inclusion, lossless): up to ``k`` distinct segmentations of
+    """(id, sample, ids, n_tokens, log_prob, perturbed, log_inclusion, lossless): up to ``k`` distinct segmentations of
     each whole text, the best perturbed first; lossless: their ids decode to the text.
 
-    inclusion is the probability that a segmentation's perturbed log-probability exceeds the k+1-th one,
-    1 - exp(-exp(log_prob - threshold)). The random numbers follow from ``seed``, the id and the text's hash alone, so
+    log_inclusion is the logarithm of the probability that a segmentation's perturbed log-probability exceeds the k+1-th
+    one, 1 - exp(-exp(log_prob - threshold)). The random numbers follow from ``seed``, the id and the text's hash alone, so
     neither partitions nor batches nor reruns change a row.
 
-    - NULL text: no row. Empty text: one row without ids (log_prob 0, inclusion 1).
-    - A text with fewer than ``k`` segmentations: as many rows as there are, inclusion 1.
+    - NULL text: no row. Empty text: one row without ids (log_prob 0, log_inclusion 0).
+    - A text with fewer than ``k`` segmentations: as many rows as there are, log_inclusion 0.
     - Very long texts and texts without blanks are one lattice like any other; unknown characters and U+2581 in the text
       become byte pieces, so decoding gives every valid text back.
     - Repeated rows get the same samples. NULL id: seeded as the least id, and NULL in the result.
@@ -464,7 +551,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(SparkFiles.get(name))
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t", CHUNK):
                 texts = part.column("t").to_pylist()
                 ids = part.column("d").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
@@ -472,12 +559,11 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
                 at = pa.array([r[0] for r in rows], pa.int64())
                 count = np.array([len(r[2]) for r in rows], np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)))
-                same = [v.decode(r[2].tolist()) == texts[r[0]] for r in rows]
-                columns = [part.column("d").take(at), pa.array([r[1] for r in rows], pa.int32()), ids, pa.array(count.astype(np.int32)), *(pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4, 5)), pa.array(same, pa.bool_())]
-                yield pa.record_batch(columns, names=["d", "sample", "ids", "n_tokens", "log_prob", "perturbed", "inclusion", "lossless"])
+                columns = [part.column("d").take(at), pa.array([r[1] for r in rows], pa.int32()), ids, pa.array(count.astype(np.int32)), *(pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4, 5)), pa.array([r[6] for r in rows], pa.bool_())]
+                yield pa.record_batch(columns, names=["d", "sample", "ids", "n_tokens", "log_prob", "perturbed", "log_inclusion", "lossless"])
 
     slim = docs.select(q(id_col).cast("long").alias("d"), F.xxhash64(q(text_col)).alias("rh"), q(text_col).alias("t"))
-    return slim.mapInArrow(each, "d bigint, sample int, ids array<int>, n_tokens int, log_prob double, perturbed double, inclusion double, lossless boolean").withColumnRenamed("d", id_col)
+    return slim.mapInArrow(each, "d bigint, sample int, ids array<int>, n_tokens int, log_prob double, perturbed double, log_inclusion double, lossless boolean").withColumnRenamed("d", id_col)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -489,7 +575,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(SparkFiles.get(name))
-        for batch in batches:
+        for batch in lean(batches):
             texts = [None if ids is None else v.decode(ids) for ids in batch.column(key).to_pylist()]
             kept = [c for c in batch.schema.names if c != key]
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out_col])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, fresh, join_side, materialize, mix64, q, signed
+from .common import Words, chunks, fresh, join_side, lean, materialize, mix64, q, signed, trim
 from .components import components
 
 #: Of 128 bits, so many may differ; sizes (distinct words) may differ by this ratio.
@@ -43,7 +43,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, rh, n, f1, f2): by row its id, the hash of its text, and its fingerprint; rows without a word are left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 f, n = fingerprints(Words(part.column("t")), part.num_rows)
                 has = pa.array(np.flatnonzero(n))
@@ -182,7 +182,7 @@ def shards(prints: DataFrame, metric: Metric, rows: int) -> DataFrame:
     tree = prints.sparkSession.sparkContext.broadcast(build(f, n, metric, min(leaves, SAMPLE // 64)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             row, shard, home = assign(tree.value, *_points(batch), metric)
             part = batch.take(pa.array(row))
             yield pa.record_batch([*part.columns, pa.array(shard.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "shard", "home"])
@@ -208,6 +208,7 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = M
             a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             a, b = np.maximum(a, b), np.minimum(a, b)
         left, right = t.take(pa.array(a)), t.take(pa.array(b))
+        trim()
         return pa.table({"d": left["d"], "rh": left["rh"], "d0": right["d"], "rh0": right["rh"]})
 
     spread = shards(prints, metric, prints.count())

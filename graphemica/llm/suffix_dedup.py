@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, fresh, join_side, mix64, q, signed
+from .common import Words, chunks, fresh, join_side, lean, mix64, q, signed
 
 WINDOW, GRAM = 50, 16
 _MIN_ID = -(1 << 63)
@@ -70,7 +70,7 @@ def landmark_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_co
     """(d, rh, g, a, z, twice): for each document its landmarks and the windows a..z that have them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 w, out, who = Words(part.column("t")), [], []
                 for i, (a, z) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
@@ -96,7 +96,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = window // 2
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, "t"):
                 w, places, one, two, count = Words(part.column("t")), [], [], [], []
                 runs = part.column("runs")
@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     out = docs.withColumn(d, F.coalesce(q(id_col).cast("long"), F.lit(_MIN_ID))).withColumn(rh, F.xxhash64(q(text_col))).join(join_side(gone), [d, rh], "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for part in chunks(batch, key):
                 w, texts = Words(part.column(key)), part.column(key).to_pylist()
                 # lower-casing keeps the number of characters, not that of bytes

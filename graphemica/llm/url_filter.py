@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, q
+from .common import fresh, lean, materialize, q
 
 #: Rules as (pattern, action); the most specific one that a URL is under decides.
 RULES = (
@@ -92,7 +92,7 @@ def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, str, str]] = []
         last = None
-        for batch in batches:
+        for batch in lean(batches):
             keys, kinds, parts, actions, rules = (batch.column(c).to_pylist() for c in (key, kind, part, "__action", "__rule"))
             taken, found = [], []
             for i, k in enumerate(keys):
