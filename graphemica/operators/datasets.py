@@ -163,3 +163,7 @@ def running_best(history: DataFrame, metric: str, order: str = "epoch") -> DataF
     return history.withColumn("best", F.max(metric).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))  # some rows an epoch
 
 
+def assert_equal_lengths(pairs: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """``pairs``, of which one with texts of unequal length is an error when it is read."""
+    wrong = F.raise_error(F.lit("texts of unequal length")).cast("string")
+    return pairs.withColumn(src, F.when(F.length(src) != F.length(tgt), wrong).otherwise(F.col(src)))

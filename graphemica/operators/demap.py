@@ -111,3 +111,9 @@ def learning_curve(pairs: DataFrame, test: DataFrame, key: str, sizes: list[int]
         row = accuracy(model.characters(test, key), test, key).select(F.lit(size).alias("size"), "n", "correct", "accuracy")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def validation_summary(history: DataFrame, metric: str = "accuracy", order: str = "epoch") -> DataFrame:
+    """One row: the last value of a metric, its greatest, and its sample deviation over the second half of the epochs."""
+    last = history.agg(F.max(order).alias("last")).first()["last"] or 0
+    return history.agg(F.max_by(metric, order).alias("last"), F.max(metric).alias("best"), F.stddev_samp(F.when(F.col(order) * 2 > last, F.col(metric))).alias("deviation"))

@@ -11,6 +11,7 @@ import ast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.mapper import Mapper
 from ..sources.charsets import UNKNOWN, charset_table
 
 
@@ -126,6 +127,18 @@ def merge_cer(corpus: DataFrame, merges: dict[str, str], *by: str, text_col: str
     return counts.groupBy(*by).agg(F.sum("n").alias("n_chars"), n.alias("n_changed"), F.try_divide(n, F.sum("n")).alias("cer"))
 
 
+def mapper_distances(corpus: DataFrame, mappers: dict[str, Mapper], *by: str, text_col: str = "text") -> DataFrame:
+    """(by..., a, b, n_chars, n_differ, rate) for each pair of maps: at what share of the characters they differ. The corpus
+    is counted once; the maps meet over its alphabet."""
+    counts = unigram(corpus, *by, text_col=text_col)
+    images = F.array(*[F.struct(F.lit(name).alias("name"), m.column(F.col("chr")).alias("to")) for name, m in sorted(mappers.items())])
+    each = counts.withColumn("images", images)
+    a = each.select(*by, "chr", "n", "images", F.explode("images").alias("x"))
+    both = a.select(*by, "n", F.col("x.name").alias("a"), F.col("x.to").alias("to"), F.explode("images").alias("y")).filter("a < y.name")
+    differ = F.sum(F.when(F.col("to") != F.col("y.to"), F.col("n")).otherwise(0))
+    return both.groupBy(*by, "a", F.col("y.name").alias("b")).agg(F.sum("n").alias("n_chars"), differ.alias("n_differ"), F.try_divide(differ, F.sum("n")).alias("rate"))
+
+
 def duplicate_code_points(table: DataFrame, col: str) -> DataFrame:
     """(col, n): values that occur more than once."""
     return table.groupBy(col).agg(F.count("*").alias("n")).filter("n > 1")

@@ -204,6 +204,35 @@ def merge_cer_reverse(spark, sf_dir):
     return st.merge_cer(_t(spark, sf_dir, "documents"), BACK).withColumn("cer", F.round("cer", 9))
 
 
+_VARIANTS = {"fold": FOLD, "keep": Mapper(charsets["mes1"] + "\n"), "merge": Mapper({c: MERGES.get(c, c) for c in charsets["mes1"] + "\n"})}
+
+
+@query(f"""
+WITH m AS (SELECT chr, n, {_fold_sql('chr')} AS fold, chr AS keep, translate(chr, 'uUjJ', 'vViI') AS merge FROM {COUNTS}),
+p AS (SELECT 'fold' AS a, 'keep' AS b, n, fold <> keep AS differ FROM m UNION ALL SELECT 'fold', 'merge', n, fold <> merge FROM m UNION ALL SELECT 'keep', 'merge', n, keep <> merge FROM m)
+SELECT a, b, CAST(sum(n) AS BIGINT) AS n_chars, CAST(coalesce(sum(n) FILTER (differ), 0) AS BIGINT) AS n_differ, round(coalesce(CAST(sum(n) FILTER (differ) AS DOUBLE), 0) / sum(n), 9) AS rate FROM p GROUP BY a, b
+""")
+def mapper_pair_cer(spark, sf_dir):
+    return st.mapper_distances(_t(spark, sf_dir, "documents"), _VARIANTS).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"""
+WITH s AS ({_sets_sql(['ascii', 'mes1', 'iso_8859_7'])}), a AS (SELECT chr FROM s WHERE name = 'ascii'), m AS (SELECT chr FROM s WHERE name = 'mes1'), g AS (SELECT chr FROM s WHERE name = 'iso_8859_7')
+SELECT 'union' AS op, count(*) AS n FROM (SELECT chr FROM a UNION SELECT chr FROM m UNION SELECT chr FROM g)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT chr FROM m INTERSECT SELECT chr FROM g) UNION ALL SELECT 'except', count(*) FROM (SELECT chr FROM m EXCEPT SELECT chr FROM g)
+UNION ALL SELECT 'others', count(*) FROM a WHERE chr NOT IN (SELECT chr FROM m UNION SELECT chr FROM g)
+""")
+def charset_set_operations(spark, sf_dir):
+    one = lambda name: charset_table(spark, [name]).select("chr")
+    a, m, g = one("ascii"), one("mes1"), one("iso_8859_7")
+    parts = {"union": a.union(m).union(g).distinct(), "intersect": m.intersect(g), "except": m.subtract(g), "others": a.join(m.union(g), "chr", "left_anti")}
+    out = None
+    for op, df in parts.items():
+        row = df.agg(F.lit(op).alias("op"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- mapping --------------------------------------------------------------------------------------------------------
 
 
@@ -634,6 +663,23 @@ def many_to_more_fit(spark, sf_dir):
     return Demapper.fit(pairs, pieces="parts").model
 
 
+@query(None)
+def capitals_demapper(spark, sf_dir):
+    pairs = _t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("src"), F.col("text").alias("tgt"), _md5_unit("doc_id").alias("part"))
+    model = Demapper.fit(pairs.filter("part < 0.8"), width=2)
+    test = pairs.filter("part >= 0.8")
+    return accuracy(model.characters(test, "doc_id"), test, "doc_id")
+
+
+@query(None)
+def learning_curve(spark, sf_dir):
+    from ..operators.demap import learning_curve as curve
+
+    pairs = ds.self_supervised(_t(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("key"), "text"), FOLD)
+    train, test = ds.split(pairs, 0.8, "key")
+    return curve(train, test, "key", [20, 60, 180])
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 

@@ -36,7 +36,16 @@ def windowed_counts(stream: DataFrame, ts: str, *by: str, every: str = "1 hour",
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that has arrived, worked through once, as a table in memory."""
-    query: StreamingQuery = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that has arrived, worked through once.
+
+    Aggregates in "complete" mode, whose size the alphabet bounds, become a table in the driver's memory; rows in "append"
+    mode are written beside the checkpoint as Parquet and read from there.
+    """
+    writer = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True)
+    if mode == "complete":
+        query: StreamingQuery = writer.format("memory").start()
+        query.awaitTermination()
+        return stream.sparkSession.table(name)
+    query = writer.format("parquet").option("path", f"{checkpoint}/rows").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{checkpoint}/rows")

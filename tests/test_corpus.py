@@ -169,7 +169,7 @@ def test_ctc(spark):
 
 
 def test_vectors(spark):
-    v = spark.createDataFrame([(i, [float(i == 0) + i / 9, float(i % 3)]) for i in range(6)], "vec_id int, embedding array<float>")
+    v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(6)], "vec_id int, embedding array<float>")
     top = sq.topk_similar(v, v.filter("vec_id = 1"), 2).orderBy("rank").collect()
     assert top[0].id == 1 and top[0].cosine == pytest.approx(1) and len(top) == 2
     assert {r.query: r.id for r in sq.nearest(v, v).collect()} == {i: i for i in range(6)}
@@ -236,3 +236,28 @@ def test_streams(spark, tmp_path):
     both = source.select(F.col("text").alias("src"), F.upper("text").alias("tgt"))
     t = streams.run_available(streams.running_confusions(both), "t_conf", str(tmp_path / "c3"))
     assert {(r.src_chr, r.tgt_chr): r.n for r in t.collect()} == {("a", "A"): 2, ("b", "B"): 2}
+
+
+def test_sql_functions(spark):
+    from graphemica.functions.register import register
+
+    register(spark, {"upper_dna": Mapper({"a": "A", "c": "C"}, unknown="?")})
+    r = spark.sql("SELECT nfc('e\u0301') AS c, nfd('é') AS d, plain_letters('Žλ') AS p, char_similarity('a', 'a') AS s, cer('ab', 'ac') AS e, cer('', '') AS z, upper_dna('acg') AS u, nfc(NULL) AS n").first()
+    assert tuple(r) == ("é", "e\u0301", "Zl", 1.0, 0.5, 1.0, "AC?", None)
+    steps = spark.sql("SELECT t.id, s.* FROM VALUES (1, 'ACGT', 'AGT'), (2, NULL, 'x') t(id, a, b), LATERAL align(t.a, t.b) s")
+    assert [(x.id, x.op) for x in steps.orderBy("id", "step").collect()] == [(1, "match"), (1, "del"), (1, "match"), (1, "match")]
+    assert [x.text for x in spark.sql("SELECT * FROM text_nodes('<a>x<b>y</b>z</a>')").orderBy("idx").collect()] == ["x", "z", "y"]
+
+
+def test_histories_and_variants(spark, corpus):
+    from graphemica.operators.demap import validation_summary
+
+    h = spark.createDataFrame([(i, x) for i, x in enumerate([0.1, 0.9, 0.5, 0.7], 1)], "epoch int, accuracy double")
+    r = validation_summary(h).first()
+    assert (r.last, r.best) == (0.7, 0.9) and r.deviation == pytest.approx(0.1414, abs=1e-3)
+    d = st.mapper_distances(corpus, {"a": Mapper("Abc\n🧬é"), "b": Mapper("abc\n🧬é")}).first()
+    assert (d.n_chars, d.n_differ) == (8, 2)
+    ok = spark.createDataFrame([("ab", "cd")], "src string, tgt string")
+    assert ds.assert_equal_lengths(ok).count() == 1
+    with pytest.raises(Exception, match="unequal"):
+        ds.assert_equal_lengths(spark.createDataFrame([("a", "cd")], "src string, tgt string")).collect()
