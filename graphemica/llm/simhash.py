@@ -151,17 +151,30 @@ def shard_pairs(f: np.ndarray, n: np.ndarray, home: np.ndarray, metric: Metric,
                 yield order[x[ok]], order[y[ok]]
 
 
+def roots(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The root of each of ``x``, which then points to it."""
+    y = label[x]
+    while ((up := label[y]) != y).any():
+        y = up
+    label[x] = y
+    return y
+
+
 def forest(count: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Each node's smallest index within its component."""
+    """Each node's smallest index within its component.
+
+    Only roots are hooked, each to a smaller one, until the ends of every pair of the batch have the same root: a link
+    that an earlier batch made is never overwritten.
+    """
     label = np.arange(count)
     for a, b in pairs:
         while True:
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
+            a, b = roots(label, a), roots(label, b)
+            apart = a != b
+            if not apart.any():
                 break
-            for x in (label[a], label[b], a, b):
-                np.minimum.at(label, x, low)
-            label = label[label]
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
     while (label != label[label]).any():
         label = label[label]
     return label

@@ -383,6 +383,21 @@ def test_every_pair_meets_once():
         assert set(met) == want and set(met.values()) == {1}
 
 
+def test_forest_keeps_links_of_earlier_batches():
+    batches = lambda e, size: ((e[i : i + size, 0], e[i : i + size, 1]) for i in range(0, len(e), size))
+    trace = np.array([(7, 6), (7, 5), (3, 6), (2, 5)])
+    assert simhash.forest(8, batches(trace, 2)).tolist() == [0, 1, 2, 2, 4, 2, 2, 2]
+    rng = np.random.default_rng(13)
+    for size in (1, 2, 3, 7, 100):
+        for _ in range(60):
+            e = rng.integers(0, 40, (30, 2))
+            want = list(range(40))
+            for a, b in e.tolist():
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+            assert simhash.forest(40, batches(e, size)).tolist() == want
+
+
 def test_simhash_edge(spark, edge):
     out = simhash.dedup_documents(edge)
     assert out.columns == edge.columns
