@@ -45,9 +45,18 @@ def main_lines(lines: Column, block: int = BLOCK, surge: int = SURGE) -> Column:
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
-def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE, html_col: str = "html", out_col: str = "text") -> DataFrame:
+def squeezed(lines: Column, block: int, span: int) -> Column:
+    """``lines`` for blocks of ``span`` text lines: ``block`` empty lines or more become ``span``, shorter gaps vanish."""
+    text = F.regexp_replace(F.array_join(lines, "\n"), rf"(?<!\n)\n{{1,{block}}}(?!\n)", "\n")
+    return F.split(F.regexp_replace(text, rf"\n{{{block + 1},}}", "\n" * (span + 1)), "\n")
+
+
+def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE, html_col: str = "html", out_col: str = "text", span: int | None = None) -> DataFrame:
     """``pages`` with the main text of ``html_col`` in ``out_col``, which replaces ``html_col``.
 
+    With ``span`` a surge is looked for in blocks of so many text lines, over the gaps between them that are too short
+    for a dive, so that short paragraphs surge together; a dive is still ``block`` empty lines.
+
     - NULL page: NULL text. Empty page, or one without a surge: the empty text.
     - Very long pages are one expression like any other; an unclosed comment or script keeps its text as text, an
       unclosed tag as well.
@@ -56,6 +65,8 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE, html_col:
     """
     lines, = fresh(pages, "lines")
     out = pages.withColumn(lines, html_lines(q(html_col)))  # named more than once below, so it stays a column of its own
+    if span is not None:
+        out, block = out.withColumn(lines, squeezed(q(lines), block, span)), span
     text = F.array_join(main_lines(q(lines), block, surge), "\n").alias(out_col)
     return out.select(*[q(c) for c in pages.columns if c not in (html_col, out_col)], text)
 

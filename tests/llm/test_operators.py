@@ -182,6 +182,37 @@ def test_html(spark):
         assert got == {i: extract_by_hand(x, block, surge) for i, x in lines.items()} and any(got.values())
 
 
+def span_by_hand(lines, block, surge, span):
+    out, part, gap = [], [], 0
+    for line in [*lines, *[""] * block]:
+        gap = 0 if line else gap + 1
+        if line:
+            part.append(line)
+        elif gap == block:
+            first = next((i for i in range(len(part)) if sum(len(x) for x in part[i : i + span]) > surge), len(part))
+            out, part = out + part[first:], []
+    return "\n".join(out)
+
+
+def test_html_short_paragraphs(spark):
+    short = [f"Paragraph {i} of about fifty characters, a short one." for i in range(6)]
+    items = [f"Item {i}, one of some forty-five characters." for i in range(8)]
+    tag = lambda name, texts: "".join(f"<{name}>{x}</{name}>" for x in texts)
+    around = lambda body: f"<nav><ul>{tag('li', ['Home', 'News', 'Help'])}</ul></nav><div></div><article>{body}</article><footer>foot</footer>"
+    bodies = [tag("p", short), f"<ul>{tag('li', items)}</ul>", tag("h1", ["A title"]) + tag("p", ["Small one.", "long " * 40])]
+    pages = list(enumerate([*map(around, bodies), None, ""]))
+    rng = np.random.default_rng(6)
+    for i in range(40):
+        pages.append((10 + i, "".join("<p>" + "t" * int(n) + "</p>" if k else "<br>" * int(n % 5) for k, n in zip(rng.integers(0, 4, 30), rng.integers(0, 90, 30), strict=True))))
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, span=3).collect()}
+    assert [got[i] for i in range(5)] == ["\n".join(short), "\n".join(items), "A title\nSmall one.\n" + ("long " * 40).strip(), None, ""]
+    lines = {r.page_id: r.ls for r in df.select("page_id", html_extract.html_lines(F.col("html")).alias("ls")).collect()}
+    for block, surge, span in ((2, 120, 3), (3, 90, 2), (1, 60, 4)):
+        got = {r.page_id: r.text for r in html_extract.extract(df, block, surge, span=span).collect()}
+        assert got == {i: None if x is None else span_by_hand(x, block, surge, span) for i, x in lines.items()} and any(got.values())
+
+
 def test_html_markup(spark):
     body = "word " * 40
     html = f"""<nav><a href="x>y">Home</a></nav><div></div><article><p>{body}&amp; <b>bold</b>&nbsp;end</p><!-- no > --><script>if (a < b) "</p>";</script><p title='a>b' {"q='1' " * 3000}>after</p></article><div></div><footer>foot</footer>"""
