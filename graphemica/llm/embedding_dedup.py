@@ -4,10 +4,15 @@ Vectors are scaled to length 1 and rotated onto the eigenvectors of their second
 blocks of few dimensions, each with the same share of the variance as nearly as may be. If two vectors are nearer than r,
 some block holds no more of their squared distance than its share of r^2; so every pair within r is found by range-joining
 each block under its own budget, and the union of what the joins find is verified in all dimensions. Nothing is missed.
+
+A block's range join cuts its space at medians of its coordinates; a vector lives in one cell and visits those cells that
+lie within reach, and a pair meets in one cell only. Whole vectors travel with it (as they are, in single precision), so a
+pair is verified where it is found, and counted in the first block that finds it: no pair is ever written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,26 +20,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, q
+from .common import join_side, lean, materialize, q, trim
+from .components import components
+from .units import in_units, linked, sides
 
-#: Cosine of two near duplicates at least; dimensions of a block; the coordinates of a block that lay out its cells.
-COSINE, BLOCK_DIMS, CELL_DIMS = 0.97, 8, 2
-_CHUNK = 4096
+#: Cosine of two near duplicates at least; dimensions of a block.
+COSINE, BLOCK_DIMS = 0.97, 16
+#: Vectors of a cell, about, and rows that the cuts are found on. They change no result.
+CELL, SAMPLE = 1 << 15, 1 << 15
+_CHUNK, _PAIRS, _EPS = 4096, 1 << 14, 1e-9
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+    """The vectors, scaled to length 1."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _rotated(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """``x @ axes``, summed in one order whatever other rows there are, so that every task sees the same coordinates."""
+    y = np.zeros_like(x)
+    for k in range(x.shape[1]):
+        y += x[:, k, None] * axes[k]
+    return y
+
+
+def _apart(y: np.ndarray, a: np.ndarray, b: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """Squared distances in some dimensions, summed in one order."""
+    out = np.zeros(len(a))
+    for k in dims:
+        out += (y[a, k] - y[b, k]) ** 2
+    return out
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, x) scaled to length 1, and the number of dimensions: that of most vectors, the larger of two as frequent."""
-    v = q(vec_col).cast("array<double>")
-    ok = vectors.select(q(id_col).cast("long").alias("id"), v.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))))
-    sizes = ok.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).filter("n > 0").orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
-    dims = sizes[0]["n"] if sizes else 1
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
-    scaled = ok.filter(F.size("x") == dims).withColumn("norm", norm).filter("norm > 0").select("id", F.transform("x", lambda y: y / F.col("norm")).alias("x"))
-    return scaled.groupBy("id").agg(F.min("x").alias("x")), dims
+def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
+    """(id, x) as given, the number of dimensions (that of most vectors, the larger of two as frequent) and of rows."""
+    kind = vectors.select(q(vec_col)).dtypes[0][1]
+    x = q(vec_col) if kind == "array<float>" else q(vec_col).cast("array<double>")
+    ok = vectors.select(q(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull())
+    ok = ok.filter(~F.exists("x", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))) & F.exists("x", lambda y: y != 0))
+    sizes = ok.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
+    dims, rows = (sizes[0]["n"], sizes[0]["rows"]) if sizes else (1, 0)
+    ok = ok.filter(F.size("x") == dims)
+    # vectors with an id of their own stay where they are
+    again = join_side(ok.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"))
+    one = ok.join(again, "id", "left_semi").groupBy("id").agg(F.min("x").alias("x"))
+    return ok.join(again, "id", "left_anti").unionByName(one), dims, rows
 
 
 def rotation(units: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +82,7 @@ def rotation(units: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
     parts = units.select("x").mapInArrow(moments, "i bigint, row array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("row")[k]) for k in range(dims)]).alias("row")).orderBy("i").collect()
     total = np.array([r["row"] for r in parts]) if parts else np.eye(dims)
     values, axes = np.linalg.eigh(total)
-    return axes[:, ::-1], np.maximum(values[::-1], 1e-12)
+    return np.ascontiguousarray(axes[:, ::-1]), np.maximum(values[::-1], 1e-12)
 
 
 def blocks(values: np.ndarray, size: int) -> list[np.ndarray]:
@@ -65,73 +96,161 @@ def blocks(values: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.array(b) for b in out]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_dims: int = BLOCK_DIMS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id_a, id_b, cosine) of all pairs id_a < id_b whose cosine is ``cosine`` at least.
+def cuts(y: np.ndarray, dims: np.ndarray, reach: float, cells: float) -> list[tuple]:
+    """The nodes of a block's tree, (coordinate, cut, inner, outer), or (-1, cell, 0, 0) for a cell. Each cuts at the median
+    of that coordinate which leaves the fewest points within reach beyond it, as long as a cut leaves some out of reach."""
+    nodes: list[tuple] = []
+    count = 0
+
+    def grow(at: np.ndarray, cells: float) -> int:
+        nonlocal count
+        me, best = len(nodes), None
+        nodes.append(())
+        if cells > 1.5 and len(at) > 16:
+            for c in dims:
+                mu = float(np.median(y[at, c]))
+                beyond = y[at, c] > mu
+                visit = float(np.mean(beyond & (y[at, c] <= mu + reach)))
+                if 0.1 < beyond.mean() < 0.9 and visit < 0.45 and (best is None or visit < best[0]):
+                    best = visit, c, mu
+        if best is None:
+            nodes[me], count = (-1, count, 0, 0), count + 1
+            return me
+        _, c, mu = best
+        inner = y[at, c] <= mu
+        nodes[me] = (int(c), mu, grow(at[inner], cells / 2), grow(at[~inner], cells / 2))
+        return me
+
+    grow(np.arange(len(y)), cells)
+    return nodes
+
+
+def cells_of(nodes: list[tuple], y: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, int, bool]]:
+    """(rows, cell, whether they live there): a row beyond a cut visits the inner side if it is within reach; a guest goes on
+    into every side that is. So two rows within reach of each other meet in one cell, and one of them lives there."""
+    slack = reach + _EPS
+    stack = [(0, np.arange(len(y)), np.zeros(0, np.int64))]
+    while stack:
+        at, home, guest = stack.pop()
+        c, mu, inner, outer = nodes[at]
+        if c < 0:
+            yield home, int(mu), True
+            yield guest, int(mu), False
+            continue
+        h, g = y[home, c], y[guest, c]
+        stack.append((inner, home[h <= mu], np.concatenate((guest[g <= mu + slack], home[(h > mu) & (h <= mu + slack)]))))
+        stack.append((outer, home[h > mu], guest[g > mu - slack]))
 
-    - NULL ids, NULL vectors, vectors with a NULL, NaN or infinite part, of length 0, or of another number of dimensions
-      than most: in no pair.
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_dims: int = BLOCK_DIMS, id_col: str = "vec_id", vec_col: str = "embedding", cell: int = CELL) -> DataFrame:
+    """(id, class_id, links) of every id: the least id of its class, which are the connected components of the pairs whose
+    cosine is ``cosine`` at least, and the number of vectors that it is in such a pair with.
+
+    - NULL vectors, vectors with a NULL, NaN or infinite part, of length 0, or of another number of dimensions than most:
+      in no pair; their class is their own. NULL ids: left out.
     - Ties: a pair at the threshold itself counts, within 1e-9. Equal vectors are a pair, however many there are.
-    - Repeated rows (same id): one vector, the least; no pair with itself.
-    - Empty table: empty result. Extra columns: not read. Vectors may have any number of dimensions.
+    - Repeated rows (same id): one vector, the least; no pair with itself, one row of the result.
+    - Empty table: empty result. Extra columns: not read. Vectors may have any number of dimensions. Ids are integers, or
+      strings of digits.
+    - ``vectors`` is read several times; hand over a stored table.
     """
-    units, dims = unit_vectors(vectors, id_col, vec_col)
-    units = materialize(units)
+    units, dims, rows = valid_vectors(vectors, id_col, vec_col)
     axes, values = rotation(units, dims)
     parts = blocks(values, block_dims)
-    r2 = 2.0 - 2.0 * cosine
     share = np.array([values[p].sum() for p in parts])
-    budget = r2 * share / share.sum() * (1 + 1e-9) + 1e-12
+    budget = (2.0 - 2.0 * cosine + 4 * _EPS) * share / share.sum() + 1e-12
     reach = np.sqrt(budget)
-    shared = units.sparkSession.sparkContext.broadcast((axes, parts, budget, reach))
-    names = ["block", "c1", "c2", "home", "id", "x"]
+    some = units.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows))) < SAMPLE).select("x").limit(2 * SAMPLE).toArrow()["x"].combine_chunks()
+    y = _rotated(_matrix(some, dims), axes)
+    trees = [cuts(y, p, float(reach[b]), min(rows / cell, SAMPLE / 64)) for b, p in enumerate(parts)]
+    shared = units.sparkSession.sparkContext.broadcast((axes, parts, budget, reach, trees))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes, parts, _, reach = shared.value
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, int, bool]]:
+        axes, parts, _, reach, trees = shared.value
         for big in lean(batches):
             for at in range(0, big.num_rows, _CHUNK):
                 batch = big.slice(at, _CHUNK)
-                y = _matrix(batch.column("x"), dims) @ axes
-                for b, p in enumerate(parts):
-                    cell = np.floor(y[:, p[:CELL_DIMS]] / reach[b]).astype(np.int64)
-                    if cell.shape[1] < 2:
-                        cell = np.hstack([cell, np.zeros((len(cell), 1), np.int64)])
-                    # of two neighbouring cells the lesser looks into the greater, so that each pair meets once
-                    for d1, d2 in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-                        if len(p) < 2 and d2:
-                            continue
-                        n = len(cell)
-                        yield pa.record_batch([pa.array(np.full(n, b, np.int32)), pa.array(cell[:, 0] + d1), pa.array(cell[:, 1] + d2), pa.array(np.full(n, d1 == d2 == 0)), batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), dims).cast(pa.list_(pa.float64()))], names=names)
+                y = _rotated(_matrix(batch.column("x"), dims), axes)
+                for b in range(len(parts)):
+                    for who, c, home in cells_of(trees[b], y, float(reach[b])):
+                        if len(who):
+                            yield batch, b, who, c, home
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b, who, c, home in placed(batches):
+            n, rows = len(who), batch.take(pa.array(who))
+            yield pa.record_batch([pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(np.full(n, home)), rows.column("id"), rows.column("x")], names=["block", "cell", "home", "id", "x"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list[int]] = {}
+        for _, b, who, c, home in placed(batches):
+            total.setdefault((b, c), [0, 0])[not home] += len(who)
+        yield pa.record_batch([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in (0, 1))], names=["block", "cell", "h", "g"])
 
     def meet(t: pa.Table) -> pa.Table:
-        _, parts, budget, _ = shared.value
-        t = t.combine_chunks()
-        b = int(t["block"][0].as_py())
-        x, ids, home = _matrix(t["x"].combine_chunks(), dims), t["id"].to_numpy(), t["home"].to_numpy().astype(bool)
-        z, mine = x[:, parts[b]], np.flatnonzero(home)
-        left, right, cos = [], [], []
-        for i in range(0, len(mine), 512):
-            rows = mine[i : i + 512]
-            d2 = (z[rows] ** 2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * z[rows] @ z.T
-            a, k = np.nonzero(d2 <= budget[b] + 1e-9)
-            a = rows[a]
-            ok = (ids[a] != ids[k]) & (~home[k] | (a < k))
-            a, k = a[ok], k[ok]
-            c = (x[a] * x[k]).sum(1)
-            ok = c >= cosine - 1e-9
-            a, k, c = a[ok], k[ok], c[ok]
-            left.append(np.minimum(ids[a], ids[k]))
-            right.append(np.maximum(ids[a], ids[k]))
-            cos.append(c)
-        a, k, c = (np.concatenate(v) if v else np.zeros(0) for v in (left, right, cos))
-        return pa.table({"id_a": pa.array(a.astype(np.int64)), "id_b": pa.array(k.astype(np.int64)), "cosine": pa.array(c.astype(np.float64))})
-
-    spread = units.mapInArrow(cells, "block int, c1 bigint, c2 bigint, home boolean, id bigint, x array<double>")
-    found = spread.groupBy("block", "c1", "c2").applyInArrow(meet, "id_a bigint, id_b bigint, cosine double")
-    return found.groupBy("id_a", "id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+        axes, parts, budget, _, _ = shared.value
+        t = t.combine_chunks().sort_by("id")
+        b, u, v = (int(t[c][0].as_py()) for c in ("block", "u", "v"))
+        x, ids = _matrix(t["x"].combine_chunks(), dims), t["id"].to_numpy()
+        home = t["home"].to_numpy().astype(bool)
+        left, right = sides(u, v, t["part"].to_numpy(), home)
+        y = _rotated(x, axes)
+        z = y[:, parts[b]].astype(np.float32)
+        size = (z * z).sum(1)
+        most = np.float32(budget[b] + 1e-5)  # more than single precision errs by; what it lets through is verified
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(0, len(left), 256):
+                mine = left[i : i + 256]
+                for j in range(0, len(right), 8192):
+                    yours = right[j : j + 8192]
+                    if u == v and home[yours].all() and yours[-1] < mine[0]:
+                        continue
+                    d2 = z[mine] @ z[yours].T
+                    d2 *= -2
+                    d2 += size[yours]
+                    a, k = np.nonzero(d2 <= (most - size[mine])[:, None])
+                    for at in range(0, len(a), _PAIRS):
+                        one, two = mine[a[at : at + _PAIRS]], yours[k[at : at + _PAIRS]]
+                        ok = ids[one] != ids[two]
+                        if u == v:
+                            ok &= ~home[two] | (one < two)
+                        one, two = one[ok], two[ok]
+                        ok = (x[one] * x[two]).sum(1) >= cosine - _EPS
+                        one, two = one[ok], two[ok]
+                        ok = _apart(y, one, two, parts[b]) <= budget[b]
+                        for earlier in range(b):  # a block before this one has counted it
+                            ok &= _apart(y, one, two, parts[earlier]) > budget[earlier]
+                        if ok.any():
+                            yield one[ok], two[ok]
+
+        label, links = linked(len(ids), pairs())
+        has = np.flatnonzero(links)
+        out = pa.table({"id": pa.array(ids[has]), "root": pa.array(ids[label[has]]), "links": pa.array(links[has])})
+        trim()
+        return out
+
+    counts = units.mapInArrow(counted, "block int, cell int, h bigint, g bigint").groupBy("block", "cell").agg(F.sum("h").alias("h"), F.sum("g").alias("g"))
+    kind = units.select("x").dtypes[0][1]
+    placed_rows = in_units(units.mapInArrow(spread, f"block int, cell int, home boolean, id bigint, x {kind}"), counts, ["block", "cell"], ["id"], cell)
+    found = materialize(placed_rows.groupBy("block", "cell", "u", "v").applyInArrow(meet, "id bigint, root bigint, links bigint"))
+    classes = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("id"), F.col("b").alias("class_id"))
+    degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
+    every = vectors.select(q(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    return every.join(degrees, "id", "left").join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def dedup_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``vectors`` without those that are not the first of their class; rows without an id stay. Cases as above."""
+    gone = near_vectors(vectors, cosine, id_col=id_col, vec_col=vec_col).filter(q("class_id") != q(id_col)).select(q(id_col).alias("__gone"))
+    return vectors.join(join_side(gone), q(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
 SQL = f"""
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COSINE}
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COSINE}
+),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, p.b FROM reach r JOIN p ON r.other = p.a)
+SELECT r.vec_id, min(other) AS class_id, (SELECT count(*) FROM p WHERE p.a = r.vec_id) AS links FROM reach r GROUP BY r.vec_id
 """

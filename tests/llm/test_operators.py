@@ -455,20 +455,29 @@ def test_components(spark, edges):
 # --- 9 embedding dedup ----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("dims,cosine,block", [(64, 0.97, 8), (10, 0.9, 3), (3, 0.8, 8), (1, 0.5, 8)])
-def test_embeddings(spark, dims, cosine, block):
+@pytest.mark.parametrize("dims,cosine,block,cell,kind", [(64, 0.97, 16, 40, "float"), (64, 0.97, 8, 1 << 15, "double"), (10, 0.9, 3, 20, "double"), (3, 0.8, 8, 16, "float"), (1, 0.5, 8, 16, "double")])
+def test_embeddings(spark, dims, cosine, block, cell, kind):
     rng = np.random.default_rng(13)
-    x = rng.normal(size=(300, dims))
+    x = rng.normal(size=(300, dims)).astype(np.float32).astype(float)
     x[150:] = x[:150] + rng.normal(size=(150, dims)) * rng.uniform(0, 0.5, (150, 1))
+    x[200:280] = x[5] + rng.normal(size=(80, dims)) * 0.01  # a crowd, larger than a cell may be
     x[0:5] = x[5]
+    x = x.astype(np.float32).astype(float)
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
     extra = [(900, None, 1), (901, [float("nan")] * dims, 1), (902, [0.0] * dims, 1), (903, [1.0] * (dims + 1), 1), (None, rows[0][1], 1), (904, [None] * dims, 1), rows[7]]
-    df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>, label int").withColumn("x", F.lit(0)).withColumn("id", F.lit(0))
+    df = spark.createDataFrame(rows + extra, f"vec_id long, embedding array<{kind}>, label int").withColumns({c: F.lit(0) for c in ("x", "id", "links", "class_id", "u", "home")})
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= cosine - 1e-9)) if i < j}
-    got = embedding_dedup.near_vectors(df, cosine, block)
-    assert {(r.id_a, r.id_b) for r in got.collect()} == want and want
-    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+    near = u @ u.T >= cosine - 1e-9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.minimum(label, np.where(near, label[None], len(x)).min(1))
+    want = {i: (int(label[i]), int(near[i].sum())) for i in range(len(x))} | {i: (i, 0) for i in range(900, 905)}
+    got = embedding_dedup.near_vectors(df, cosine, block, cell=cell).collect()
+    assert len(got) == len(want) and {r.vec_id: (r.class_id, r.links) for r in got} == want
+    assert embedding_dedup.near_vectors(df.limit(0), cosine, block).count() == 0
+    kept = embedding_dedup.dedup_vectors(df, cosine)
+    assert {r.vec_id for r in kept.collect()} == {i for i, (c, _) in want.items() if c == i} | {None}
 
 
 # --- 10 SentencePiece -----------------------------------------------------------------------------------------------
