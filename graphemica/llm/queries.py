@@ -42,8 +42,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return gone.select(F.col("d").alias("doc_id"), F.col("d0").alias("duplicate_of"))
+    return simhash.class_table(table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, fresh, join_side, lean, materialize, mix64, q, signed, trim
 from .components import components
+from .units import in_units, linked, sides
 
 #: Of 128 bits, so many may differ; sizes (distinct words) may differ by this ratio.
 BITS, MAX_BITS, MIN_RATIO = 128, 22, 0.8
-#: Rows of the sample that the top tree is built on, and fingerprints a shard should hold. Both are physical only.
-SAMPLE, SHARD = 1 << 16, 4096
+#: Rows of the sample that the tree over shards is built on, at least and at most; fingerprints a shard should hold, rows of
+#: a unit of a larger one, and points of a leaf of the tree within a shard. They change no row.
+SAMPLE, MAX_SAMPLE, SHARD, UNIT, LEAF = 1 << 16, 1 << 20, 4096, 1 << 16, 256
 _MIN_ID = -(1 << 63)
 
 
@@ -40,14 +42,13 @@ def fingerprints(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, rh, n, f1, f2): by row its id, the hash of its text, and its fingerprint; rows without a word are left out."""
+    """(d, rh, n, f1, f2): by row its id, the hash of its text, its number of distinct words and its fingerprint."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
             for part in chunks(batch, "t"):
                 f, n = fingerprints(Words(part.column("t")), part.num_rows)
-                has = pa.array(np.flatnonzero(n))
-                yield pa.record_batch([part.column("d").take(has), part.column("rh").take(has), pa.array(n[n > 0].astype(np.int32)), signed(f[n > 0, 0]), signed(f[n > 0, 1])], names=["d", "rh", "n", "f1", "f2"])
+                yield pa.record_batch([part.column("d"), part.column("rh"), pa.array(n.astype(np.int32)), signed(f[:, 0]), signed(f[:, 1])], names=["d", "rh", "n", "f1", "f2"])
 
     slim = docs.select(F.coalesce(q(id_col).cast("long"), F.lit(_MIN_ID)).alias("d"), F.xxhash64(q(text_col)).alias("rh"), q(text_col).alias("t"))
     return slim.mapInArrow(each, "d bigint, rh bigint, n int, f1 bigint, f2 bigint")
@@ -128,120 +129,144 @@ def assign(root: Node, f: np.ndarray, n: np.ndarray, metric: Metric) -> tuple[np
     return np.concatenate([x for x, _, _ in out]), np.concatenate([np.full(len(x), s) for x, s, _ in out]), np.concatenate([np.full(len(x), h) for x, _, h in out])
 
 
-def shard_pairs(f: np.ndarray, n: np.ndarray, home: np.ndarray, metric: Metric, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of one shard within the radius, one of them at home: rows by size, in blocks, against the sizes
-    that the metric allows."""
-    order = np.argsort(n, kind="stable")
-    f, n, home = np.ascontiguousarray(f[order]), n[order], home[order]
-    ratio = math.exp(-metric.radius / metric.scale)
-    mine = np.flatnonzero(home)
-    for i in range(0, len(mine), block):
-        rows = mine[i : i + block]
-        lo, hi = (int(np.searchsorted(n, x, side)) for x, side in ((n[rows[0]] * ratio - 1e-6, "left"), (n[rows[-1]] / ratio + 1e-6, "right")))
-        for j in range(lo, hi, 8192):
-            e = min(hi, j + 8192)
-            h = np.bitwise_count(f[rows, 0, None] ^ f[None, j:e, 0])
-            h += np.bitwise_count(f[rows, 1, None] ^ f[None, j:e, 1])
+def _brute(f: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, metric: Metric) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(left), 256):
+        rows = left[i : i + 256]
+        for j in range(0, len(right), 8192):
+            others = right[j : j + 8192]
+            h = np.bitwise_count(f[rows, 0, None] ^ f[None, others, 0])
+            h += np.bitwise_count(f[rows, 1, None] ^ f[None, others, 1])
             x, y = np.nonzero(h <= metric.radius)
-            x, y = rows[x], y + j
-            ok = (x < y) | (~home[y])
-            x, y = x[ok], y[ok]
+            x, y = rows[x], others[y]
             ok = metric.near(f[x], n[x], f[y], n[y])
             if ok.any():
-                yield order[x[ok]], order[y[ok]]
+                yield x[ok], y[ok]
 
 
-def roots(label: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The root of each of ``x``, which then points to it."""
-    y = label[x]
-    while ((up := label[y]) != y).any():
-        y = up
-    label[x] = y
-    return y
-
+def near_of(f: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, metric: Metric, leaf: int = LEAF, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``left`` and one of ``right`` within the radius, by a vantage-point tree over ``left``: the rows of
+    ``right`` follow it down into each side that their balls reach. Of some vantage points the one that leaves the fewest
+    pairs to look at is taken; where none leaves out a tenth of them, all are looked at."""
+    rng = np.random.default_rng(seed)
+    slack = metric.radius + 1e-6
+    stack = [(left, right)]
+    while stack:
+        left, right = stack.pop()
+        if not len(left) or not len(right):
+            continue
+        best = None
+        if len(left) > leaf:
+            some, others = (x if len(x) <= 512 else rng.choice(x, 512, replace=False) for x in (left, right))
+            for k in (None, *rng.choice(left, 4)):
+                f0, n0 = (np.zeros(2, np.uint64), 1) if k is None else (f[k], n[k])
+                dl, dr = metric.distance(f[some], n[some], f0, n0), metric.distance(f[others], n[others], f0, n0)
+                mu = float(np.median(dl))
+                inner = float(np.mean(dl <= mu))
+                cost = inner * np.mean(dr <= mu + slack) + (1 - inner) * np.mean(dr > mu - slack)
+                if inner < 1 and cost < 0.9 and (best is None or cost < best[0]):
+                    best = float(cost), f0, n0, mu
+        if best is None:
+            yield from _brute(f, n, left, right, metric)
+            continue
+        _, f0, n0, mu = best
+        dl, dr = metric.distance(f[left], n[left], f0, n0), metric.distance(f[right], n[right], f0, n0)
+        stack.append((left[dl <= mu], right[dr <= mu + slack]))
+        stack.append((left[dl > mu], right[dr > mu - slack]))
 
-def forest(count: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Each node's smallest index within its component.
 
-    Only roots are hooked, each to a smaller one, until the ends of every pair of the batch have the same root: a link
-    that an earlier batch made is never overwritten.
-    """
-    label = np.arange(count)
-    for a, b in pairs:
-        while True:
-            a, b = roots(label, a), roots(label, b)
-            apart = a != b
-            if not apart.any():
-                break
-            a, b = a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+def unit_pairs(f: np.ndarray, n: np.ndarray, home: np.ndarray, metric: Metric, u: int = 0, v: int = 0, part: np.ndarray | None = None, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a unit (see ``units``) within the radius, each once."""
+    left, right = sides(u, v, np.zeros(len(n), np.int32) if part is None else part, home)
+    for a, b in near_of(f, n, left, right, metric, leaf):
+        if u == v:
+            ok = ~home[b] | (a < b)
+            a, b = a[ok], b[ok]
+        if len(a):
+            yield a, b
 
 
-_ROW = "d bigint, rh bigint, n int, f1 bigint, f2 bigint"
+_ROW = "d bigint, rh bigint, n int, f1 bigint, f2 bigint, m bigint"
 
 
 def _points(t) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([t.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("f1", "f2")], 1), t.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def shards(prints: DataFrame, metric: Metric, rows: int) -> DataFrame:
-    """``prints`` with shard and home, a row for each shard that a point lives in or visits."""
-    leaves = max(1, math.ceil(rows / SHARD))
-    sample = prints.orderBy("f1", "f2", "n").limit(SAMPLE) if rows <= SAMPLE else prints.filter(F.pmod(F.xxhash64("f2", "d"), F.lit(rows)) < SAMPLE)
-    f, n = _points(sample.select("f1", "f2", "n").toArrow().combine_chunks())
-    tree = prints.sparkSession.sparkContext.broadcast(build(f, n, metric, min(leaves, SAMPLE // 64)))
+def shards(prints: DataFrame, metric: Metric, rows: int, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """``prints`` with shard and home, a row for each shard that a point lives in or visits; and (shard, h, g), the points at
+    home and the guests of each. The tree is built on 64 points a shard, at most MAX_SAMPLE; where more shards would be
+    needed they grow instead, and ``in_units`` cuts them."""
+    want = min(MAX_SAMPLE, max(SAMPLE, 64 * math.ceil(rows / shard)))
+    sample = prints.filter(F.pmod(F.xxhash64("f2", "d"), F.lit(max(1, rows))) < want).select("f1", "f2", "n").toArrow().combine_chunks().sort_by([("f1", "ascending"), ("f2", "ascending"), ("n", "ascending")])
+    f, n = _points(sample)
+    tree = prints.sparkSession.sparkContext.broadcast(build(f, n, metric, min(max(1, math.ceil(rows / shard)), want // 64)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
-            row, shard, home = assign(tree.value, *_points(batch), metric)
+            row, at, home = assign(tree.value, *_points(batch), metric)
             part = batch.take(pa.array(row))
-            yield pa.record_batch([*part.columns, pa.array(shard.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "shard", "home"])
+            yield pa.record_batch([*part.columns, pa.array(at.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "shard", "home"])
 
-    return prints.select("d", "rh", "n", "f1", "f2").mapInArrow(each, _ROW + ", shard int, home boolean")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches):
+            _, at, home = assign(tree.value, *_points(batch), metric)
+            h, g = np.bincount(at[home], minlength=1), np.bincount(at[~home], minlength=1)
+            size = max(len(h), len(g))
+            h, g = (np.pad(x, (0, size - len(x))) for x in (h, g))
+            yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(h), pa.array(g)], names=["shard", "h", "g"])
+
+    counts = prints.select("n", "f1", "f2").mapInArrow(counted, "shard int, h bigint, g bigint").groupBy("shard").agg(F.sum("h").alias("h"), F.sum("g").alias("g"))
+    return prints.select("d", "rh", "n", "f1", "f2", "m").mapInArrow(each, _ROW + ", shard int, home boolean"), counts
 
 
-def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, spanning: bool = True) -> DataFrame:
-    """(d, rh, d0, rh0) edges between distinct fingerprints within the radius: of each shard a spanning forest, or with
-    ``spanning=False`` every pair."""
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, shard: int = SHARD, unit: int = UNIT) -> DataFrame:
+    """(d, rh, d0, rh0, links) for fingerprints (d, rh, n, f1, f2, m), of each shard: those that are near another one, the
+    first one that they are joined to there, and how many rows (m of each fingerprint) are near. Every pair within the
+    radius is looked at in one shard, and none is written."""
     metric = Metric(max_bits, min_ratio)
 
     def each(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("d", "ascending"), ("rh", "ascending")])
         f, n = _points(t)
-        pairs = shard_pairs(f, n, t.column("home").to_numpy().astype(bool), metric)
-        if spanning:
-            label = forest(len(n), pairs)
-            a = np.flatnonzero(label != np.arange(len(n)))
-            b = label[a]
-        else:
-            found = list(pairs)
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            a, b = np.maximum(a, b), np.minimum(a, b)
-        left, right = t.take(pa.array(a)), t.take(pa.array(b))
+        pairs = unit_pairs(f, n, t.column("home").to_numpy().astype(bool), metric, int(t["u"][0].as_py()), int(t["v"][0].as_py()), t["part"].to_numpy())
+        label, links = linked(len(n), pairs, t["m"].to_numpy())
+        a = np.flatnonzero(links)
+        left, right = t.take(pa.array(a)), t.take(pa.array(label[a]))
+        out = pa.table({"d": left["d"], "rh": left["rh"], "d0": right["d"], "rh0": right["rh"], "links": pa.array(links[a])})
         trim()
-        return pa.table({"d": left["d"], "rh": left["rh"], "d0": right["d"], "rh0": right["rh"]})
+        return out
 
-    spread = shards(prints, metric, prints.count())
-    return spread.groupBy("shard").applyInArrow(each, "d bigint, rh bigint, d0 bigint, rh0 bigint")
+    spread, counts = shards(prints, metric, prints.count(), shard)
+    return in_units(spread, counts, ["shard"], ["d", "rh"], unit).groupBy("shard", "u", "v").applyInArrow(each, "d bigint, rh bigint, d0 bigint, rh0 bigint, links bigint")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, rh, d0, rh0): each document (id, hash of its text) that goes, with the one of its group that stays: the
-    first by (id, hash). Groups are connected components of the pairs within the radius. Rows that share id and text
-    are one document here."""
+def near_classes(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, rh, d0, rh0, links): for each document (id, hash of its text) the first document of its class by (id, hash),
+    and the number of documents that are within the radius of it. Classes are the connected components of the pairs within
+    the radius. Rows that share id and text are one document here; a document without a word is a class of its own."""
     rows = materialize(fingerprint_table(docs, id_col, text_col).dropDuplicates(["d", "rh"]))
     me = F.struct("d", "rh")
-    prints = materialize(rows.groupBy("f1", "f2", "n").agg(F.min(me).alias("k")).select("k.d", "k.rh", "n", "f1", "f2"))
-    found = components(near_pairs(prints, max_bits, min_ratio).select(me.alias("a"), F.struct(F.col("d0").alias("d"), F.col("rh0").alias("rh")).alias("b")))
-    # equal fingerprints follow the first of them
-    first = Window.partitionBy("f1", "f2", "n").orderBy("d", "rh")
-    named = rows.withColumn("head", F.first(me).over(first)).select("d", "rh", "head")
-    joined = named.join(found.select(F.col("a").alias("head"), "b"), "head", "left")
-    # the head is the least of its fingerprint, b the least of all heads joined: so b is the least of the group
-    return joined.withColumn("one", F.coalesce("b", "head")).filter(me != F.col("one")).select("d", "rh", F.col("one.d").alias("d0"), F.col("one.rh").alias("rh0"))
+    # equal fingerprints are one point of the search, however many there are
+    prints = materialize(rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min(me).alias("k"), F.count("*").alias("m")).select("k.d", "k.rh", "n", "f1", "f2", "m"))
+    near = materialize(near_links(prints, max_bits, min_ratio))
+    heads = components(near.select(me.alias("a"), F.struct(F.col("d0").alias("d"), F.col("rh0").alias("rh")).alias("b"))).select("a.d", "a.rh", "b")
+    degree = near.groupBy("d", "rh").agg(F.sum("links").alias("near"))
+    told = prints.join(degree, ["d", "rh"], "left").join(heads, ["d", "rh"], "left").filter("m > 1 or near is not null")
+    told = join_side(told.select("f1", "f2", "n", F.coalesce("b", me).alias("one"), (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
+    one = F.coalesce("one", me)
+    return rows.join(told, ["f1", "f2", "n"], "left").select("d", "rh", one["d"].alias("d0"), one["rh"].alias("rh0"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, rh, d0, rh0): each document (id, hash of its text) that goes, with the one of its class that stays."""
+    return near_classes(docs, max_bits, min_ratio, id_col, text_col).filter("d <> d0 or rh <> rh0").drop("links")
+
+
+def class_table(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, links) of every document (distinct rows of id and text): the least id of its class, and the number of
+    documents within the radius. Cases are those of ``dedup_documents``; a NULL id stays NULL."""
+    some = lambda c: F.when(F.col(c) != _MIN_ID, F.col(c))
+    return near_classes(docs, max_bits, min_ratio, id_col, text_col).select(some("d").alias(id_col), some("d0").alias("class_id"), "links")
 
 
 def dedup_documents(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

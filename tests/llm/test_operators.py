@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as some
 from pyspark.sql import functions as F
 
-from graphemica.llm import common, components, embedding_dedup, html_extract, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece, simhash, suffix_dedup, url_filter
+from graphemica.llm import common, components, embedding_dedup, html_extract, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece, simhash, suffix_dedup, units, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
@@ -241,8 +241,18 @@ def test_repeated_windows(spark, window, gram):
     shared = " ".join(sentences(7, 1, size=7)[0].split()[: window + 3])
     rows = [(i, f"{t} {shared if i % 3 == 0 else ''} {t[:40]}") for i, t in enumerate(base)] + [(50, base[0]), (51, "a b " * 60), (52, "tick " * (2 * window)), (53, "short"), (54, None), (55, "")]
     df = table(spark, rows + rows[:2])
-    got = {(r.d, r.p, r.later) for r in suffix_dedup.repeated_windows(df, window, gram).collect()}
-    assert got == windows_by_hand(rows, window) and got
+    for hot in (suffix_dedup.HOT, 3):  # counted before they move, or sorted
+        got = [(r.d, r.p, r.later) for r in suffix_dedup.repeated_windows(df, window, gram, hot=hot).collect()]
+        assert set(got) == windows_by_hand(rows, window) and got
+
+
+def test_passage_of_half_the_documents(spark):
+    shared = sentences(8, 1, size=20)[0]
+    rows = [(i, f"{t} {shared} {t[:30]}" if i % 2 else t) for i, t in enumerate(sentences(9, 60))] + [(100 + i, shared) for i in range(20)]
+    want = windows_by_hand(rows, suffix_dedup.WINDOW)
+    for hot in (suffix_dedup.HOT, 10):
+        got = suffix_dedup.repeated_passages(table(spark, rows), hot=hot).collect()
+        assert {(r.d, p, r.later) for r in got for p in range(r.start, r.end - suffix_dedup.WINDOW + 1)} == want
 
 
 def test_passages_are_cut(spark):
@@ -391,6 +401,38 @@ def test_simhash_groups(spark):
     want = {d: first[label[i]] for i, (d, _) in enumerate(rows) if first[label[i]] != d}
     got = {r.d: r.d0 for r in simhash.near_duplicates(table(spark, rows)).collect()}
     assert got == want == truth
+    told = simhash.class_table(table(spark, rows)).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in told} == {d: (first[label[i]], sum(near[i]) - 1) for i, (d, _) in enumerate(rows)} and len(told) == len(rows)
+
+
+def test_simhash_shards_and_units(spark):
+    rng = np.random.default_rng(21)
+    f = rng.integers(0, 2**63, (900, 2), dtype=np.int64).astype(np.uint64)
+    for i in range(0, 900, 3):  # near ones
+        f[i + 1] = f[i] ^ (np.uint64(1) << rng.integers(0, 63, 2).astype(np.uint64))
+    f[600:] = f[600]  # a crowd that no cut parts
+    f[600:, 1] ^= np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)
+    n, m = rng.integers(5, 400, 900), rng.integers(1, 4, 900)
+    n[1::3] = n[0::3]
+    n[600:] = 100
+    rows = [(i, 7 * i, int(n[i]), *(int(x) for x in f[i].view(np.int64)), int(m[i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "d long, rh long, n int, f1 long, f2 long, m long")
+    metric = simhash.Metric(simhash.MAX_BITS, simhash.MIN_RATIO)
+    near = np.array([metric.near(f, n, f[i], n[i]) for i in range(900)])
+    np.fill_diagonal(near, False)
+    found = simhash.near_links(df, shard=60, unit=50).collect()
+    links, label = collections.Counter(), list(range(900))
+    for r in found:
+        links[r.d] += r.links
+    assert dict(links) == {i: int(m[near[i]].sum()) for i in range(900) if near[i].any()}
+    label = {i: i for i in range(900)}
+    want = dict(label)
+    for _ in range(60):
+        for r in found:
+            label[r.d] = label[r.d0] = min(label[r.d], label[r.d0])
+        for i, j in zip(*np.nonzero(near)):
+            want[i] = want[j] = min(want[i], want[j])
+    assert label == want
 
 
 def test_every_pair_meets_once():
@@ -408,7 +450,7 @@ def test_every_pair_meets_once():
         met = collections.Counter()
         for s in set(shard.tolist()):
             at = row[shard == s]
-            for a, b in simhash.shard_pairs(f[at], n[at], home[shard == s], metric, block=50):
+            for a, b in simhash.unit_pairs(f[at], n[at], home[shard == s], metric, leaf=10):
                 met.update((min(x, y), max(x, y)) for x, y in zip(at[a].tolist(), at[b].tolist()))
         want = {(i, j) for i in range(600) for j in range(i + 1, 600) if metric.near(f[i : i + 1], n[i : i + 1], f[j], n[j])[0]}
         assert set(met) == want and set(met.values()) == {1}
@@ -417,7 +459,7 @@ def test_every_pair_meets_once():
 def test_forest_keeps_links_of_earlier_batches():
     batches = lambda e, size: ((e[i : i + size, 0], e[i : i + size, 1]) for i in range(0, len(e), size))
     trace = np.array([(7, 6), (7, 5), (3, 6), (2, 5)])
-    assert simhash.forest(8, batches(trace, 2)).tolist() == [0, 1, 2, 2, 4, 2, 2, 2]
+    assert units.forest(8, batches(trace, 2)).tolist() == [0, 1, 2, 2, 4, 2, 2, 2]
     rng = np.random.default_rng(13)
     for size in (1, 2, 3, 7, 100):
         for _ in range(60):
@@ -426,7 +468,7 @@ def test_forest_keeps_links_of_earlier_batches():
             for a, b in e.tolist():
                 low, high = sorted((want[a], want[b]))
                 want = [low if x == high else x for x in want]
-            assert simhash.forest(40, batches(e, size)).tolist() == want
+            assert units.forest(40, batches(e, size)).tolist() == want
 
 
 def test_simhash_edge(spark, edge):
