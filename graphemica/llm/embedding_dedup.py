@@ -196,33 +196,37 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_dims: int = B
         left, right = sides(u, v, t["part"].to_numpy(), home)
         y = _rotated(x, axes)
         z = y[:, parts[b]].astype(np.float32)
-        size = (z * z).sum(1)
+        size, ones = (z * z).sum(1, keepdims=True), np.ones((len(z), 1), np.float32)
+        one_side, other_side = np.hstack([-2 * z, size, ones]), np.hstack([z, ones, size])  # whose product is the squared distance
         most = np.float32(budget[b] + 1e-5)  # more than single precision errs by; what it lets through is verified
 
+        def tiles() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for group in (right[home[right]], right[~home[right]]):
+                for j in range(0, len(group), 4096):
+                    yours = np.ascontiguousarray(other_side[group[j : j + 4096]].T)
+                    for i in range(0, len(left), 256):
+                        mine = left[i : i + 256]
+                        if u == v and home[group[j]] and group[min(j + 4095, len(group) - 1)] < mine[0]:
+                            break
+                        yield mine, group[j : j + 4096], one_side[mine] @ yours
+
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i in range(0, len(left), 256):
-                mine = left[i : i + 256]
-                for j in range(0, len(right), 8192):
-                    yours = right[j : j + 8192]
-                    if u == v and home[yours].all() and yours[-1] < mine[0]:
-                        continue
-                    d2 = z[mine] @ z[yours].T
-                    d2 *= -2
-                    d2 += size[yours]
-                    a, k = np.nonzero(d2 <= (most - size[mine])[:, None])
-                    for at in range(0, len(a), _PAIRS):
-                        one, two = mine[a[at : at + _PAIRS]], yours[k[at : at + _PAIRS]]
-                        ok = ids[one] != ids[two]
-                        if u == v:
-                            ok &= ~home[two] | (one < two)
-                        one, two = one[ok], two[ok]
-                        ok = (x[one] * x[two]).sum(1) >= cosine - _EPS
-                        one, two = one[ok], two[ok]
-                        ok = _apart(y, one, two, parts[b]) <= budget[b]
-                        for earlier in range(b):  # a block before this one has counted it
-                            ok &= _apart(y, one, two, parts[earlier]) > budget[earlier]
-                        if ok.any():
-                            yield one[ok], two[ok]
+            for mine, yours, d2 in tiles():
+                hit = np.flatnonzero(d2 <= most)
+                a, k = hit // len(yours), hit % len(yours)
+                for at in range(0, len(a), _PAIRS):
+                    one, two = mine[a[at : at + _PAIRS]], yours[k[at : at + _PAIRS]]
+                    ok = ids[one] != ids[two]
+                    if u == v:
+                        ok &= ~home[two] | (one < two)
+                    one, two = one[ok], two[ok]
+                    ok = (x[one] * x[two]).sum(1) >= cosine - _EPS
+                    one, two = one[ok], two[ok]
+                    ok = _apart(y, one, two, parts[b]) <= budget[b]
+                    for earlier in range(b):  # a block before this one has counted it
+                        ok &= _apart(y, one, two, parts[earlier]) > budget[earlier]
+                    if ok.any():
+                        yield one[ok], two[ok]
 
         label, links = linked(len(ids), pairs())
         has = np.flatnonzero(links)

@@ -517,6 +517,8 @@ def test_embeddings(spark, dims, cosine, block, cell, kind):
     want = {i: (int(label[i]), int(near[i].sum())) for i in range(len(x))} | {i: (i, 0) for i in range(900, 905)}
     got = embedding_dedup.near_vectors(df, cosine, block, cell=cell).collect()
     assert len(got) == len(want) and {r.vec_id: (r.class_id, r.links) for r in got} == want
+    if dims != 10:
+        return
     assert embedding_dedup.near_vectors(df.limit(0), cosine, block).count() == 0
     kept = embedding_dedup.dedup_vectors(df, cosine)
     assert {r.vec_id for r in kept.collect()} == {i for i, (c, _) in want.items() if c == i} | {None}
