@@ -163,11 +163,11 @@ def _lasso(s: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
 
 def labelled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of the first ``max_train`` labelled documents by the hash of their id; a document's label is
-    the more frequent one, 1 if tied. Only these numbers come to the driver."""
-    known = labels.filter(q(id_col).isNotNull() & q(label_col).isNotNull()).groupBy(q(id_col).alias("i")).agg((F.avg(q(label_col)) >= 0.5).cast("double").alias("y"))
+    the more frequent one, 1 if tied; of rows that share an id the least text is used. Only these numbers come to the driver."""
+    known = labels.select(q(id_col).alias("i"), q(label_col).alias("y")).filter("i is not null and y is not null").groupBy("i").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     some = known.orderBy(F.xxhash64("i"), "i").limit(max_train)  # so few rows may be broadcast at any size of the tables
-    stats = statistics(q(text_col))
-    rows = docs.join(F.broadcast(some), q(id_col) == F.col("i")).select(F.col("i"), F.col("y"), *[c.alias(k) for k, c in stats.items()]).dropDuplicates(["i"]).orderBy("i").toPandas()
+    texts = docs.select(q(id_col).alias("i"), q(text_col).alias("t")).join(F.broadcast(some), "i").groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+    rows = texts.select("i", "y", *[c.alias(k) for k, c in statistics(F.col("t")).items()]).orderBy("i").toPandas()
     return rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(float)
 
 
@@ -177,7 +177,7 @@ def classify(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col
     - NULL text: scored as the empty text. Very long texts: whole. Empty table: empty result.
     - Ties: a score of ``threshold`` is kept. Repeated rows: scored alike, each. NULL id: scored, NULL in the result.
     - Extra columns: not read. In training, documents without a label, and labels without a document, take no part;
-      a label of NULL is none; of rows that share an id one is used.
+      a label of NULL is none; of rows that share an id the least text is used.
     """
     names = fresh(docs, *STATISTICS)
     stats = statistics(q(text_col))
