@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, materialize, q
+from .common import fresh, join_side, lean, materialize, q
 
 #: Rules as (pattern, action); the most specific one that a URL is under decides.
 RULES = (
@@ -43,10 +43,10 @@ def canonical_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","), path)
 
 
-def _rule_table(spark, rules) -> DataFrame:
-    given = spark.createDataFrame([(str(p), str(a)) for p, a in rules], "pattern string, action string")
-    # a rule given twice: the first action in the alphabet holds
-    return given.select(canonical_key(F.col("pattern")).alias("key"), "pattern", "action").groupBy("key").agg(F.min(F.struct("action", "pattern")).alias("x")).select("key", "x.action", "x.pattern")
+def _rule_table(given: DataFrame) -> DataFrame:
+    """(key, action, pattern); of a rule given twice the first action in the alphabet holds."""
+    keyed = given.select(canonical_key(F.col("pattern")).alias("key"), "pattern", "action").filter("key is not null")
+    return keyed.groupBy("key").agg(F.min(F.struct("action", "pattern")).alias("x")).select("key", "x.action", "x.pattern")
 
 
 def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
@@ -63,11 +63,9 @@ def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     - Extra columns stay; those named url_key, action, rule or depth are replaced.
     """
     spark = pages.sparkSession
-    table = rules if isinstance(rules, DataFrame) else _rule_table(spark, rules)
-    if isinstance(rules, DataFrame):
-        table = rules.select(canonical_key(F.col("pattern")).alias("key"), "pattern", "action").filter("key is not null").groupBy("key").agg(F.min(F.struct("action", "pattern")).alias("x")).select("key", "x.action", "x.pattern")
+    table = _rule_table(rules if isinstance(rules, DataFrame) else spark.createDataFrame([(str(p), str(a)) for p, a in rules], "pattern string, action string"))
     names = [c for c in pages.columns if c.lower() not in ("url_key", "action", "rule", "depth")]
-    kind, part, key = fresh(pages, "kind", "part", "key")
+    kind, part, key, act, own = fresh(pages, "kind", "part", "key", "action", "rule")
     keyed = materialize(pages.select(*[q(c) for c in names], canonical_key(q(url_col)).alias(key)))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     count = keyed.count()
@@ -84,7 +82,7 @@ def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
         return pd.Series(np.searchsorted(shared.value, np.array([k.encode() for k in keys], object), "right").astype(np.int32))
 
     points = keyed.withColumn(part, F.when(q(key).isNull(), F.lit(-1)).otherwise(place(F.coalesce(q(key), F.lit("")))))
-    spans = table.select(F.explode(F.sequence(place("key"), place(F.concat("key", F.lit(_LAST))))).alias(part), F.col("key").alias(key), F.col("action").alias("__action"), F.col("pattern").alias("__rule"))
+    spans = table.select(F.explode(F.sequence(place("key"), place(F.concat("key", F.lit(_LAST))))).alias(part), F.col("key").alias(key), F.col("action").alias(act), F.col("pattern").alias(own))
     both = points.withColumn(kind, F.lit(1)).unionByName(spans.withColumn(kind, F.lit(0)), allowMissingColumns=True)
     sorted_rows = both.repartition(parts, part).sortWithinPartitions(part, key, kind)
     schema = keyed.select(*[q(c) for c in names], q(key).alias("url_key")).schema.add("action", "string").add("rule", "string").add("depth", "integer")
@@ -93,7 +91,7 @@ def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
         stack: list[tuple[str, str, str]] = []
         last = None
         for batch in lean(batches):
-            keys, kinds, parts, actions, rules = (batch.column(c).to_pylist() for c in (key, kind, part, "__action", "__rule"))
+            keys, kinds, parts, actions, rules = (batch.column(c).to_pylist() for c in (key, kind, part, act, own))
             taken, found = [], []
             for i, k in enumerate(keys):
                 if parts[i] != last:
@@ -116,8 +114,12 @@ def match(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
-    """``pages`` without those that a "block" rule decides; cases are those of ``match``."""
-    return match(pages, rules, url_col).filter(F.coalesce(F.col("action") != "block", F.lit(True))).select(*[q(c) for c in pages.columns])
+    """``pages`` without those that a "block" rule decides; cases are those of ``match``. Only keys are swept; the pages
+    themselves move only if the blocked keys are too many to be sent to all of them."""
+    blocked = match(pages.select(q(url_col).alias("u")), rules, "u").filter("action = 'block'").select("url_key").distinct()
+    key, = fresh(pages, "key")
+    kept = pages.withColumn(key, canonical_key(q(url_col))).join(join_side(blocked.select(F.col("url_key").alias(key))), key, "left_anti")
+    return kept.select(*[q(c) for c in pages.columns])
 
 
 def _sql_key(x: str) -> str:
