@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,20 +51,33 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder
+    of its own; on a cluster it is an error, as no folder of the driver's is there for the executors."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return _own_dir()
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: its lineage is cut and executors may be lost."""
+    """``df`` written once to the shared folder and read again: its lineage is cut and executors may be lost. Tables lie in a
+    folder of the application, see ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphemica/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphemica/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphemica_path = path
     return out
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphemica/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a ``materialize``d table that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._graphemica_path)

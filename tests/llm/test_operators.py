@@ -126,6 +126,33 @@ def test_classifier(spark):
     assert 0 < len(model.rules) < 60 and quality_classifier.fit(docs, labels) == model
 
 
+def test_rules_and_lasso_by_hand(spark):
+    rng = np.random.default_rng(31)
+    x = np.round(rng.normal(size=(400, 4)), 2)
+    y = ((x[:, 0] > 0.3) & (x[:, 2] <= 0.5) | (rng.random(400) < 0.1)).astype(float)
+    model = quality_classifier.train(x, y)
+    assert model.rules
+    columns = np.array([[all((v[k] > at) == above for k, above, at in r.terms) for v in x.tolist()] for r in model.rules], float).T
+    z = model.bias + columns @ np.array(model.weights)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-z)))
+    # the optimum of the mean logistic loss under the L1 norm of standardised rules: slopes of the size of the penalty
+    s = (columns - columns.mean(0)) / columns.std(0)
+    slope = s.T @ (1 / (1 + np.exp(-z)) - y) / len(y)
+    w = np.array(model.weights) * columns.std(0)
+    big = np.abs(w) > 1e-3
+    assert big.any() and np.allclose(slope[big], -quality_classifier.PENALTY * np.sign(w[big]), atol=5e-4) and (np.abs(slope) < quality_classifier.PENALTY + 5e-4).all()
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double, d double")
+    got = [r[0] for r in df.select(model.column([F.col(c) for c in "abcd"])).collect()]
+    assert np.allclose(got, model.score(x))
+
+
+def test_classifier_clashing_columns(spark):
+    docs = table(spark, [(i, f"{'good words here' if i % 2 else '$$$ %%% |||'} {i}") for i in range(60)]).withColumns({c: F.lit("clash") for c in ("i", "y", "log_chars", "__score")})
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(60)], "doc_id long, quality int, i string")
+    out = quality_classifier.classify(docs, quality_classifier.fit(docs, labels)).collect()
+    assert len(out) == 60 and all(r.keep == bool(r.doc_id % 2) for r in out)
+
+
 def test_classifier_edge(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_classifier.fit(edge, none)
@@ -175,10 +202,11 @@ def test_html(spark):
     for i in range(60):
         parts = ["<p>" + "t" * int(n) + "</p>" if k else "<div></div>" * int(n % 5) for k, n in zip(rng.integers(0, 3, 30), rng.integers(0, 150, 30), strict=True)]
         pages.append((i, "<html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>"))
-    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("text", F.lit("old")).withColumn("lines", F.lit(1))
+    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("Text", F.lit("old")).withColumn("lines", F.lit(1))
+    assert html_extract.extract(df).columns == ["page_id", "lines", "text"]
     for block, surge in ((2, 120), (3, 90), (1, 10)):
         lines = {r.page_id: r.ls for r in df.select("page_id", html_extract.html_lines(F.col("html")).alias("ls")).collect()}
-        got = {r.page_id: r.text for r in html_extract.extract(df, block, surge).collect()}
+        got = {r.page_id: r.text for r in html_extract.extract(df, block, surge, span=None).collect()}
         assert got == {i: extract_by_hand(x, block, surge) for i, x in lines.items()} and any(got.values())
 
 
@@ -223,6 +251,22 @@ def test_html_markup(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_entities_and_head(spark):
+    import html
+
+    names = [f"&{k}" for k in html.entities.html5 if k[-1] == ";"]
+    numbers = [f"&#{n};" for n in (0, 34, 65, 128, 150, 159, 233, 252, 8364, 55296, 65536, 128512, 1114111, 1114112)] + ["&#xe9;", "&#XFC;", "&#x1F600;", "&nosuchname;", "&amp;lt;", "&#38;amp;", "a&b;c", "&", "&;", "é & ü"]
+    texts = ["".join(names[i : i + 40]) for i in range(0, len(names), 40)] + numbers + ["x".join(numbers)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    odd = {"\x81", "\x8d", "\x8f", "\x90", "\x9d"}
+    for r in df.select("t", html_extract.decode_entities(F.col("t")).alias("got")).collect():
+        if "1114111" not in r.t:  # not a character for html.unescape, but one for others
+            assert r.got == html.unescape(r.t) or set(r.got) & odd, r
+    title, body = "T" * 200, "w" * 130
+    page = f"<html><head><script>a</script><style>b</style><title>{title}</title></head><body><header>h</header><p>caf&eacute; {body} &#252;</p></body></html>"
+    assert html_extract.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first().text.endswith(f"café {body} ü") and title not in html_extract.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first().text
+
+
 # --- 5 suffix dedup -------------------------------------------------------------------------------------------------
 
 
@@ -356,8 +400,10 @@ def test_urls(spark, parts):
             got = url_filter.match(df, given_rules).orderBy("page_id").collect()
             assert [(r.action, r.rule, r.depth) for r in got] == match_by_hand([r.url_key for r in got], [(k, a, p) for k, (a, p) in keyed.items()])
             assert len(got) == 2 * len(urls)
-        kept = url_filter.filter_urls(df, rules)
-        assert kept.columns == df.columns and kept.count() == sum(r.action != "block" for r in got)
+        wide = df.withColumns({c: F.lit(1) for c in ("__rule", "__action", "__key", "url_key")})
+        assert url_filter.match(wide, rules).filter("action = 'block'").count() == sum(r.action == "block" for r in got)
+        kept = url_filter.filter_urls(wide, rules)
+        assert kept.columns == wide.columns and kept.count() == sum(r.action != "block" for r in got)
         assert url_filter.match(df.limit(0), rules).count() == 0 and url_filter.match(df, given.limit(0)).filter("depth > 0").count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
