@@ -13,7 +13,7 @@ from .functions.mapper import Mapper
 from .functions.similarity import distance_matrix, linkage
 from .operators import datasets as ds
 from .operators import stats as st
-from .operators.demap import Demapper, accuracy
+from .operators.demap import Demapper
 from .plans.session import ship
 from .sources import sinks
 from .sources import text as tx
@@ -92,7 +92,7 @@ def train(spark, a):
     learn, test = ds.split(keyed, a.ratio, "key")
     model = Demapper.fit(learn, a.width, pieces="parts" if a.many_to_more else None)
     if not a.many_to_more:
-        model.history = accuracy(model.characters(test, "key"), test, "key").select(F.lit(1).alias("epoch"), "n", "correct", "accuracy")
+        model.history = model.accuracy(test, "key").select(F.lit(1).alias("epoch"), "n", "correct", "accuracy")
     model.save(a.model, a.overwrite)
     if model.history is not None:
         _show(model.history, None)

@@ -1,16 +1,22 @@
 """Error rates and alignments of two texts.
 
-Distances alone are native (``levenshtein`` counts characters). Paths are worked out in Arrow batches: rows of the distance
-table are numpy operations, and only the way back is a loop.
+Distances alone are native (``levenshtein`` counts characters). Paths are worked out in Arrow batches, many pairs at a time:
+the table of distances is kept along its diagonal only, in a band that doubles until it holds every cell which an optimal path
+or a neighbour of it can touch, so work and memory follow length times distance and not the product of the lengths. What is
+kept of a cell is its step, one byte; of a very large table only some rows are kept, and the rest is worked out again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import counted
+
 MATCH, SUB, DEL, INS = "match", "sub", "del", "ins"
 STEPS = "array<struct<i:int,j:int,op:string,a:string,b:string>>"
 _FAR = 1 << 28
@@ -29,35 +35,202 @@ def positional_cer(pred: Column, truth: Column, strict: bool = False) -> Column:
     return F.when(F.length(pred) != F.length(truth), F.raise_error(F.lit("texts of unequal length")).cast("double")).otherwise(rate) if strict else rate
 
 
+def within(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance if it is ``most`` (an integer) at most, else -1; only cells that near the diagonal are worked out."""
+    return F.call_function("levenshtein", a, b, F.greatest(most.cast("int"), F.lit(0)))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """The native edit distance. It is looked for near the diagonal first; only texts further apart take the whole table."""
+    near = within(a, b, F.greatest(F.lit(8), F.length(b) / 5))
+    return F.when(near >= 0, near).otherwise(F.levenshtein(a, b))
+
+
 def cer(a: Column, b: Column, normalize: bool = False) -> Column:
     """Edit distance; normalised by the longer length, and then 1 where both are empty."""
-    d = F.levenshtein(a, b)
+    d = edit_distance(a, b)
     if not normalize:
         return d
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(d / longest)
 
 
-def distances(a: np.ndarray, b: np.ndarray, band: int | None = None) -> np.ndarray:
-    """The table of edit distances of all prefixes. Within a row, the insertions are a running minimum. With ``band``
-    only cells at most so far from the diagonal take part."""
-    m, n = len(a), len(b)
-    table = np.empty((m + 1, n + 1), np.int32)
-    place = np.arange(n + 1, dtype=np.int32)
-    table[0] = place
-    outside = lambda i: np.abs(place - i) > band
-    if band is not None:
-        table[0][outside(0)] = _FAR
-    for i in range(1, m + 1):
-        row = np.empty(n + 1, np.int32)
-        row[0] = i
-        np.minimum(table[i - 1, :-1] + (b != a[i - 1]), table[i - 1, 1:] + 1, out=row[1:])
-        if band is not None:
-            row[outside(i)] = _FAR
-        table[i] = np.minimum.accumulate(row - place) + place
-        if band is not None:
-            table[i][outside(i)] = _FAR
-    return table
+#: Steps kept at a time, in bytes; pairs of a batch; the first band beyond the difference of the lengths.
+_CELLS, _PAIRS, _BAND = 1 << 25, 512, 8
+_OPS = (MATCH, SUB, DEL, INS)
+_SUB, _DEL, _INS = 1, 2, 3
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+class _Table:
+    """Rows of the tables of edit distances of some pairs, along their diagonals: offset o of row i is column i - band + o."""
+
+    def __init__(self, xs: list[np.ndarray], ys: list[np.ndarray], band: int):
+        self.m, self.n = (np.array([len(t) for t in ts]) for ts in (xs, ys))
+        self.rows, self.band, self.width = int(self.m.max(initial=0)), band, 2 * band + 1
+        self.x = np.full((len(xs), self.rows), -1, np.int32)
+        self.y = np.full((len(xs), self.rows + self.width), -2, np.int32)  # column j stands at j + band
+        for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            self.x[k, : len(x)] = x
+            self.y[k, band : band + len(y)] = y[: self.y.shape[1] - band]
+        self.place = np.arange(self.width, dtype=np.int32)
+
+    def first(self) -> np.ndarray:
+        row = np.where(self.place >= self.band, self.place - self.band, _FAR).astype(np.int32)
+        return np.repeat(row[None], len(self.m), 0)
+
+    def following(self, i: int, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row i, the distances diagonally before its cells and above them), from row i - 1."""
+        up = np.full_like(above, _FAR)
+        up[:, :-1] = above[:, 1:]
+        row = np.minimum(above + (self.y[:, i - 1 : i - 1 + self.width] != self.x[:, i - 1, None]), up + 1)
+        if i <= self.band:
+            row[:, : self.band - i] = _FAR
+        row -= self.place
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += self.place
+        if i <= self.band:
+            row[:, : self.band - i] = _FAR
+        return row, above, up
+
+    @staticmethod
+    def steps(row: np.ndarray, diagonal: np.ndarray, up: np.ndarray, first: str) -> np.ndarray:
+        """The step on the way back from each cell of a row."""
+        left = np.full_like(row, _FAR)
+        left[:, 1:] = row[:, :-1]
+        if first == "diagonal":
+            return np.where(diagonal <= np.minimum(up, left), _SUB, np.where(up <= left, _DEL, _INS)).astype(np.uint8)
+        return np.where(row == up + 1, _DEL, np.where(row == left + 1, _INS, _SUB)).astype(np.uint8)
+
+
+def _solve(xs: list[np.ndarray], ys: list[np.ndarray], band: int, first: str | None) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distances within the band, and (i, j, step) of all pairs still under way, step by step from the end; ``first=None``:
+    distances only."""
+    t = _Table(xs, ys, band)
+    count, at_end = len(xs), t.n - t.m + band
+    every = np.arange(count)
+    distance = np.where(t.m == 0, t.n, _FAR).astype(np.int64)
+    # rows are kept whole from block to block; within the block that the way back is in, as steps
+    block = max(1, min(t.rows, _CELLS // max(1, count * t.width)))
+    if block < t.rows:
+        block = max(1, int(np.sqrt(t.rows)))
+    kept = {0: t.first()}
+    row = kept[0]
+    for i in range(1, t.rows + 1):
+        row, _, _ = t.following(i, row)
+        done = every[t.m == i]
+        distance[done] = row[done, np.clip(at_end[done], 0, t.width - 1)]
+        if first and i % block == 0:
+            kept[i] = row
+
+    def back() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        i, j = t.m.copy(), t.n.copy()
+        begin, table = t.rows + 1, np.zeros((0, count, t.width), np.uint8)
+        while True:
+            top = int(i.max(initial=0))
+            if top < begin and top > 0:
+                begin = (top - 1) // block * block + 1
+                row, parts = kept[begin - 1], []
+                for k in range(begin, min(begin + block, t.rows + 1)):
+                    row, diagonal, up = t.following(k, row)
+                    parts.append(t.steps(row, diagonal, up, first))
+                table = np.stack(parts)
+            # pairs that are in an earlier block already wait; those without rows left only insert
+            live = (i > 0) | (j > 0)
+            if not live.any():
+                return
+            turn = np.flatnonzero(live & ((i >= begin) | (top == 0)))
+            a, b = i[turn], j[turn]
+            op = np.full(len(turn), _INS, np.uint8)
+            inner = np.flatnonzero((a > 0) & (b > 0))
+            op[inner] = table[a[inner] - begin, turn[inner], b[inner] - a[inner] + band] if len(inner) else 0
+            op[(b == 0) & (a > 0)] = _DEL
+            i[turn] -= op != _INS
+            j[turn] -= op != _DEL
+            yield turn, np.stack((i[turn], j[turn])), op
+
+    return distance, back() if first else iter(())
+
+
+def _groups(xs: list[np.ndarray], ys: list[np.ndarray], limit: int | None) -> Iterator[tuple[list[int], int, bool]]:
+    """(pairs, band, whether the band is final): pairs of like length and band together. What is sent back is worked out
+    anew with a larger band."""
+    sizes = sorted(range(len(xs)), key=lambda k: (abs(len(xs[k]) - len(ys[k])), len(xs[k])))
+    at = 0
+    while at < len(sizes):
+        k = sizes[at]
+        apart = abs(len(xs[k]) - len(ys[k]))
+        band = max(1, limit) if limit is not None else apart + _BAND
+        to, most = at, 0
+        while to < len(sizes) and to - at < _PAIRS:
+            x = sizes[to]
+            most = max(most, len(xs[x]))
+            if abs(len(xs[x]) - len(ys[x])) > apart + _BAND // 2 or (to - at + 1) * most * (2 * band + 1) > _CELLS and to > at:
+                break
+            to += 1
+        yield sizes[at:to], band, limit is not None
+        at = to
+
+
+def paths(xs: list[np.ndarray], ys: list[np.ndarray], first: str, band: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, operation) arrays for each pair, from the beginning on: i and j the characters before the step, operations as
+    places in _OPS."""
+    out: list = [None] * len(xs)
+    work = list(_groups(xs, ys, band))
+    while work:
+        mine, width, final = work.pop()
+        a, b = [xs[k] for k in mine], [ys[k] for k in mine]
+        distance, back = _solve(a, b, width, first)
+        full = max(max(len(x), len(y)) for x, y in zip(a, b, strict=True)) + 1
+        short = [k for k, d in zip(mine, distance.tolist(), strict=True) if not final and width < full and d + 1 > width]
+        if short:
+            wider = min(full, max(2 * width, 2))
+            for s in range(0, len(short), max(1, len(short) // 2)):
+                work.append((short[s : s + max(1, len(short) // 2)], wider, False))
+            left = [k for k in mine if k not in set(short)]
+            if left:
+                work.append((left, width, True))
+            continue
+        turns, places, ops = [], [], []
+        for turn, place, op in back:
+            turns.append(turn)
+            places.append(place)
+            ops.append(op)
+        if turns:
+            who, place, op = np.concatenate(turns), np.concatenate(places, 1), np.concatenate(ops)
+            order = np.argsort(who, kind="stable")
+            place, op = place[:, order], op[order]
+            ends = np.cumsum(np.bincount(who, minlength=len(mine)))
+        for k, p in enumerate(mine):
+            if not turns:
+                out[p] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+                continue
+            z, s = int(ends[k]), int(ends[k - 1]) if k else 0
+            i, j, o = place[0, s:z][::-1], place[1, s:z][::-1], op[s:z][::-1].copy()
+            inner = np.flatnonzero(o == _SUB)
+            o[inner[xs[p][i[inner]] == ys[p][j[inner]]]] = 0
+            out[p] = (i, j, o)
+    return out
+
+
+def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Of each pair, exactly; memory follows the length and the distance."""
+    out = np.zeros(len(xs), np.int64)
+    work = list(_groups(xs, ys, None))
+    while work:
+        mine, width, _ = work.pop()
+        a, b = [xs[k] for k in mine], [ys[k] for k in mine]
+        distance, _ = _solve(a, b, width, None)
+        for k, x, y, d in zip(mine, a, b, distance.tolist(), strict=True):
+            full = max(len(x), len(y)) + 1
+            if d + 1 > width and width < full:
+                work.append(([k], min(full, 2 * width), False))
+            else:
+                out[k] = d
+    return out
 
 
 def backtrace(a: str, b: str, first: str, band: int | None = None) -> list[tuple[int, int, str]]:
@@ -66,36 +239,66 @@ def backtrace(a: str, b: str, first: str, band: int | None = None) -> list[tuple
     ``first="diagonal"``: on the way back the least neighbouring distance decides, the diagonal one if it is no greater,
     then a deletion. ``first="gap"``: of the cheapest steps a deletion, then an insertion, then the diagonal.
     """
-    x, y = (np.array([ord(c) for c in t], np.int32) for t in (a, b))
-    d = distances(x, y, band)
-    i, j, out = len(a), len(b), []
-    while i or j:
-        if not i:
-            op = INS
-        elif not j:
-            op = DEL
-        elif first == "diagonal":
-            up, left, diagonal = d[i - 1, j], d[i, j - 1], d[i - 1, j - 1]
-            op = SUB if diagonal <= min(up, left) else DEL if up <= left else INS
-        else:
-            op = DEL if d[i, j] == d[i - 1, j] + 1 else INS if d[i, j] == d[i, j - 1] + 1 else SUB
-        i, j = i - (op != INS), j - (op != DEL)
-        out.append((i, j, MATCH if op == SUB and a[i] == b[j] else op))
-    return out[::-1]
+    (i, j, op), = paths([codes(a)], [codes(b)], first, band)
+    return [(x, y, _OPS[o]) for x, y, o in zip(i.tolist(), j.tolist(), op.tolist(), strict=True)]
+
+
+def _usable(xs: pa.Array, ys: pa.Array, band: int | None) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """The rows that have an alignment, and their code points."""
+    rows, a, b = [], [], []
+    for k, (x, y) in enumerate(zip(xs.to_pylist(), ys.to_pylist(), strict=True)):
+        if x is not None and y is not None and not (band is not None and abs(len(x) - len(y)) > band):
+            rows.append(k)
+            a.append(codes(x))
+            b.append(codes(y))
+    return rows, a, b
+
+
+def _letters(points: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Characters by code point, the empty text where there is none."""
+    known, at = np.unique(np.where(there, points, -1), return_inverse=True)
+    return pa.array(["" if p < 0 else chr(p) for p in known.tolist()], pa.string()).take(pa.array(at.reshape(-1)))
+
+
+def _listed(count: int, rows: list[int], sizes: list[int], values: pa.Array) -> pa.Array:
+    """A list for each of ``count`` rows: pieces of ``values`` for ``rows``, NULL for the others."""
+    size = np.zeros(count, np.int64)
+    size[rows] = sizes
+    missing = np.ones(count, bool)
+    missing[rows] = False
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing))
 
 
 def align(pred: Column, truth: Column, first: str = "diagonal", band: int | None = None) -> Column:
     """The steps from ``pred`` to ``truth`` as an array of (i, j, op, a, b); NULL if either is NULL, or if the lengths
     differ by more than ``band``."""
 
-    @F.pandas_udf(STEPS)
-    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None or band is not None and abs(len(x) - len(y)) > band:
-                return None
-            return [{"i": i, "j": j, "op": op, "a": x[i] if op != INS else "", "b": y[j] if op != DEL else ""} for i, j, op in backtrace(x, y, first, band)]
+    @F.arrow_udf(STEPS)
+    def each(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        rows, a, b = _usable(xs, ys, band)
+        found = paths(a, b, first, band)
+        i, j, op = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        pick = lambda texts, k, gap: np.concatenate([t[np.minimum(f[k], len(t) - 1)] if len(t) else np.zeros(len(f[k]), np.int32) for t, f in zip(texts, found, strict=True)]) if found else np.zeros(0, np.int32)
+        left, right = _letters(pick(a, 0, _INS), op != _INS), _letters(pick(b, 1, _DEL), op != _DEL)
+        steps = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(_OPS).take(pa.array(op.astype(np.int8))), left, right], ["i", "j", "op", "a", "b"])
+        return _listed(len(xs), rows, [len(f[2]) for f in found], steps)
+
+    return each(pred, truth)
+
 
-        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=object)
+def edit_ops(pred: Column, truth: Column, first: str = "diagonal") -> Column:
+    """How many steps of each kind ``align`` has: a struct of match, sub, del and ins; NULL if either is NULL."""
+
+    @F.arrow_udf("struct<match:int,sub:int,del:int,ins:int>")
+    def each(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        rows, a, b = _usable(xs, ys, None)
+        counts = np.zeros((len(xs), 4), np.int32)
+        for k, f in zip(rows, paths(a, b, first), strict=True):
+            counts[k] = np.bincount(f[2], minlength=4)
+        missing = np.ones(len(xs), bool)
+        missing[rows] = False
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(counts[:, k])) for k in range(4)], list(_OPS), mask=pa.array(missing))
 
     return each(pred, truth)
 
@@ -113,29 +316,26 @@ def substitution_only(steps: Column) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.when(s["op"] == INS, s["b"]).otherwise(s["a"])), "")
 
 
-def align_substrings(a: Column, b: Column, band: int = 80) -> Column:
+def align_substrings(a: Column, b: Column, band: int | None = None) -> Column:
     """For each character of ``a`` its piece of ``b``: matched or substituted, with the insertions after it; insertions
-    before the first go to the first. NULL where the lengths differ by more than ``band`` or ``a`` is empty."""
-
-    @F.pandas_udf(PARTS)
-    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            if not x or y is None or abs(len(x) - len(y)) > band:
-                return None
-            parts, lead, at = [""] * len(x), "", -1
-            for i, j, op in backtrace(x, y, "gap", band):
-                if op == INS:
-                    if at < 0:
-                        lead += y[j]
-                    else:
-                        parts[at] += y[j]
-                else:
-                    at = i
-                    parts[i] += "" if op == DEL else y[j]
-            parts[0] = lead + parts[0]
-            return [{"src": c, "tgt": p} for c, p in zip(x, parts, strict=True)]
-
-        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=object)
+    before the first go to the first. NULL where ``a`` is empty, or where the lengths differ by more than a given ``band``,
+    which no path leaves then."""
+
+    @F.arrow_udf(PARTS)
+    def each(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        rows, a, b = _usable(xs, ys, band)
+        some = [k for k, x in enumerate(a) if len(x)]
+        rows, a, b = ([v[k] for k in some] for v in (rows, a, b))
+        src, tgt = [], []
+        for x, y, (i, _, op) in zip(a, b, paths(a, b, "gap", band), strict=True):
+            # a deletion takes nothing of y, every other step one character, in order
+            owner = np.maximum(np.where(op == _INS, i - 1, i), 0)[op != _DEL]
+            cuts = np.searchsorted(owner, np.arange(len(x) + 1))
+            text = y.tobytes().decode("utf-32-le", "surrogatepass")
+            src += list(x.tobytes().decode("utf-32-le", "surrogatepass"))
+            tgt += [text[s:z] for s, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        parts = pa.StructArray.from_arrays([pa.array(src, pa.string()), pa.array(tgt, pa.string())], ["src", "tgt"])
+        return _listed(len(xs), rows, [len(x) for x in a], parts)
 
     return each(a, b)
 
@@ -147,23 +347,26 @@ def confusions(aligned: DataFrame, steps_col: str = "steps", *by: str) -> DataFr
 
 
 def positional_confusions(pairs: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """confusion(src_chr, tgt_chr, n) of pairs of equal length, natively; other pairs are left out."""
-    rows = pairs.filter((F.length(src) == F.length(tgt)) & (F.length(src) > 0)).select(F.explode(F.arrays_zip(F.split(src, "").alias("a"), F.split(tgt, "").alias("b"))).alias("s"))
-    return rows.groupBy(F.col("s.a").alias("src_chr"), F.col("s.b").alias("tgt_chr")).agg(F.count("*").alias("n"))
-
-
-def token_distance(a: Column, b: Column, most: int = 400 * 400) -> Column:
-    """Edit distance of two arrays of tokens; NULL where the table would have more than ``most`` cells."""
-
-    @F.pandas_udf("int")
-    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None or len(x) * len(y) > most:
-                return None
-            ids = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-            return int(distances(np.array([ids[t] for t in x], np.int32), np.array([ids[t] for t in y], np.int32))[-1, -1])
-
-        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype="Int32")
+    """confusion(src_chr, tgt_chr, n) of pairs of equal length, counted batch by batch; other pairs are left out."""
+    return counted(pairs, [src, tgt], ["src_chr", "tgt_chr"])
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of tokens, of any length; NULL if either is NULL."""
+
+    @F.arrow_udf("int")
+    def each(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        rows, left, right = [], [], []
+        for k, (x, y) in enumerate(zip(xs.to_pylist(), ys.to_pylist(), strict=True)):
+            if x is not None and y is not None:
+                ids = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
+                rows.append(k)
+                left.append(np.array([ids[t] for t in x], np.int32))
+                right.append(np.array([ids[t] for t in y], np.int32))
+        out: list = [None] * len(xs)
+        for k, d in zip(rows, edit_distances(left, right).tolist(), strict=True):
+            out[k] = d
+        return pa.array(out, pa.int32())
 
     return each(a, b)
 

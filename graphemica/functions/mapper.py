@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.charsets import UNKNOWN
+from .batches import points, raw, texts_of
 from .similarity import char_similarity, similarity_mapping
-from .unicode import normalize
 
 
 def char_class(letters: str) -> str:
@@ -27,7 +32,7 @@ class Mapper:
 
     ``unit="codepoint"`` maps characters after normalisation to ``form`` (NFC by default); ``unit="utf16"`` maps code units
     as they are, so a character outside the basic plane becomes two unknown ones, and accepts only maps of the basic plane.
-    Columns are native expressions: one pass of a translation table a text, one more for unknown characters.
+    Columns look every character up once, in a table of all code points, a whole batch at a time.
     """
 
     def __init__(self, mapping: dict[str, str] | str, unknown: str = UNKNOWN, unit: str = "codepoint", form: str | None = "nfc"):
@@ -89,38 +94,45 @@ class Mapper:
 
     def __call__(self, text: str) -> str:
         """One string, without Spark."""
-        import unicodedata
-
         if self.form:
-            text = unicodedata.normalize({"nfc": "NFC", "nfd": "NFD"}[self.form], text)
+            text = unicodedata.normalize(self.form.upper(), text)
         wide = self.unknown * (2 if self.unit == "utf16" else 1)
         return "".join(self.mapping.get(c, wide if ord(c) > 0xFFFF else self.unknown) for c in text)
 
+    def _table(self) -> np.ndarray:
+        """The image of every code point."""
+        out = np.full(0x110000, ord(self.unknown), np.uint32)
+        out[[ord(c) for c in self.mapping]] = [ord(c) for c in self.mapping.values()]
+        return out
+
     def column(self, text: Column) -> Column:
-        """``text`` mapped; NULL stays NULL."""
-        if self.form:
-            text = normalize(text, self.form)
-        if self.unit == "utf16":
-            text = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", self._quoted(self.unknown * 2))
-        known = char_class(self.src_alphabet)
-        text = F.regexp_replace(text, f"[^{known}]", self._quoted(self.unknown))
-        moved = {a: b for a, b in self.mapping.items() if a != b}
-        return F.translate(text, "".join(moved), "".join(moved.values())) if moved else text
+        """``text`` mapped; NULL stays NULL. One look-up a character, known or not, in Arrow batches; only texts that are not
+        in the normal form are normalised."""
+
+        @F.arrow_udf("string")
+        def mapped(texts: pa.Array) -> pa.Array:
+            return _apply(self, texts)
+
+        return mapped(text)
 
     def closed_column(self, text: Column, alphabet: str) -> Column:
-        """``column`` for texts whose characters are all in ``alphabet``, in one pass without a regular expression."""
+        """``column`` for texts whose characters are all in ``alphabet`` and in the normal form, as a native expression."""
         out = {c: self.mapping.get(c, self.unknown) for c in alphabet}
         moved = {a: b for a, b in out.items() if a != b}
         return F.translate(text, "".join(moved), "".join(moved.values())) if moved else text
 
-    @staticmethod
-    def _quoted(replacement: str) -> str:
-        return replacement.replace("\\", "\\\\").replace("$", "\\$")
-
     def labels(self, text: Column) -> Column:
         """Indices into ``src_alphabet``, 0 for characters that are not there."""
-        letters = F.array(*[F.lit(c) for c in self.mapping])
-        return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.array_position(letters, c).cast("int"))
+
+        @F.arrow_udf("array<int>")
+        def labelled(texts: pa.Array) -> pa.Array:
+            code, bounds = points(texts)
+            table = np.zeros(0x110000, np.int32)
+            table[[ord(c) for c in self.mapping]] = np.arange(1, len(self.mapping) + 1)
+            null = pc.is_null(texts) if texts.null_count else None
+            return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(table[code]), mask=null)
+
+        return labelled(text)
 
     def from_labels(self, labels: Column) -> Column:
         """The targets of labels; 0 and labels out of range give the unknown character."""
@@ -131,10 +143,10 @@ class Mapper:
         """For each character a vector with 1 at its label, or the transposed matrix."""
         labels, width = self.labels(text), len(self)
         one = lambda x, y: F.when(x == y, 1.0).otherwise(0.0)
-        columns = F.sequence(F.lit(0), F.lit(width - 1))
         if time_first:
-            return F.transform(labels, lambda x: F.transform(columns, lambda c: one(x, c)))
-        return F.transform(columns, lambda c: F.transform(labels, lambda x: one(x, c)))
+            return F.transform(labels, lambda x: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: one(x, c)))
+        row = lambda c: F.transform(labels, lambda x: one(x, F.lit(c)))  # noqa: E731  (labels must stand outside of a lambda)
+        return F.array(*[row(c) for c in range(width)])
 
     def from_onehot(self, matrix: Column) -> Column:
         """The text of time-first vectors, by the place of each one's greatest value."""
@@ -150,6 +162,32 @@ class Mapper:
         return spark.createDataFrame(list(self.mapping.items()), "src string, dst string")
 
 
+_tables: dict[Mapper, tuple[np.ndarray, bytes | None]] = {}
+
+
+def _apply(mapper: Mapper, texts: pa.Array) -> pa.Array:
+    """``texts`` mapped; a worker keeps the table of the last map."""
+    if mapper not in _tables:
+        _tables.clear()
+        table = mapper._table()
+        _tables[mapper] = table, table[:128].astype(np.uint8).tobytes() + bytes(128) if (table[:128] < 128).all() else None
+    table, small = _tables[mapper]
+    data, offsets = raw(texts)
+    if small is not None and not (data > 127).any():  # a byte a character, before and after
+        out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes().translate(small)))
+        return out if not texts.null_count else pc.if_else(pc.is_valid(texts), out, pa.scalar(None, pa.string()))
+    if mapper.form and not unicodedata.is_normalized(mapper.form.upper(), data.tobytes().decode("utf-8", "surrogatepass")):
+        normal = pa.array([t and unicodedata.normalize(mapper.form.upper(), t) for t in texts.to_pylist()], pa.string())
+        code, bounds = points(normal)
+    else:
+        code, bounds = points(texts)
+    out = table[code]
+    if mapper.unit == "utf16" and (code > 0xFFFF).any():
+        twice = 1 + (code > 0xFFFF).astype(np.int64)
+        out, bounds = np.repeat(out, twice), np.concatenate(([0], np.cumsum(twice)))[bounds]
+    return texts_of(out, bounds, texts)
+
+
 def llemmatize(corpus: DataFrame, dst: str, text_col: str = "text", **options) -> DataFrame:
     """``corpus`` with its text mapped onto the alphabet ``dst``: the source alphabet is the corpus's own, found in one
     aggregate, so the map is derived for the characters that occur and applied in a single pass."""

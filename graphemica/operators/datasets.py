@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import align, align_substrings, substitution_only
+from ..functions.align import align, align_substrings, edit_distance, edit_ops, substitution_only, within
 from ..functions.mapper import Mapper, char_class
 from .stats import cumulative
 
@@ -23,7 +23,7 @@ def within_alphabet(pairs: DataFrame, letters: str, *cols: str) -> DataFrame:
 
 def within_distance(pairs: DataFrame, most: float = 0.2, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """Pairs whose edit distance is at most ``most`` of the target's length."""
-    return pairs.filter(F.levenshtein(src, tgt) <= most * F.length(tgt))
+    return pairs.filter(within(F.col(src), F.col(tgt), F.floor(most * F.length(tgt))) >= 0)
 
 
 def hash_unit(*keys: Column | str, seed: int = 0) -> Column:
@@ -63,24 +63,26 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.coalesce(F.bool_and(F.length("src") == F.length("tgt")), F.lit(True)).alias("one_to_one"))
 
 
-def dataset_cer(pairs: DataFrame, edit_distance: bool = False) -> DataFrame:
+def dataset_cer(pairs: DataFrame, by_edits: bool = False) -> DataFrame:
     """One row, cer: 1 - right places / summed longer lengths. Pairs of unequal length have no right place, unless
-    ``edit_distance`` counts theirs; without pairs it is 1."""
+    ``by_edits`` counts theirs by edit distance; without pairs it is 1."""
     longest = F.greatest(F.length("src"), F.length("tgt"))
     same = F.aggregate(F.zip_with(F.split("src", ""), F.split("tgt", ""), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    right = longest - F.levenshtein("src", "tgt") if edit_distance else F.when((F.length("src") == F.length("tgt")) & (longest > 0), same).otherwise(0)
+    right = longest - edit_distance(F.col("src"), F.col("tgt")) if by_edits else F.when((F.length("src") == F.length("tgt")) & (longest > 0), same).otherwise(0)
     return pairs.agg((F.lit(1.0) - F.coalesce(F.try_divide(F.sum(right), F.sum(longest)), F.lit(0.0))).alias("cer"))
 
 
 def edit_totals(pairs: DataFrame, *by: str) -> DataFrame:
     """(by..., errors, total): summed edit distance and target length."""
-    return pairs.groupBy(*by).agg(F.sum(F.levenshtein("src", "tgt").cast("long")).alias("errors"), F.sum(F.length("tgt").cast("long")).alias("total"))
+    return pairs.groupBy(*by).agg(F.sum(edit_distance(F.col("src"), F.col("tgt")).cast("long")).alias("errors"), F.sum(F.length("tgt").cast("long")).alias("total"))
 
 
-def many_to_more(pairs: DataFrame, low: int = 1, high: int = 1 << 30, letters: str | None = None, band: int = 80, start_insertions: bool = True) -> DataFrame:
+def many_to_more(pairs: DataFrame, low: int = 1, high: int = 1 << 30, letters: str | None = None, band: int | None = None, start_insertions: bool = True) -> DataFrame:
     """``pairs`` with parts, each source character's piece of the target; cheap filters come before the alignment, and
-    pairs beyond the band go. Without ``start_insertions`` so do pairs whose target begins before the source does."""
-    kept = within_lengths(pairs, low, high).filter(F.abs(F.length("src") - F.length("tgt")) <= band)
+    pairs whose lengths differ by more than a given ``band`` go. Without ``start_insertions`` so do pairs whose target begins before the source does."""
+    kept = within_lengths(pairs, low, high)
+    if band is not None:
+        kept = kept.filter(F.abs(F.length("src") - F.length("tgt")) <= band)
     if letters is not None:
         kept = within_alphabet(kept, letters)
     out = kept.withColumn("parts", align_substrings(F.col("src"), F.col("tgt"), band)).filter("parts is not null")
@@ -98,15 +100,13 @@ def postcorrection_pairs(pairs: DataFrame, min_length: int = 50, most: float = 0
 def full_cer(pairs: DataFrame, *by: str, ignore_above: float = 1.0) -> DataFrame:
     """(by..., n_lines, n_dropped, distance, cer, deletions, insertions, substitutions) over lines whose own error rate is
     at most ``ignore_above``; deletions are characters of the prediction that the truth lacks."""
-    d = F.levenshtein("src", "tgt")
-    rated = pairs.withColumn("d", d).withColumn("ok", F.coalesce(d <= ignore_above * F.length(F.trim("tgt")), F.lit(False)))
-    # the steps are worked out for the lines that count only
-    steps = align(F.when(F.col("ok"), F.col("src")), F.col("tgt"))
-    ops = F.transform(steps, lambda s: s["op"])
-    count = lambda op: F.coalesce(F.sum(F.size(F.filter("ops", lambda o: o == op)).cast("long")), F.lit(0))
-    table = rated.withColumn("ops", F.coalesce(ops, F.array().cast("array<string>")))
+    # beyond that rate a line's distance is not even worked out; the steps are, for the lines that count only
+    d = within(F.col("src"), F.col("tgt"), F.floor(ignore_above * F.length(F.trim("tgt"))))
+    rated = pairs.withColumn("d", d).withColumn("ok", F.coalesce(F.col("d") >= 0, F.lit(False)))
+    ops = edit_ops(F.when(F.col("ok"), F.col("src")), F.col("tgt"))
+    count = lambda op: F.coalesce(F.sum(F.col("ops")[op].cast("long")), F.lit(0))
     total = F.sum(F.when(F.col("ok"), F.length("tgt")).cast("long"))
-    return table.groupBy(*by).agg(
+    return rated.withColumn("ops", ops).groupBy(*by).agg(
         F.count("*").alias("n_lines"), F.count_if(~F.col("ok")).alias("n_dropped"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("d")).cast("long")), F.lit(0)).alias("distance"),
         F.try_divide(F.sum(F.when(F.col("ok"), F.col("d"))), total).alias("cer"), count("del").alias("deletions"), count("ins").alias("insertions"), count("sub").alias("substitutions"))
 

@@ -1,17 +1,25 @@
 """Demappers: models that reverse a map of characters, as tables of counts with backoff.
 
 A model tells what most often stood for a source character between its neighbours; where a context was never seen, a
-shorter one decides, and at last the character stays itself. Fitting is an aggregate, applying one a join a context, and
-the model is a table like any other: saved as Parquet, compared by alphabet, joined or broadcast by its size.
+shorter one decides, and at last the character stays itself. Fitting counts within each Arrow batch and sums what is left.
+A model of at most ``SMALL`` contexts goes to every worker, which looks up whole batches in it; a larger one is joined. It is
+a table like any other: saved as Parquet, compared by alphabet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import points, texts_of
+
+#: Contexts of a model that is sent to the workers; beyond, it is joined.
+SMALL = 2_000_000
 _EDGE = "\x02"
 
 
@@ -43,18 +51,47 @@ class Demapper:
         """From pairs (src, tgt) of equal length (others are left out), or, with ``pieces``, from that column of aligned
         parts, whose targets may be of any length. Ties go to the first target in order."""
         if pieces is None:
-            pairs = pairs.filter((F.length("src") == F.length("tgt")) & (F.length("src") > 0))
-            tgt = F.split("tgt", "")
-            src = F.col("src")
+            rows = pairs.filter((F.length("src") == F.length("tgt")) & (F.length("src") > 0)).select("src", "tgt")
         else:
-            tgt = F.transform(pieces, lambda p: p["tgt"])
             src = F.array_join(F.transform(pieces, lambda p: p["src"]), "")
-        seen = pairs.select(F.explode(F.arrays_zip(_contexts(src, width).alias("x"), tgt.alias("tgt"))).alias("p")).select("p.x.*", "p.tgt")
-        keyed = seen.select("tgt", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("ctx")) for k in range(width + 1)])).alias("c")).select("c.k", "c.ctx", "tgt")
-        counts = keyed.groupBy("k", "ctx", "tgt").agg(F.count("*").alias("n"))
+            rows = pairs.filter(F.size(pieces) > 0).select(src.alias("src"), F.transform(pieces, lambda p: p["tgt"]).alias("tgt"))
+        counts = rows.mapInArrow(_counts(width), "k int, ctx string, tgt string, n bigint").groupBy("k", "ctx", "tgt").agg(F.sum("n").alias("n"))
         best = counts.groupBy("k", "ctx").agg(F.min(F.struct((-F.col("n")).alias("m"), "tgt")).alias("b"), F.sum("n").alias("n"))
         return cls(best.select("k", "ctx", "b.tgt", "n", (-F.col("b.m") / F.col("n")).alias("confidence")), width)
 
+    def _sent(self):
+        """The model as a broadcast table for ``_Lookup``, once; None if it is too large."""
+        if not hasattr(self, "_table"):
+            rows = self.model.select("k", "ctx", "tgt", "confidence").limit(SMALL + 1).toArrow()
+            self._table = self.model.sparkSession.sparkContext.broadcast(rows.combine_chunks()) if rows.num_rows <= SMALL else None
+        return self._table
+
+    def _whole(self, text: Column, truth: Column | None = None) -> Column:
+        """For each text a struct (text, confidence, n, correct); the last two against ``truth``, place by place."""
+        sent, width, against = self._sent(), self.width, truth is not None
+
+        @F.arrow_udf("struct<text:string,confidence:double,n:int,correct:int>")
+        def each(texts: pa.Array, gold: pa.Array) -> pa.Array:
+            look = _Lookup.of(sent, width)
+            code, bounds = points(texts)
+            target, confidence = look(code, bounds)
+            made = look.spell(target, code, bounds)
+            size = np.diff(bounds)
+            total = np.concatenate(([0.0], np.cumsum(confidence)))[bounds]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.diff(total) / size
+            n, right = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+            if against:
+                want, edges = points(gold)
+                n = np.minimum(size, np.diff(edges)).astype(np.int32)
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                mine, yours = np.repeat(bounds[:-1], n) + at, np.repeat(edges[:-1], n) + at
+                hit = look.single(target[mine], code[mine]) == want[yours].astype(np.int64)
+                right = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(n)))]).astype(np.int32)
+            return pa.StructArray.from_arrays([made, pa.array(mean, from_pandas=True), pa.array(n), pa.array(right)], ["text", "confidence", "n", "correct"])
+
+        return each(text, text if truth is None else truth)
+
     def characters(self, corpus: DataFrame, key: str, text_col: str = "src") -> DataFrame:
         """(key, pos, chr, tgt, confidence): what the model makes of each character; unseen ones stay, at confidence 0."""
         rows = corpus.select(key, F.explode(_contexts(F.col(text_col), self.width)).alias("x")).select(key, "x.*")
@@ -65,11 +102,22 @@ class Demapper:
         return rows.select(key, "pos", "chr", F.coalesce(*[F.col(f"t{k}") for k in down], F.col("chr")).alias("tgt"), F.coalesce(*[F.col(f"p{k}") for k in down], F.lit(0.0)).alias("confidence"))
 
     def transform(self, corpus: DataFrame, key: str, text_col: str = "src") -> DataFrame:
-        """(key, text, confidence): whole texts and their mean confidence; keys with an empty text are left out."""
-        rows = self.characters(corpus, key, text_col)
+        """(key, text, confidence): whole texts and their mean confidence; rows with an empty text are left out."""
+        if self._sent() is not None:
+            made = corpus.filter(F.length(text_col) > 0).select(key, self._whole(F.col(text_col)).alias("x"))
+            return made.select(key, "x.text", "x.confidence")
+        rows = self.characters(corpus.filter(F.length(text_col) > 0), key, text_col)
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tgt"))), lambda x: x["tgt"]), "")
         return rows.groupBy(key).agg(text.alias("text"), F.avg("confidence").alias("confidence"))
 
+    def accuracy(self, pairs: DataFrame, key: str, *by: str) -> DataFrame:
+        """(by..., n, correct, accuracy) by character over pairs (key, src, tgt)."""
+        if self._sent() is None:
+            return accuracy(self.characters(pairs, key), pairs, key, *by)
+        rows = pairs.filter((F.length("src") > 0) & (F.length("tgt") > 0)).select(*by, self._whole(F.col("src"), F.col("tgt")).alias("x"))
+        n, correct = F.sum(F.col("x.n").cast("long")), F.sum(F.col("x.correct").cast("long"))
+        return rows.groupBy(*by).agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(correct, F.lit(0)).alias("correct"), F.try_divide(correct, n).alias("accuracy"))
+
     def alphabet(self) -> DataFrame:
         return self.model.filter("k = 0").select(F.col("ctx").alias("chr"))
 
@@ -96,6 +144,122 @@ class Demapper:
         return cls(model.drop("width"), width, history)
 
 
+def _padded(code: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with ``width`` marks before each text and after the last, the place of each character)."""
+    size = np.diff(bounds)
+    at = np.arange(len(code)) + width * (np.repeat(np.arange(len(size)), size) + 1)
+    out = np.full(len(code) + width * (len(size) + 1), ord(_EDGE), np.int64)
+    out[at] = code
+    return out, at
+
+
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Small code points or ids as ranks, and how many there are."""
+    seen = np.flatnonzero(np.bincount(x, minlength=1)) if len(x) else np.zeros(0, np.int64)
+    rank = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int64)
+    rank[seen] = np.arange(len(seen))
+    return rank[x], max(1, len(seen))
+
+
+def _counts(width: int):
+    """(k, ctx, tgt, n) of a batch of (src, tgt): how often each target stood in each context."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, bounds = points(batch.column(0))
+            if not len(code):
+                continue
+            if pa.types.is_list(batch.column(1).type):
+                targets = batch.column(1).flatten().dictionary_encode()
+                words, target = targets.dictionary, targets.indices.to_numpy().astype(np.int64)
+            else:
+                letters = points(batch.column(1))[0]
+                seen = np.flatnonzero(np.bincount(letters))
+                words, target = pa.array([chr(c) for c in seen.tolist()], pa.string()), _ranked(letters)[0]
+            padded, at = _padded(code, bounds, width)
+            rank, letters = _ranked(padded)
+            ids, many = rank[at], letters
+            for k in range(width + 1):
+                if k:  # a context is its inner one between two more characters
+                    _, ids = np.unique((rank[at - k] * letters + rank[at + k]) * many + ids, return_inverse=True)
+                    ids = ids.reshape(-1)
+                    many = int(ids.max()) + 1
+                key, where, n = np.unique(ids * len(words) + target, return_index=True, return_counts=True)
+                spans = at[where][:, None] + np.arange(-k, k + 1)
+                context = texts_of(padded[spans].ravel().astype(np.uint32), np.arange(len(where) + 1) * (2 * k + 1))
+                yield pa.record_batch([pa.array(np.full(len(n), k, np.int32)), context, words.take(pa.array(key % len(words))), pa.array(n.astype(np.int64))], names=["k", "ctx", "tgt", "n"])
+
+    return each
+
+
+class _Lookup:
+    """A model by hashes of its contexts, whose code points are compared as well."""
+
+    _kept: tuple | None = None
+
+    def __init__(self, table: pa.Table, width: int):
+        self.width, self.by_size = width, []
+        words = table["tgt"].combine_chunks().dictionary_encode()
+        self.words = words.dictionary.to_pylist()
+        #: a target's only code point; -1 where it has none or several
+        self.points = np.array([ord(w) if len(w) == 1 else -1 for w in self.words] + [-1], np.int64)
+        ks, tgt, sure = table["k"].to_numpy(), words.indices.to_numpy().astype(np.int64), table["confidence"].to_numpy()
+        contexts = table["ctx"].combine_chunks()
+        for k in range(width + 1):
+            mine = np.flatnonzero(ks == k)
+            code = points(contexts.take(pa.array(mine)))[0].astype(np.int64).reshape(-1, 2 * k + 1)
+            h = self._hash([code[:, c] for c in range(2 * k + 1)], len(code))
+            order = np.argsort(h, kind="stable")
+            self.by_size.append((h[order], code[order], tgt[mine][order], sure[mine][order]))
+
+    @classmethod
+    def of(cls, sent, width: int) -> _Lookup:
+        """The one of the model that this worker used last, or a new one."""
+        if cls._kept is None or cls._kept[0] is not sent.value:
+            cls._kept = sent.value, cls(sent.value, width)
+        return cls._kept[1]
+
+    @staticmethod
+    def _hash(columns: list[np.ndarray], n: int) -> np.ndarray:
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for c in columns:
+                h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return h
+
+    def __call__(self, code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(target, confidence) of each character; target -1 where it stays itself."""
+        padded, at = _padded(code, bounds, self.width)
+        target, sure = np.full(len(code), -1, np.int64), np.zeros(len(code))
+        left = np.arange(len(code))
+        for k in range(self.width, -1, -1):
+            h, known, tgt, p = self.by_size[k]
+            if not len(h) or not len(left):
+                continue
+            columns = [padded[at[left] + c] for c in range(-k, k + 1)]
+            mine = self._hash(columns, len(left))
+            start = np.searchsorted(h, mine)
+            place = np.minimum(start, len(h) - 1)
+            same = h[place] == mine
+            for c, column in enumerate(columns):
+                same &= known[place, c] == column
+            found = left[same]
+            target[found], sure[found] = tgt[place[same]], p[place[same]]
+            left = left[~same]
+        return target, sure
+
+    def single(self, target: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.where(target < 0, code.astype(np.int64), self.points[target])
+
+    def spell(self, target: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        one = self.single(target, code)
+        if (one >= 0).all():
+            return texts_of(one.astype(np.uint32), bounds)
+        pieces = [self.words[t] if t >= 0 else chr(c) for t, c in zip(target.tolist(), code.tolist(), strict=True)]
+        return pa.array(["".join(pieces[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+
+
 def accuracy(predicted: DataFrame, truth: DataFrame, key: str, *by: str) -> DataFrame:
     """(by..., n, correct, accuracy) by character, of predictions (key, pos, tgt) against whole texts (key, tgt)."""
     right = truth.select(key, *by, F.posexplode(F.split("tgt", "")).alias("pos", "gold"))
@@ -108,7 +272,7 @@ def learning_curve(pairs: DataFrame, test: DataFrame, key: str, sizes: list[int]
     out = None
     for size in sizes:
         model = Demapper.fit(pairs.orderBy(key).limit(size), width)
-        row = accuracy(model.characters(test, key), test, key).select(F.lit(size).alias("size"), "n", "correct", "accuracy")
+        row = model.accuracy(test, key).select(F.lit(size).alias("size"), "n", "correct", "accuracy")
         out = row if out is None else out.unionByName(row)
     return out
 

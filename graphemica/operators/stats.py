@@ -11,6 +11,7 @@ import ast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import counted
 from ..functions.mapper import Mapper
 from ..sources.charsets import UNKNOWN, charset_table
 
@@ -26,8 +27,8 @@ def chars(corpus: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
 
 
 def unigram(corpus: DataFrame, *by: str, text_col: str = "text") -> DataFrame:
-    """(by..., chr, n)."""
-    return chars(corpus, *by, text_col=text_col).groupBy(*by, "chr").agg(F.count("*").alias("n"))
+    """(by..., chr, n), counted within each batch before anything moves."""
+    return counted(corpus, [text_col], ["chr"], *by)
 
 
 def code_point(c: Column) -> Column:
@@ -37,7 +38,7 @@ def code_point(c: Column) -> Column:
 
 def alphabet(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(chr, cp): the distinct characters."""
-    return chars(corpus, text_col=text_col).distinct().select("chr", code_point(F.col("chr")).alias("cp"))
+    return unigram(corpus, text_col=text_col).select("chr", code_point(F.col("chr")).alias("cp"))
 
 
 def alphabet_string(corpus: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.mapper import Mapper, parse_map
 from ..functions.similarity import distance_matrix, similarity_mapping
 from ..operators import datasets as ds
 from ..operators import stats as st
-from ..operators.demap import Demapper, accuracy
+from ..operators.demap import Demapper
 from ..sources import text as tx
 from ..sources.charsets import UNKNOWN, charset_table, charsets
 from ..streaming import streams
@@ -355,7 +355,7 @@ def alphabet_subset_filter(spark, sf_dir):
 @query(f"SELECT round(1 - CAST(sum(CASE WHEN length(src) = length(tgt) THEN length(tgt) ELSE 0 END) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS cer, round(CAST(sum(levenshtein(src, tgt)) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS edit_cer FROM {TURNS}")
 def dataset_cer(spark, sf_dir):
     p = _turns(spark, sf_dir)
-    return ds.dataset_cer(p).crossJoin(ds.dataset_cer(p, edit_distance=True).withColumnRenamed("cer", "edit_cer")).select(F.round("cer", 9).alias("cer"), F.round("edit_cer", 9).alias("edit_cer"))  # a row each
+    return ds.dataset_cer(p).crossJoin(ds.dataset_cer(p, by_edits=True).withColumnRenamed("cer", "edit_cer")).select(F.round("cer", 9).alias("cer"), F.round("edit_cer", 9).alias("edit_cer"))  # a row each
 
 
 @query(f"SELECT item_id, CAST(levenshtein({_fold_sql('text')}, replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS cost, CAST(length({_fold_sql('text')}) AS INTEGER) AS length FROM benchmark")
@@ -656,7 +656,7 @@ FROM c LEFT JOIN (SELECT * FROM m WHERE k = 1 AND r = 1) m1 ON c.c1 = m1.ctx LEF
 """)
 def demapper_apply(spark, sf_dir):
     train, test = _demap_parts(spark, sf_dir)
-    return accuracy(Demapper.fit(train).characters(test, "doc_id"), test, "doc_id").withColumn("accuracy", F.round("accuracy", 9))
+    return Demapper.fit(train).accuracy(test, "doc_id").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(None)
@@ -669,8 +669,7 @@ def many_to_more_fit(spark, sf_dir):
 def capitals_demapper(spark, sf_dir):
     pairs = _t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("src"), F.col("text").alias("tgt"), _md5_unit("doc_id").alias("part"))
     model = Demapper.fit(pairs.filter("part < 0.8"), width=2)
-    test = pairs.filter("part >= 0.8")
-    return accuracy(model.characters(test, "doc_id"), test, "doc_id")
+    return model.accuracy(pairs.filter("part >= 0.8"), "doc_id")
 
 
 @query(None)
