@@ -88,7 +88,7 @@ def train(spark, a):
     pairs = _pairs(spark, a) if a.pairs else ds.self_supervised(tx.lines(_corpus(spark, a), "path"), Mapper.from_alphabets(a.src or charsets["mes1"], charsets[a.alphabet], spark=spark))
     keyed = pairs.select(F.xxhash64("src", "tgt").alias("key"), "src", "tgt").dropDuplicates(["key"])
     if a.many_to_more:
-        keyed = ds.many_to_more(keyed)
+        keyed = ds.many_to_more(keyed)  # any lengths: the use of the sequence models of either kind
     learn, test = ds.split(keyed, a.ratio, "key")
     model = Demapper.fit(learn, a.width, pieces="parts" if a.many_to_more else None)
     if not a.many_to_more:
@@ -110,6 +110,30 @@ def infer(spark, a):
     _show(out.select("text", "confidence") if a.confidence else out.select("text"), a.output, a.overwrite)
 
 
+def infer_column(spark, a):
+    """A model applied to one field of tab-separated lines."""
+    rows = spark.read.text(a.files).select(F.monotonically_increasing_id().alias("key"), F.col("value").alias("line"))
+    fields = F.split("line", "\t")
+    model = Demapper.load(spark, a.model)
+    fixed = model.transform(rows.select("key", F.get(fields, F.lit(a.column)).alias("src")).filter("src is not null"), "key").select("key", "text")
+    out = rows.join(fixed, "key", "left").orderBy("key")
+    line = ds.correct_column(F.col("line"), a.column, lambda x: F.coalesce(F.col("text"), x))
+    _show(out.select(line.alias("line")), a.output, a.overwrite)
+
+
+def train_aligned(spark, a):
+    """A demapper from aligned OCR files, cut at long gaps of the truth."""
+    pieces = tx.split_at_gaps(tx.read_icdar(tx.read_corpus(spark, a.files, strip=False)), a.max_insertions, a.min_length)
+    keyed = pieces.select(F.xxhash64("path", "piece").alias("key"), F.translate("ocr", "@", "").alias("src"), F.translate("gt", "@", "").alias("tgt"), tx.aligned_parts(F.col("ocr"), F.col("gt")).alias("parts"))
+    learn, test = ds.split(keyed, a.ratio, "key")
+    model = Demapper.fit(learn, a.width, pieces="parts")
+    made = model.transform(test, "key").join(test.select("key", "tgt", "src"), "key")
+    before, after = (F.try_divide(F.sum(F.levenshtein(c, "tgt")), F.sum(F.length("tgt"))) for c in ("src", "text"))
+    model.history = made.agg(F.lit(1).alias("epoch"), F.count("*").alias("n"), before.alias("cer_before"), after.alias("cer_after"))
+    model.save(a.model, a.overwrite)
+    _show(model.history, None)
+
+
 def cer(spark, a):
     p = _pairs(spark, a)
     _show(p.agg(F.avg(positional_cer(F.col("src"), F.col("tgt"))).alias("positional_cer"), F.try_divide(F.sum(F.levenshtein("src", "tgt")), F.sum(F.length("tgt"))).alias("edit_cer")), a.output, a.overwrite)
@@ -129,7 +153,7 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument("--keep-xml", action="store_true", help="do not strip XML files")
             c.add_argument("--all-xml", action="store_true", help="strip every file")
         if pairs:
-            c.add_argument("--pairs", required=not corpus, help="tab-separated pairs, or the first of two files of lines")
+            c.add_argument("--pairs", required=not corpus, help="tab-separated pairs (- for standard input), or the first of two files of lines")
             c.add_argument("--other", help="the second file")
         return c
 
@@ -162,6 +186,17 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("files", nargs="+")
     c.add_argument("--model", required=True)
     c.add_argument("--confidence", action="store_true")
+    c = command("infer-column", infer_column, "one field of tab-separated lines corrected by a demapper")
+    c.add_argument("files", nargs="+")
+    c.add_argument("--model", required=True)
+    c.add_argument("--column", type=int, default=0)
+    c = command("train-aligned", train_aligned, "a demapper from aligned OCR files of three lines, held against files left out")
+    c.add_argument("files", nargs="+")
+    c.add_argument("--model", required=True)
+    c.add_argument("--width", type=int, default=2)
+    c.add_argument("--ratio", type=float, default=0.8)
+    c.add_argument("--max-insertions", type=int, default=4)
+    c.add_argument("--min-length", type=int, default=10)
     a = p.parse_args(argv)
     a.run(ship(SparkSession.builder.appName("graphemica").getOrCreate()), a)
 

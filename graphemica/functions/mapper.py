@@ -157,6 +157,11 @@ class Mapper:
         kept = set(letters)
         return Mapper({a: b for a, b in self.mapping.items() if a in kept}, self.unknown, self.unit, self.form)
 
+    def for_demapping(self) -> Mapper:
+        """What brings any text into the alphabet that a model reversing this map reads: the map itself, and its targets as
+        they are."""
+        return Mapper({c: c for c in self.dst_alphabet if c != self.unknown} | self.mapping, self.unknown, self.unit, self.form)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """mapping(src, dst)."""
         return spark.createDataFrame(list(self.mapping.items()), "src string, dst string")

@@ -78,14 +78,18 @@ def strip_accents(text: Column) -> Column:
 def _extra() -> dict[int, str]:
     plain = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ł": "L", "ł": "l", "Þ": "Th", "þ": "th", "Ð": "D", "ð": "d", "ı": "i", "ſ": "s", "ẞ": "SS", "Ħ": "H", "ħ": "h", "Ŋ": "NG", "ŋ": "ng", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "€": "EUR", "«": "<<", "»": ">>"}
     greek = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", ["a", "b", "g", "d", "e", "z", "e", "th", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "s", "t", "u", "ph", "kh", "ps", "o"], strict=True))
+    cyrillic = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёђєѕіїјљњћќўџ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia io dj ie dz i yi j lj nj c k u dzh".split(), strict=True))
+    greek |= cyrillic
     return {ord(k): v for k, v in plain.items()} | {ord(k): v for k, v in greek.items()} | {ord(k.upper()): v.capitalize() for k, v in greek.items() if k != "ς"}
 
 
 @functools.lru_cache(maxsize=1 << 17)
 def to_ascii(char: str) -> str:
-    """Plain letters for a character: compatibility decomposition without marks, Greek and some Latin letters by table, ""
+    """Plain letters for a character: compatibility decomposition without marks, Greek, Cyrillic and some Latin letters by table, ""
     for what has none."""
     out = []
+    if ord(char) in _extra():  # such as a letter of its own that only looks like a letter with a mark
+        return _extra()[ord(char)]
     for c in unicodedata.normalize("NFKD", char).translate(_extra()):
         if not unicodedata.combining(c):
             out.append(c if c < "\x80" else _extra().get(ord(c), ""))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.align import align, align_substrings, edit_distance, edit_ops, substitution_only, within
+from ..functions.batches import counted
 from ..functions.mapper import Mapper, char_class
 from .stats import cumulative
 
@@ -31,9 +32,10 @@ def hash_unit(*keys: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
 
 
-def split(df: DataFrame, ratio: float, *keys: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Two parts by the hash of ``keys``: no shuffle, and the same rows whatever the partitions are."""
-    u = hash_unit(*keys, seed=seed)
+def split(df: DataFrame, ratio: float, *keys: str, seed: int = 0, uniform: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two parts by the hash of ``keys``, or by a number from 0 to 1 that is given: no shuffle, and the same rows whatever the
+    partitions are."""
+    u = hash_unit(*keys, seed=seed) if uniform is None else uniform
     return df.filter(u < ratio), df.filter(u >= ratio)
 
 
@@ -45,10 +47,12 @@ def first_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def crop(text: Column, size: int, *keys: Column | str, seed: int = 0) -> Column:
-    """A stretch of ``size`` characters at a place that follows from the keys; shorter texts whole."""
+def crop(text: Column, size: int, *keys: Column | str, seed: int = 0, uniform: Column | None = None) -> Column:
+    """A stretch of ``size`` characters at a place that follows from the keys, or from a number from 0 to 1; shorter texts
+    whole."""
     room = F.greatest(F.length(text) - size, F.lit(0))
-    return F.substring(text, F.floor(hash_unit(*keys, seed=seed) * (room + 1)).cast("int") + 1, F.lit(size))
+    u = hash_unit(*keys, seed=seed) if uniform is None else uniform
+    return F.substring(text, F.floor(u * (room + 1)).cast("int") + 1, F.lit(size))
 
 
 def self_supervised(corpus: DataFrame, mapper: Mapper, mapped_to_original: bool = True, text_col: str = "text") -> DataFrame:
@@ -58,6 +62,38 @@ def self_supervised(corpus: DataFrame, mapper: Mapper, mapped_to_original: bool
     return corpus.select(*[c for c in corpus.columns if c != text_col], a.alias("src"), b.alias("tgt"))
 
 
+def alphabets(pairs: DataFrame) -> DataFrame:
+    """One row (src, tgt): the characters of either side, by code point."""
+    side = lambda c: counted(pairs, [c], ["chr"]).agg(F.array_join(F.array_sort(F.collect_list("chr")), "").alias(c))
+    return side("src").crossJoin(side("tgt"))  # a row each
+
+
+def items(pairs: DataFrame, src: Mapper, tgt: Mapper, size: int | None = None, *keys: str, seed: int = 0) -> DataFrame:
+    """``pairs`` with src_labels and tgt_labels, of stretches of ``size`` characters where it is given: of pairs of equal length
+    the same stretch of both sides, of others a stretch of the source only."""
+    out = pairs
+    if size is not None:
+        u = hash_unit(*keys, seed=seed)
+        same = F.length("src") == F.length("tgt")
+        out = pairs.withColumn("tgt", F.when(same, crop(F.col("tgt"), size, uniform=u)).otherwise(F.col("tgt"))).withColumn("src", crop(F.col("src"), size, uniform=u))
+    return out.withColumns({"src_labels": src.labels(F.col("src")), "tgt_labels": tgt.labels(F.col("tgt"))})
+
+
+def save_dataset(pairs: DataFrame, path: str, overwrite: bool = False, **facts: str) -> None:
+    """A data set and what is to be known of it, such as its alphabets."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    pairs.write.mode(mode).parquet(f"{path}/pairs")
+    pairs.sparkSession.createDataFrame(sorted(facts.items()), "name string, value string").write.mode(mode).parquet(f"{path}/facts")
+
+
+def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]] | None:
+    """What ``save_dataset`` wrote; None where there is nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/facts/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{path}/pairs"), {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/facts").collect()}
+
+
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """One row: whether all pairs are of equal length."""
     return pairs.agg(F.coalesce(F.bool_and(F.length("src") == F.length("tgt")), F.lit(True)).alias("one_to_one"))

@@ -51,6 +51,17 @@ def histogram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return unigram(corpus, text_col=text_col).select("chr", code_point(F.col("chr")).alias("cp"), "n").orderBy("n", "chr")
 
 
+def information_loss(corpus: DataFrame, mapper: Mapper, text_col: str = "text") -> DataFrame:
+    """One row (n_chars, n_changed, changed, bits_before, bits_after, bits_lost): how many characters a map changes, and the
+    Shannon information of a character before and after it, all from the counts of the corpus as it is."""
+    counts = unigram(corpus, text_col=text_col).withColumn("img", mapper.column(F.col("chr")))
+    bits = lambda n, whole: F.log2(whole) - F.sum(F.col(n) * F.log2(n)) / whole
+    images = counts.groupBy("img").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("img") != F.col("chr"), F.col("n"))).alias("moved"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
+    total = F.sum("n")
+    out = images.agg(total.alias("n_chars"), F.coalesce(F.sum("moved"), F.lit(0)).alias("n_changed"), (F.log2(total) - F.sum("nlogn") / total).alias("bits_before"), bits("n", total).alias("bits_after"))
+    return out.select("n_chars", "n_changed", F.try_divide("n_changed", "n_chars").alias("changed"), "bits_before", "bits_after", (F.col("bits_before") - F.col("bits_after")).alias("bits_lost"))
+
+
 def unigram_over(corpus: DataFrame, letters: DataFrame, text_col: str = "text") -> DataFrame:
     """(label, chr, n) over a given alphabet (idx, chr), zero counts included; label 0 is every other character."""
     counts = unigram(corpus, text_col=text_col)

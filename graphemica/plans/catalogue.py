@@ -293,7 +293,20 @@ def code_units(spark, sf_dir):
 
 @query(f"SELECT src, dst FROM (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in FOLD.mapping.items())}) v(src, dst) WHERE src IN (SELECT chr FROM {COUNTS})")
 def mapping_pruned(spark, sf_dir):
-    return FOLD.table(spark).join(st.alphabet(_t(spark, sf_dir, "documents")).select(F.col("chr").alias("src")), "src", "left_semi")
+    letters = st.alphabet_string(_t(spark, sf_dir, "documents")).first()["alphabet"] or ""
+    return FOLD.pruned(letters).table(spark)
+
+
+@query(f"""
+WITH m AS (SELECT {_fold_sql('chr')} AS img, chr, n FROM {COUNTS}), t AS (SELECT sum(n) AS n FROM m),
+b AS (SELECT log2(t.n) - sum(m.n * log2(m.n)) / t.n AS bits FROM m, t GROUP BY t.n),
+a AS (SELECT log2(t.n) - sum(i.n * log2(i.n)) / t.n AS bits FROM (SELECT img, sum(n) AS n FROM m GROUP BY img) i, t GROUP BY t.n)
+SELECT CAST(t.n AS BIGINT) AS n_chars, CAST((SELECT sum(n) FROM m WHERE img <> chr) AS BIGINT) AS n_changed, round((SELECT CAST(sum(n) AS DOUBLE) FROM m WHERE img <> chr) / t.n, 9) AS changed,
+  round(b.bits, 6) AS bits_before, round(a.bits, 6) AS bits_after, round(b.bits - a.bits, 6) AS bits_lost FROM t, b, a
+""")
+def encoding_information_loss(spark, sf_dir):
+    out = st.information_loss(_t(spark, sf_dir, "documents"), FOLD).withColumn("changed", F.round("changed", 9))
+    return out.withColumns({c: F.round(c, 6) for c in ("bits_before", "bits_after", "bits_lost")})
 
 
 @query(None)
@@ -322,12 +335,16 @@ def positional_cer(spark, sf_dir):
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    """pairs(conv_id, turn, role, src, tgt): conversations in plain letters, and without their letters e in src."""
-    tgt = FOLD.column(F.col("text"))
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.translate(tgt, "e", "").alias("src"), tgt.alias("tgt"))
+    """pairs(conv_id, turn, role, src, tgt): conversations in plain letters; by turn, src lacks the letters e, has a mark in
+    place of each n, or has one after each."""
+    p = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", FOLD.column(F.col("text")).alias("tgt"))
+    kind, t = F.col("turn") % 3, F.col("tgt")
+    src = F.when(kind == 0, F.translate(t, "e", "")).when(kind == 1, F.translate(t, "n", "\x01")).otherwise(F.replace(t, F.lit("n"), F.lit("n\x01")))
+    return p.select("conv_id", "turn", "role", src.alias("src"), "tgt")
 
 
-TURNS = f"(SELECT conv_id, turn, role, replace({_fold_sql('text')}, 'e', '') AS src, {_fold_sql('text')} AS tgt FROM conversations)"
+TURNS = f"""(SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN replace(tgt, 'e', '') WHEN 1 THEN replace(tgt, 'n', chr(1)) ELSE replace(tgt, 'n', 'n' || chr(1)) END AS src, tgt
+  FROM (SELECT conv_id, turn, role, {_fold_sql('text')} AS tgt FROM conversations))"""
 
 
 @query(f"SELECT conv_id, turn, CAST(levenshtein(src, tgt) AS INTEGER) AS d, round(levenshtein(src, tgt) / CAST(greatest(length(src), length(tgt)) AS DOUBLE), 9) AS cer FROM {TURNS} WHERE length(tgt) > 0")
@@ -341,10 +358,9 @@ def edit_totals(spark, sf_dir):
     return ds.edit_totals(_turns(spark, sf_dir), "role")
 
 
-@query(f"SELECT role, count(*) AS n, count(*) FILTER (levenshtein(src, tgt) > 0.1 * length(tgt)) AS dropped FROM {TURNS} WHERE length(src) BETWEEN 20 AND 2000 AND length(tgt) BETWEEN 20 AND 2000 GROUP BY role")
+@query(f"SELECT conv_id, turn FROM {TURNS} WHERE length(src) BETWEEN 20 AND 2000 AND length(tgt) BETWEEN 20 AND 2000 AND levenshtein(src, tgt) <= 0.1 * length(tgt)")
 def ed_filter_pairs(spark, sf_dir):
-    p = ds.within_lengths(_turns(spark, sf_dir), 20, 2000)
-    return p.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.levenshtein("src", "tgt") > 0.1 * F.length("tgt")).alias("dropped"))
+    return ds.within_distance(ds.within_lengths(_turns(spark, sf_dir), 20, 2000), 0.1).select("conv_id", "turn")
 
 
 @query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[^\\t-\\r -~]')")
@@ -352,25 +368,26 @@ def alphabet_subset_filter(spark, sf_dir):
     return ds.within_alphabet(_t(spark, sf_dir, "documents"), charsets["ascii"], "text").select("doc_id")
 
 
-@query(f"SELECT round(1 - CAST(sum(CASE WHEN length(src) = length(tgt) THEN length(tgt) ELSE 0 END) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS cer, round(CAST(sum(levenshtein(src, tgt)) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS edit_cer FROM {TURNS}")
+@query(f"SELECT round(1 - CAST(sum(CASE WHEN length(src) <> length(tgt) THEN 0 WHEN turn % 3 = 1 THEN length(replace(tgt, 'n', '')) ELSE length(tgt) END) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS cer, round(CAST(sum(levenshtein(src, tgt)) AS DOUBLE) / sum(greatest(length(src), length(tgt))), 9) AS edit_cer FROM {TURNS}")
 def dataset_cer(spark, sf_dir):
     p = _turns(spark, sf_dir)
     return ds.dataset_cer(p).crossJoin(ds.dataset_cer(p, by_edits=True).withColumnRenamed("cer", "edit_cer")).select(F.round("cer", 9).alias("cer"), F.round("edit_cer", 9).alias("edit_cer"))  # a row each
 
 
-@query(f"SELECT item_id, CAST(levenshtein({_fold_sql('text')}, replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS cost, CAST(length({_fold_sql('text')}) AS INTEGER) AS length FROM benchmark")
+@query(f"SELECT item_id, CAST(levenshtein({_fold_sql('text')}, replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS cost, CAST(length({_fold_sql('text')}) AS INTEGER) AS length FROM benchmark WHERE length(text) - length(replace({_fold_sql('text')}, 'e', '')) <= 60")
 def banded_alignment(spark, sf_dir):
     t = FOLD.column(F.col("text"))
-    steps = _t(spark, sf_dir, "benchmark").select("item_id", t.alias("t"), al.align(t, F.translate(t, "e", ""), first="gap").alias("steps"))
+    texts = _t(spark, sf_dir, "benchmark").select("item_id", t.alias("t"))
+    steps = texts.withColumn("steps", al.align(F.col("t"), F.translate("t", "e", ""), first="gap", band=60)).filter("steps is not null")
     n = al.op_counts(F.col("steps"))
     return steps.select("item_id", (n["del"] + n["ins"] + n["sub"]).alias("cost"), (n["match"] + n["sub"] + n["del"]).alias("length"))
 
 
-@query(f"SELECT item_id, {_fold_sql('text')} AS tgt, CAST(length(replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS n FROM benchmark")
+@query(f"SELECT item_id, array_to_string(regexp_extract_all({_fold_sql('text')}, '(^e+)?[^e]e*'), '|') AS tgt, CAST(length(replace({_fold_sql('text')}, 'e', '')) AS INTEGER) AS n FROM benchmark")
 def substring_alignment(spark, sf_dir):
     t = FOLD.column(F.col("text"))
-    parts = al.align_substrings(F.translate(t, "e", ""), t, band=400)
-    return _t(spark, sf_dir, "benchmark").select("item_id", parts.alias("p")).select("item_id", F.array_join(F.transform("p", lambda x: x["tgt"]), "").alias("tgt"), F.size("p").alias("n"))
+    parts = al.align_substrings(F.translate(t, "e", ""), t)
+    return _t(spark, sf_dir, "benchmark").select("item_id", parts.alias("p")).select("item_id", F.array_join(F.transform("p", lambda x: x["tgt"]), "|").alias("tgt"), F.size("p").alias("n"))
 
 
 @query(f"SELECT a AS src_chr, b AS tgt_chr, count(*) AS n FROM (SELECT unnest(string_split({_fold_sql('text')}, '')) AS a, unnest(string_split(text, '')) AS b FROM documents WHERE text <> '') GROUP BY a, b")
@@ -379,19 +396,25 @@ def confusion_matrix(spark, sf_dir):
     return al.positional_confusions(pairs)
 
 
-@query(None)
+@query(f"""
+WITH c AS (SELECT role, turn % 3 AS kind, unnest(string_split(tgt, '')) AS c FROM {TURNS} WHERE tgt <> ''),
+r AS (
+  SELECT role, CASE WHEN kind = 0 AND c = 'e' THEN '' WHEN kind = 1 AND c = 'n' THEN chr(1) ELSE c END AS src_chr, c AS tgt_chr FROM c
+  UNION ALL SELECT role, chr(1), '' FROM c WHERE kind = 2 AND c = 'n'
+)
+SELECT role, src_chr, tgt_chr, count(*) AS n FROM r GROUP BY role, src_chr, tgt_chr
+""")
 def edit_confusions(spark, sf_dir):
     return al.confusions(_turns(spark, sf_dir).withColumn("steps", al.align(F.col("src"), F.col("tgt"))), "steps", "role")
 
 
-@query(f"SELECT item_id, {_fold_sql('text')} AS sub, 0 AS d FROM benchmark")
+@query(f"SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN src ELSE tgt END AS sub, CASE turn % 3 WHEN 1 THEN levenshtein(src, tgt) ELSE 0 END AS d FROM {TURNS}")
 def substitution_only(spark, sf_dir):
-    t = FOLD.column(F.col("text"))
-    sub = al.substitution_only(al.align(F.translate(t, "e", ""), t))
-    return _t(spark, sf_dir, "benchmark").select("item_id", sub.alias("sub"), F.levenshtein(sub, t).alias("d"))
+    p = _turns(spark, sf_dir).withColumn("sub", al.substitution_only(al.align(F.col("src"), F.col("tgt"))))
+    return p.select("conv_id", "turn", "sub", al.edit_distance(F.col("sub"), F.col("tgt")).cast("long").alias("d"))
 
 
-@query(None)
+@query(f"SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN src ELSE tgt END AS sub, tgt FROM {TURNS} WHERE length(tgt) >= 50 AND levenshtein(src, tgt) <= 0.2 * length(tgt)")
 def postcorrection_pairs(spark, sf_dir):
     return ds.postcorrection_pairs(_turns(spark, sf_dir)).select("conv_id", "turn", "sub", "tgt")
 
@@ -421,7 +444,7 @@ def deterministic_distort(spark, sf_dir):
 @query(f"""
 WITH t AS (SELECT *, levenshtein(src, tgt) AS d, levenshtein(src, tgt) <= 0.12 * length(trim(tgt)) AS ok FROM {TURNS})
 SELECT role, count(*) AS n_lines, count(*) FILTER (NOT ok) AS n_dropped, CAST(coalesce(sum(d) FILTER (ok), 0) AS BIGINT) AS distance, round(CAST(sum(d) FILTER (ok) AS DOUBLE) / sum(length(tgt)) FILTER (ok), 9) AS cer,
-  CAST(0 AS BIGINT) AS deletions, CAST(coalesce(sum(d) FILTER (ok), 0) AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS substitutions FROM t GROUP BY role
+  CAST(coalesce(sum(d) FILTER (ok AND turn % 3 = 2), 0) AS BIGINT) AS deletions, CAST(coalesce(sum(d) FILTER (ok AND turn % 3 = 0), 0) AS BIGINT) AS insertions, CAST(coalesce(sum(d) FILTER (ok AND turn % 3 = 1), 0) AS BIGINT) AS substitutions FROM t GROUP BY role
 """)
 def full_cer_report(spark, sf_dir):
     return ds.full_cer(_turns(spark, sf_dir), "role", ignore_above=0.12).withColumn("cer", F.round("cer", 9))
@@ -434,10 +457,9 @@ def token_error_rate(spark, sf_dir):
     return p.groupBy("role").agg(F.sum("d").alias("errors"), F.sum(F.when(F.col("d").isNotNull(), F.col("n"))).alias("total"))
 
 
-@query(f"SELECT item_id, {_fold_sql('text')} = text AS plain, length(text) * 10 AS n FROM benchmark")
+@query(f"SELECT item_id, string_agg(chr(27) || CASE WHEN p[1] = p[2] THEN '[32m' ELSE '[31m' END || p[1] || chr(27) || '[0m', '' ORDER BY i) AS shown FROM (SELECT item_id, unnest(list_zip(string_split({_fold_sql('text')}, ''), string_split(text, ''))) AS p, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark) GROUP BY item_id")
 def render_errors(spark, sf_dir):
-    shown = al.render_errors(FOLD.column(F.col("text")), F.col("text"))
-    return _t(spark, sf_dir, "benchmark").select("item_id", (~shown.contains("\x1b[31m")).alias("plain"), F.length(shown).cast("long").alias("n"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", al.render_errors(FOLD.column(F.col("text")), F.col("text")).alias("shown"))
 
 
 # --- sources --------------------------------------------------------------------------------------------------------
@@ -449,15 +471,17 @@ def lines_scan(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
-p AS (SELECT doc_id, unnest(ls) AS tgt FROM l)
-SELECT doc_id, count(*) AS n_pairs, CAST(sum(length(tgt)) AS BIGINT) AS n_chars FROM p WHERE length(tgt) >= 10 GROUP BY doc_id
+WITH f AS (SELECT row_number() OVER (ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS file_no, text FROM documents),
+l AS (SELECT file_no, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM f),
+p AS (SELECT file_no, unnest(ls) AS tgt FROM l)
+SELECT file_no, count(*) AS n_pairs, CAST(sum(length(tgt)) AS BIGINT) AS n_chars, CAST(sum(length(replace(tgt, '.', ''))) AS BIGINT) AS n_src FROM p WHERE length(tgt) >= 10 AND length(replace(tgt, '.', '')) >= 10 GROUP BY file_no
 """)
 def line_pair_zip(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text", FOLD.column(F.col("text")).alias("other"))
-    left, right = tx.lines(d, "doc_id"), tx.lines(d.select("doc_id", "other"), "doc_id", text_col="other").withColumnRenamed("text", "src")
-    p = left.withColumnRenamed("text", "tgt").join(right, ["doc_id", "line_no"])
-    return p.filter((F.length("src") >= 10) & (F.length("tgt") >= 10)).groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.length("tgt").cast("long")).alias("n_chars"))
+    d = _t(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text")
+    # no line may become empty, or the files would not be as long
+    kept = d.select("path", F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, ".", "")) > 0), "\n").alias("text"))
+    p = tx.zip_lines(kept.select("path", F.translate("text", ".", "").alias("text")), kept, form=None)
+    return p.groupBy("file_no").agg(F.count("*").alias("n_pairs"), F.sum(F.length("tgt").cast("long")).alias("n_chars"), F.sum(F.length("src").cast("long")).alias("n_src"))
 
 
 def _path(name: str):
@@ -488,7 +512,7 @@ def chop_words(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5(translate(text, '{tx.FORBIDDEN}', '')) AS text FROM documents")
 def forbidden_chars(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", tx.FORBIDDEN, "")).alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(tx.without_forbidden(F.col("text"))).alias("text"))
 
 
 def _as_lines(spark, sf_dir) -> DataFrame:
@@ -511,7 +535,10 @@ def alto_xml_text(spark, sf_dir):
     return _as_lines(spark, sf_dir).select("item_id", tx.htr_text(xml).alias("text"))
 
 
-@query(None)
+@query(f"""
+WITH t AS (SELECT item_id, translate(regexp_replace({_fold_sql('text')}, '[\n@]', ' ', 'g'), '{tx.FORBIDDEN}', '') AS t FROM benchmark)
+SELECT CAST(item_id AS VARCHAR) AS path, 0 AS piece, CAST(len(ps) AS INTEGER) AS n, array_to_string(ps, '|') AS parts FROM (SELECT item_id, t, regexp_extract_all(t, '[^e]e*') AS ps FROM t) WHERE length(replace(t, 'e', '')) >= 10
+""")
 def icdar_align(spark, sf_dir):
     t = F.regexp_replace(FOLD.column(F.col("text")), "[\n@]", " ")
     files = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.concat(F.lit("[OCR_toInput] "), F.translate(t, "e", ""), F.lit("\n[OCR_aligned] "), F.translate(t, "e", "@"), F.lit("\n[ GS_aligned] "), t).alias("text"))
@@ -595,12 +622,21 @@ def pad_targets(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(padded, lambda t: F.array_join(t, ",")), ";").alias("labels"))
 
 
-@query("SELECT doc_id, CAST(greatest(length(text) - 249, 0) AS INTEGER) AS n FROM documents")
+@query("SELECT doc_id, CAST(greatest(length(text) - 249, 0) AS INTEGER) AS n, md5(CASE WHEN length(text) >= 250 THEN substr(text, 1, length(text) - 249) ELSE '' END) AS firsts, md5(CASE WHEN length(text) >= 250 THEN substr(text, 250) ELSE '' END) AS lasts FROM documents")
 def sliding_windows(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(ds.windows(F.col("text"), 250)).alias("n"))
+    w = _t(spark, sf_dir, "documents").select("doc_id", ds.windows(F.col("text"), 250).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join(F.transform("w", lambda x: F.substring(x, 1, 1)), "")).alias("firsts"), F.md5(F.array_join(F.transform("w", lambda x: F.substring(x, 250, 1)), "")).alias("lasts"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, count(*) OVER (PARTITION BY doc_id) AS most FROM x WHERE line <> ''),
+r AS (
+  SELECT doc_id, i, most, 0 AS block, line AS text FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.most, CASE WHEN length(r.text) > 50 THEN r.block + 1 ELSE r.block END, CASE WHEN length(r.text) > 50 THEN l.line ELSE r.text || chr(10) || l.line END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1
+)
+SELECT doc_id, block, text FROM r WHERE length(text) > 50 OR i = most
+""")
 def packed_lines(spark, sf_dir):
     return ds.pack_lines(tx.lines(_t(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
@@ -617,13 +653,14 @@ _PART = "(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6))::BIGINT / 1677721
 
 @query(f"SELECT CASE WHEN {_PART} < 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1")
 def dataset_split(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").withColumn("part", F.when(_md5_unit("doc_id") < 0.8, "train").otherwise("test"))
+    train, test = ds.split(_t(spark, sf_dir, "documents"), 0.8, uniform=_md5_unit("doc_id"))
+    d = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return d.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
 
 
-@query(None)
+@query(f"SELECT doc_id, substr(text, CAST(floor({_PART} * (greatest(length(text) - 250, 0) + 1)) AS BIGINT) + 1, 250) AS text FROM documents")
 def random_crops(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", ds.crop(F.col("text"), 250, "doc_id").alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", ds.crop(F.col("text"), 250, uniform=_md5_unit("doc_id")).alias("text"))
 
 
 _OBS = f"""
@@ -659,26 +696,70 @@ def demapper_apply(spark, sf_dir):
     return Demapper.fit(train).accuracy(test, "doc_id").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(None)
+@query(f"""
+WITH p AS (SELECT item_id, regexp_extract_all({_fold_sql('text')}, '(^e+)?[^e]e*') AS ps FROM benchmark),
+u AS (SELECT item_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM p),
+c AS (SELECT t, s, coalesce(lag(s) OVER w, chr(2)) || s || coalesce(lead(s) OVER w, chr(2)) AS c1 FROM (SELECT *, replace(t, 'e', '') AS s FROM u) WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+k AS (SELECT 0 AS k, s AS ctx, t FROM c UNION ALL SELECT 1, c1, t FROM c),
+g AS (SELECT k, ctx, t, count(*) AS n FROM k GROUP BY k, ctx, t),
+m AS (SELECT k, ctx, t AS tgt, CAST(sum(n) OVER (PARTITION BY k, ctx) AS BIGINT) AS total, n, row_number() OVER (PARTITION BY k, ctx ORDER BY n DESC, t) AS r FROM g)
+SELECT k, ctx, tgt, total AS n, round(CAST(n AS DOUBLE) / total, 9) AS confidence FROM m WHERE r = 1
+""")
 def many_to_more_fit(spark, sf_dir):
-    pairs = ds.many_to_more(_t(spark, sf_dir, "benchmark").select("item_id", F.translate(FOLD.column(F.col("text")), "e", "").alias("src"), FOLD.column(F.col("text")).alias("tgt")), band=400)
-    return Demapper.fit(pairs, pieces="parts").model
+    pairs = ds.many_to_more(_t(spark, sf_dir, "benchmark").select("item_id", F.translate(FOLD.column(F.col("text")), "e", "").alias("src"), FOLD.column(F.col("text")).alias("tgt")))
+    return Demapper.fit(pairs, pieces="parts").model.withColumn("confidence", F.round("confidence", 9))
 
 
-@query(None)
+@query(f"""
+WITH p AS (SELECT doc_id, {_PART} AS part, lower(text) AS src, text AS tgt FROM documents WHERE text <> ''),
+c AS (
+  SELECT part, whole, s, t, coalesce(lag(s) OVER w, chr(2)) || s || coalesce(lead(s) OVER w, chr(2)) AS c1,
+    coalesce(lag(s, 2) OVER w, chr(2)) || coalesce(lag(s) OVER w, chr(2)) || s || coalesce(lead(s) OVER w, chr(2)) || coalesce(lead(s, 2) OVER w, chr(2)) AS c2
+  FROM (SELECT doc_id, part, length(src) = length(tgt) AS whole, unnest(string_split(src, '')) AS s, unnest(string_split(tgt, '')) AS t, generate_subscripts(string_split(tgt, ''), 1) AS pos FROM p)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+),
+k AS (SELECT 0 AS k, s AS ctx, t FROM c WHERE part < 0.8 AND whole UNION ALL SELECT 1, c1, t FROM c WHERE part < 0.8 AND whole UNION ALL SELECT 2, c2, t FROM c WHERE part < 0.8 AND whole),
+g AS (SELECT k, ctx, t, count(*) AS n FROM k GROUP BY k, ctx, t),
+m AS (SELECT k, ctx, arg_min(t, struct_pack(a := -n, b := t)) AS tgt FROM g GROUP BY k, ctx)
+SELECT count(*) AS n, count(*) FILTER (coalesce(m2.tgt, m1.tgt, m0.tgt, s) = t) AS correct, round(avg(CASE WHEN coalesce(m2.tgt, m1.tgt, m0.tgt, s) = t THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM c LEFT JOIN (SELECT * FROM m WHERE k = 2) m2 ON c.c2 = m2.ctx LEFT JOIN (SELECT * FROM m WHERE k = 1) m1 ON c.c1 = m1.ctx LEFT JOIN (SELECT * FROM m WHERE k = 0) m0 ON c.s = m0.ctx WHERE part >= 0.8
+""")
 def capitals_demapper(spark, sf_dir):
     pairs = _t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("src"), F.col("text").alias("tgt"), _md5_unit("doc_id").alias("part"))
     model = Demapper.fit(pairs.filter("part < 0.8"), width=2)
-    return model.accuracy(pairs.filter("part >= 0.8"), "doc_id")
+    return model.accuracy(pairs.filter("part >= 0.8"), "doc_id").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(None)
+_CURVE = (20, 60, 180)
+_TURN_KEY = "(conv_id * 1000 + turn)"
+
+
+def _curve_sql() -> str:
+    part = f"(('0x' || substr(md5(CAST({_TURN_KEY} AS VARCHAR)), 1, 6))::BIGINT / 16777216.0)"
+    sizes = ", ".join(f"({n})" for n in _CURVE)
+    return f"""
+WITH p AS (SELECT {_TURN_KEY} AS key, {part} AS part, {_fold_sql('text')} AS src, text AS tgt FROM conversations WHERE text <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY part < 0.8 ORDER BY key) AS nth FROM p),
+c AS (
+  SELECT nth, part, s, t, coalesce(lag(s) OVER w, chr(2)) || s || coalesce(lead(s) OVER w, chr(2)) AS c1
+  FROM (SELECT key, part, nth, unnest(string_split(src, '')) AS s, unnest(string_split(tgt, '')) AS t, generate_subscripts(string_split(tgt, ''), 1) AS pos FROM o) WINDOW w AS (PARTITION BY key ORDER BY pos)
+),
+z AS (SELECT * FROM (VALUES {sizes}) v(size)),
+k AS (SELECT size, 0 AS k, s AS ctx, t FROM c, z WHERE part < 0.8 AND nth <= size UNION ALL SELECT size, 1, c1, t FROM c, z WHERE part < 0.8 AND nth <= size),
+g AS (SELECT size, k, ctx, t, count(*) AS n FROM k GROUP BY size, k, ctx, t),
+m AS (SELECT size, k, ctx, arg_min(t, struct_pack(a := -n, b := t)) AS tgt FROM g GROUP BY size, k, ctx)
+SELECT z.size, count(*) AS n, count(*) FILTER (coalesce(m1.tgt, m0.tgt, s) = t) AS correct, round(avg(CASE WHEN coalesce(m1.tgt, m0.tgt, s) = t THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM c CROSS JOIN z LEFT JOIN m m1 ON m1.k = 1 AND m1.size = z.size AND c.c1 = m1.ctx LEFT JOIN m m0 ON m0.k = 0 AND m0.size = z.size AND c.s = m0.ctx WHERE part >= 0.8 GROUP BY z.size
+"""
+
+
+@query(_curve_sql())
 def learning_curve(spark, sf_dir):
     from ..operators.demap import learning_curve as curve
 
-    pairs = ds.self_supervised(_t(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("key"), "text"), FOLD)
-    train, test = ds.split(pairs, 0.8, "key")
-    return curve(train, test, "key", [20, 60, 180])
+    texts = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text").filter("text <> ''")
+    train, test = ds.split(ds.self_supervised(texts, FOLD), 0.8, uniform=_md5_unit("key"))
+    return curve(train, test, "key", list(_CURVE)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------

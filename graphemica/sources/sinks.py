@@ -42,6 +42,14 @@ def write_confusions(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.select("src_chr", "tgt_chr", "n").write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
+def read_confusions(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("src_chr", "tgt_chr", "n")
+
+
+def same_confusions(a: DataFrame, b: DataFrame) -> bool:
+    return same_mapping(a.select("src_chr", "tgt_chr", "n"), b.select("src_chr", "tgt_chr", "n"))
+
+
 def rewrite_xml(xml: Column, replacements: Column, kind: str = "mixed") -> Column:
     """Canonical XML with the n-th text node (kind "mixed"), or the n-th non-blank CONTENT ("alto"), replaced by the n-th
     of ``replacements``; NULL or missing ones stay."""

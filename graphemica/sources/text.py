@@ -6,7 +6,8 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.unicode import normalize
@@ -29,6 +30,36 @@ def read_corpus(spark: SparkSession, paths: str | Sequence[str], strip: bool = T
     return raw.withColumn("text", F.when(is_xml, strip_xml(F.col("text"))).otherwise(F.col("text"))) if strip else raw
 
 
+def without_forbidden(text: Column) -> Column:
+    return F.translate(text, FORBIDDEN, "")
+
+
+def text_lines(spark: SparkSession, paths: str | Sequence[str], assume_txt: bool = False, first: int = 0, last: int = 0, drop_empty: bool = True) -> DataFrame:
+    """lines(path, line_no, text) by the files' endings: of .xml and .pagexml the lines of ALTO or PAGE, of .txt (of all with
+    ``assume_txt``) the lines, normalised, words chopped; any other file is an error when it is read."""
+    files = read_corpus(spark, paths, strip=False)
+    name = F.lower("path")
+    xml = F.lit(False) if assume_txt else name.rlike(r"\.(page)?xml$")
+    plain = F.lit(True) if assume_txt else name.endswith(".txt")
+    other = F.raise_error(F.concat(F.lit("neither text nor XML: "), "path")).cast("string")
+    chopped = chop_words(F.col("l"), first, last) if first or last else F.col("l")
+    rows = files.select("path", plain.alias("plain"), F.when(xml, htr_text(F.when(xml, F.col("text")), first, last)).when(plain, F.col("text")).otherwise(other).alias("text"))
+    rows = rows.select("path", "plain", F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
+    out = rows.select("path", "line_no", normalize(F.when(F.col("plain"), chopped).otherwise(F.col("l"))).alias("text"))
+    return out.filter(F.length("text") > 0) if drop_empty else out
+
+
+def xml_source(source) -> str:
+    """The XML text of a path, an open file, bytes, or the text itself."""
+    from pathlib import Path
+
+    if hasattr(source, "read"):
+        source = source.read()
+    elif isinstance(source, Path) or isinstance(source, str) and "<" not in source:
+        source = Path(source).read_bytes()
+    return source.decode("utf-8-sig") if isinstance(source, bytes) else source
+
+
 def lines(corpus: DataFrame, *keep: str, text_col: str = "text", form: str | None = "nfc", drop_empty: bool = True) -> DataFrame:
     """lines(keep..., line_no, text), normalised, without empty lines."""
     out = corpus.select(*keep, F.posexplode(F.split(text_col, "\n")).alias("line_no", "text"))
@@ -127,6 +158,22 @@ def text_nodes(xml: Column, mandatory: Sequence[str] = (), ignored: Sequence[str
     return each(xml)
 
 
+#: (mandatory, ignored) of ``text_nodes`` by format.
+_MIXED = {
+    "page": (("PcGts", "Page"), ("{http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15}Metadata",)),
+    "tei": ((), ("{http://www.tei-c.org/ns/1.0}teiHeader", "{http://www.tei-c.org/ns/1.0}sourceDoc")),
+}
+
+
+def mixed_lines(xml: Column, kind: str) -> Column:
+    """The non-blank texts of a document of kind "page", "tei" (without header and facsimile) or "alto"."""
+    if kind == "alto":
+        return alto_strings(xml)
+    if kind not in _MIXED:
+        raise ValueError(f"no such kind of document: {kind}")
+    return text_nodes(xml, *_MIXED[kind])
+
+
 def walk(node, mandatory: set[str], ignored: set[str], missing: bool = False):
     """(text, element, whether it is the element's tail) of the non-blank texts under ``node``."""
     missing = missing and bool(mandatory) and node.tag not in mandatory
@@ -141,10 +188,16 @@ def walk(node, mandatory: set[str], ignored: set[str], missing: bool = False):
 
 def read_pairs(spark: SparkSession, path: str | Sequence[str], other: str | None = None) -> DataFrame:
     """pairs(pred, gt): the first two fields of tab-separated lines (lines with fewer are left out), or the lines of two
-    files side by side."""
-    if other is None:
+    files side by side. The path "-" is this process's input."""
+    if path == "-":
+        import sys
+
+        rows = spark.createDataFrame([(x.rstrip("\r\n"),) for x in sys.stdin], "value string")
+    else:
+        rows = spark.read.text(path) if other is None else None
+    if rows is not None:
         fields = F.split("value", "\t")
-        return spark.read.text(path).filter(F.size(fields) >= 2).select(fields[0].alias("pred"), fields[1].alias("gt"))
+        return rows.filter(F.size(fields) >= 2).select(fields[0].alias("pred"), fields[1].alias("gt"))
     left, right = (lines(read_corpus(spark, p, strip=False), form=None, drop_empty=False) for p in (path, other))
     return left.withColumnRenamed("text", "pred").join(right.withColumnRenamed("text", "gt"), "line_no").select("pred", "gt")
 
@@ -154,10 +207,10 @@ def zip_lines(left: DataFrame, right: DataFrame, min_length: int = 10, form: str
     and their lines as well; a pair of files of unequal line counts is left out, as is a pair with a line that is short."""
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        order = F.row_number().over(Window.orderBy("path"))  # a list of files, not of lines
-        files = df.select("path").withColumn("file_no", order)
+        # sorted in ranges and numbered from their sizes: no task sees all paths
+        files = df.select("path").orderBy("path").rdd.map(lambda r: r[0]).zipWithIndex().toDF("path string, at long")
         kept = df.join(files, "path").withColumn("ls", F.filter(F.split("text", "\n"), lambda x: x != ""))
-        return kept.select("file_no", F.col("ls").alias(name))
+        return kept.select((F.col("at") + 1).alias("file_no"), F.col("ls").alias(name))
 
     both = numbered(left, "a").join(numbered(right, "b"), "file_no").filter(F.size("a") == F.size("b"))
     rows = both.select("file_no", F.posexplode(F.arrays_zip("a", "b")).alias("line_no", "p")).select("file_no", "line_no", normalize(F.col("p.a"), form).alias("src"), normalize(F.col("p.b"), form).alias("tgt"))
@@ -190,7 +243,7 @@ def key_pairs(inputs: DataFrame, outputs: DataFrame, integrity: str = "cleanup")
 def read_icdar(files: DataFrame) -> DataFrame:
     """(path, ocr, gt): aligned texts of files of three lines, OCR input, OCR and truth with "@" for gaps, forbidden
     characters removed; files of other shapes are left out. Gaps of the truth at either end are cut from both."""
-    clean = F.translate("text", FORBIDDEN, "")
+    clean = without_forbidden(F.col("text"))
     ls = F.split(F.regexp_replace(clean, r"\n+$", ""), "\n")
     three = files.filter(F.size(ls) == 3).select("path", ls.alias("ls"))
     part = lambda i, mark: F.get(F.split(F.get("ls", F.lit(i)), re.escape(mark)), F.lit(1))
@@ -221,12 +274,19 @@ def split_at_gaps(aligned: DataFrame, max_insertions: int = 4, min_length: int =
 
 
 def aligned_parts(ocr: Column, gt: Column) -> Column:
-    """For each OCR character its piece of the truth; a gap of the OCR belongs to the character before it."""
-    rows = F.arrays_zip(F.split(ocr, "").alias("o"), F.split(gt, "").alias("g"))
-    def step(acc, p):
-        g = F.when(p["g"] == "@", "").otherwise(p["g"])
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["src"].alias("src"), F.concat(last["tgt"], g).alias("tgt"))))
-        return F.when((p["o"] == "@") & (F.size(acc) > 0), grown).when(p["o"] == "@", acc).otherwise(F.concat(acc, F.array(F.struct(p["o"].alias("src"), g.alias("tgt")))))
-
-    return F.aggregate(rows, F.array().cast("array<struct<src:string,tgt:string>>"), step)
+    """For each OCR character its piece of the truth; a gap of the OCR belongs to the character before it, gaps before the
+    first one are dropped. Pieces follow from where OCR characters stand, so a line is gone through once."""
+
+    @F.arrow_udf("array<struct<src:string,tgt:string>>")
+    def each(os: pa.Array, gs: pa.Array) -> pa.Array:
+        out = []
+        for o, g in zip(os.to_pylist(), gs.to_pylist(), strict=True):
+            if o is None or g is None:
+                out.append(None)
+                continue
+            at = [i for i, c in enumerate(o) if c != "@"]
+            ends = [*at[1:], max(len(o), len(g))]
+            out.append([{"src": o[i], "tgt": g[i:z].replace("@", "")} for i, z in zip(at, ends, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("src", pa.string()), ("tgt", pa.string())])))
+
+    return each(ocr, gt)

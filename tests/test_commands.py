@@ -30,6 +30,26 @@ def test_train_and_infer(spark, corpus, capsys):
     assert "Übung" in capsys.readouterr().out
 
 
+def test_field_of_lines_and_aligned_files(spark, corpus, capsys, monkeypatch):
+    import io
+
+    model = str(corpus / "m2")
+    main(["train", str(corpus / "a.txt"), "--model", model, "--ratio", "0.99"])
+    (corpus / "in.tsv").write_text("7\tUbung\tUbung\n8\n")
+    capsys.readouterr()
+    main(["infer-column", str(corpus / "in.tsv"), "--model", model, "--column", "1"])
+    assert capsys.readouterr().out.splitlines() == ["line", "7\tÜbung\tUbung", "8"]
+    for i in range(20):
+        (corpus / f"{i}.ocr").write_text(f"[OCR_toInput] the qvick brown fox {i}\n[OCR_aligned] the qv@ick brown fox {i}\n[ GS_aligned] the qu@ick brown fox {i}\n".replace("qv@", "qv").replace("qu@", "qu"))
+    main(["train-aligned", *(str(corpus / f"{i}.ocr") for i in range(20)), "--model", str(corpus / "m3")])
+    head, row = capsys.readouterr().out.splitlines()
+    told = dict(zip(head.split("\t"), row.split("\t")))
+    assert int(told["n"]) > 0 and float(told["cer_before"]) > 0.02 > float(told["cer_after"])
+    monkeypatch.setattr("sys.stdin", io.StringIO("abc\tabd\nxyz\n"))
+    main(["cer", "--pairs", "-"])
+    assert "0.3333" in capsys.readouterr().out
+
+
 def test_every_query_has_columns(spark):
     small = "/root/testdata/sf0.001"
     for name in ("charset_coverage", "doc_information", "confusion_matrix", "cosine_topk"):

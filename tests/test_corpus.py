@@ -261,3 +261,70 @@ def test_histories_and_variants(spark, corpus):
     assert ds.assert_equal_lengths(ok).count() == 1
     with pytest.raises(Exception, match="unequal"):
         ds.assert_equal_lengths(spark.createDataFrame([("a", "cd")], "src string, tgt string")).collect()
+
+
+def test_counts_by_group(spark):
+    import collections
+
+    from graphemica.functions.batches import counted
+
+    rows = [("a", 1, "xyx", "xzx"), ("a", 1, "x", "y"), (None, 2, "é🧬", "e?"), ("b", 2, None, "q"), ("b", 3, "", ""), ("b", 3, "long", "er")]
+    df = spark.createDataFrame(rows, "g string, h int, s string, t string")
+    want = collections.Counter((g, h, a, b) for g, h, s, t in rows if s and t and len(s) == len(t) for a, b in zip(s, t))
+    assert {(r.g, r.h, r.a, r.b): r.n for r in counted(df, ["s", "t"], ["a", "b"], "g", "h").collect()} == want
+    assert counted(df.limit(0), ["s"], ["a"]).count() == 0
+    assert {(r.g, r.chr): r.n for r in st.unigram(df, "g", text_col="s").collect()} == collections.Counter((g, c) for g, _, s, _ in rows for c in s or "")
+
+
+def test_information_loss(spark):
+    df = spark.createDataFrame([("uvuv",)], "text string")
+    r = st.information_loss(df, Mapper({"u": "v", "v": "v"})).first()
+    assert (r.n_chars, r.n_changed, r.changed, r.bits_before, r.bits_after, r.bits_lost) == (4, 2, 0.5, 1.0, 0.0, 1.0)
+
+
+def test_demapper_joined_or_sent(spark, monkeypatch):
+    from graphemica.operators import demap
+
+    rows = [(i, t, t.translate(str.maketrans("aou", "äöü")) if i % 3 else t) for i, t in enumerate(["a tour of about four hours", "out and about", "you too", "aa\x02a", "z"] * 4)]
+    pairs = spark.createDataFrame(rows, "k int, src string, tgt string")
+    test = spark.createDataFrame([(100 + i, t, t) for i, t in enumerate(["about a tour", "q", "hour out!", ""])], "k int, src string, tgt string")
+    for width in (0, 1, 2, 3):
+        sent = Demapper.fit(pairs, width)
+        one = {(r.k, r.text, round(r.confidence, 9)) for r in sent.transform(test, "k").collect()}
+        score = sent.accuracy(test, "k").first()
+        with monkeypatch.context() as m:
+            m.setattr(demap, "SMALL", 0)
+            joined = Demapper.fit(pairs, width)
+            assert one == {(r.k, r.text, round(r.confidence, 9)) for r in joined.transform(test, "k").collect()} and len(one) == 3
+            assert joined.accuracy(test, "k").first() == score
+
+
+def test_dataset_kept_and_items(spark, tmp_path):
+    df = spark.createDataFrame([("abc", "xyz"), ("ab", "x")], "src string, tgt string")
+    assert ds.alphabets(df).first() == ("abc", "xyz")
+    assert ds.load_dataset(spark, str(tmp_path / "none")) is None
+    ds.save_dataset(df, str(tmp_path / "d"), src="abc", tgt="xyz")
+    pairs, facts = ds.load_dataset(spark, str(tmp_path / "d"))
+    assert pairs.exceptAll(df).isEmpty() and facts == {"src": "abc", "tgt": "xyz"}
+    rows = {r.src: (r.tgt, r.src_labels, r.tgt_labels) for r in ds.items(df, Mapper("abc"), Mapper("xyz")).collect()}
+    assert rows["abc"] == ("xyz", [1, 2, 3], [1, 2, 3]) and rows["ab"] == ("x", [1, 2], [1])
+    assert all(len(r.src) == 2 for r in ds.items(df, Mapper("abc"), Mapper("xyz"), 2, "src").collect())
+
+
+def test_text_lines_by_ending(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one two\n\nthree")
+    (tmp_path / "b.pagexml").write_text('<PcGts xmlns="n"><Page><TextLine><TextEquiv><Unicode>x y z</Unicode></TextEquiv></TextLine></Page></PcGts>')
+    (tmp_path / "c.dat").write_text("raw")
+    got = tx.text_lines(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.pagexml")], first=1)
+    assert sorted(r.text for r in got.collect()) == ["two", "y z"]
+    assert [r.text for r in tx.text_lines(spark, str(tmp_path / "c.dat"), assume_txt=True).collect()] == ["raw"]
+    with pytest.raises(Exception, match="neither text nor XML"):
+        tx.text_lines(spark, str(tmp_path / "c.dat")).collect()
+    import io
+
+    for source in (tmp_path / "c.dat", str(tmp_path / "c.dat"), io.BytesIO(b"raw"), io.StringIO("raw"), b"raw"):
+        assert tx.xml_source(source) == "raw"
+    assert tx.xml_source("<a/>") == "<a/>"
+    tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>no</teiHeader><text><p>yes</p></text></TEI>'
+    df = spark.createDataFrame([(tei,)], "x string")
+    assert df.select(tx.mixed_lines(F.col("x"), "tei")).first()[0] == ["yes"]

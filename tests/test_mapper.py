@@ -125,3 +125,31 @@ def test_distance_matrix_and_linkage(spark):
     assert set(steps[0][:2]) == {"a", "à"} and steps[-1][3] == 4
     raised = adjust_linkage(steps, gap=0.3)
     assert all(b[2] >= a[2] for a, b in zip(steps, raised)) or raised
+
+
+def test_texts_of_a_batch(spark):
+    import pyarrow as pa
+
+    from graphemica.functions.batches import points, texts_of
+
+    texts = ["", "abc", None, "é€🧬", "x"]
+    for part in (pa.array(texts, pa.string()), pa.array(["drop", *texts], pa.string()).slice(1), pa.array(texts, pa.large_string())):
+        code, bounds = points(part)
+        assert [code[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [[ord(c) for c in t or ""] for t in texts]
+        assert texts_of(code, bounds, part).to_pylist() == texts
+    m = Mapper({"a": "b", "é": "e", "🧬": "d"}, unknown="?")
+    wide = [*texts, "e\u0301a", "🧬a"]
+    assert column(spark, m.column, wide) == [None if t is None else m(t) for t in wide]
+    u = Mapper({"a": "b", "é": "e"}, unknown="?", unit="utf16")
+    assert column(spark, u.column, wide) == [None if t is None else u(t) for t in wide]
+
+
+def test_map_before_demapping():
+    m = Mapper({"Ü": "U", "u": "u"}, unknown="?").for_demapping()
+    assert m("ÜUux") == "UUu?"
+
+
+def test_cyrillic(spark):
+    from graphemica.functions.unicode import to_ascii
+
+    assert "".join(map(to_ascii, "Щука, ёж")) == "Shchuka, iozh"
