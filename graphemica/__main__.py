@@ -12,6 +12,7 @@ from .functions.align import positional_cer
 from .functions.mapper import Mapper
 from .functions.similarity import distance_matrix, linkage
 from .operators import datasets as ds
+from .operators import network
 from .operators import stats as st
 from .operators.demap import Demapper
 from .plans.session import ship
@@ -90,6 +91,11 @@ def train(spark, a):
     if a.many_to_more:
         keyed = ds.many_to_more(keyed)  # any lengths: the use of the sequence models of either kind
     learn, test = ds.split(keyed, a.ratio, "key")
+    if a.network:
+        found = network.fit(learn, test, a.epochs, a.width, start=network.Network.load(spark, a.resume) if a.resume else None)
+        found.save(spark, a.model, a.overwrite)
+        _show(found.history_table(spark), None)
+        return
     model = Demapper.fit(learn, a.width, pieces="parts" if a.many_to_more else None)
     if not a.many_to_more:
         model.history = model.accuracy(test, "key").select(F.lit(1).alias("epoch"), "n", "correct", "accuracy")
@@ -99,14 +105,13 @@ def train(spark, a):
 
 
 def report(spark, a):
-    history = Demapper.load(spark, a.model).history
-    if history is not None:
-        _show(history, a.output, a.overwrite)
+    _show(spark.read.parquet(f"{a.model}/history").orderBy("epoch"), a.output, a.overwrite)
 
 
 def infer(spark, a):
     rows = spark.read.text(a.files).select(F.monotonically_increasing_id().alias("key"), F.col("value").alias("src"))
-    out = Demapper.load(spark, a.model).transform(rows, "key").orderBy("key")
+    model = network.Network.load(spark, a.model) if a.network else Demapper.load(spark, a.model)
+    out = model.transform(rows, "key").orderBy("key")
     _show(out.select("text", "confidence") if a.confidence else out.select("text"), a.output, a.overwrite)
 
 
@@ -181,11 +186,15 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--alphabet", default="ascii")
     c.add_argument("--src")
     c.add_argument("--many-to-more", action="store_true", help="pairs of unequal length, by alignment")
+    c.add_argument("--network", action="store_true", help="a network trained in epochs in place of counts")
+    c.add_argument("--epochs", type=int, default=5)
+    c.add_argument("--resume", help="a network to go on from")
     command("report", report, "what a demapper's training measured").add_argument("--model", required=True)
     c = command("infer", infer, "lines corrected by a demapper")
     c.add_argument("files", nargs="+")
     c.add_argument("--model", required=True)
     c.add_argument("--confidence", action="store_true")
+    c.add_argument("--network", action="store_true", help="the model is a network")
     c = command("infer-column", infer_column, "one field of tab-separated lines corrected by a demapper")
     c.add_argument("files", nargs="+")
     c.add_argument("--model", required=True)

@@ -762,6 +762,17 @@ def learning_curve(spark, sf_dir):
     return curve(train, test, "key", list(_CURVE)).withColumn("accuracy", F.round("accuracy", 9))
 
 
+@query(None)
+def network_epochs(spark, sf_dir):
+    """Epoch by epoch what a trained network reaches on plain letters."""
+    from ..operators import network
+
+    texts = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text").filter("text <> ''")
+    pairs = ds.self_supervised(texts, FOLD).withColumn("part", _md5_unit("conv_id"))
+    net = network.fit(pairs.filter("part < 0.8"), pairs.filter("part >= 0.8"), epochs=2, width=1)
+    return net.history_table(spark)
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,14 @@ def test_train_and_infer(spark, corpus, capsys):
     (corpus / "in.txt").write_text("Ubung")
     main(["infer", str(corpus / "in.txt"), "--model", model])
     assert "Übung" in capsys.readouterr().out
+    net = str(corpus / "net")
+    main(["train", str(corpus / "a.txt"), "--model", net, "--ratio", "0.5", "--network", "--epochs", "1"])
+    main(["train", str(corpus / "a.txt"), "--model", net, "--ratio", "0.5", "--network", "--epochs", "1", "--resume", net, "--overwrite"])
+    capsys.readouterr()
+    main(["report", "--model", net])
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    main(["infer", str(corpus / "in.txt"), "--model", net, "--network"])
+    assert len(capsys.readouterr().out.splitlines()[1]) == 5
 
 
 def test_field_of_lines_and_aligned_files(spark, corpus, capsys, monkeypatch):

@@ -328,3 +328,39 @@ def test_text_lines_by_ending(spark, tmp_path):
     tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>no</teiHeader><text><p>yes</p></text></TEI>'
     df = spark.createDataFrame([(tei,)], "x string")
     assert df.select(tx.mixed_lines(F.col("x"), "tei")).first()[0] == ["yes"]
+
+
+def test_network_learns_and_goes_on(spark, tmp_path):
+    from graphemica.operators import network
+    from graphemica.operators.demap import validation_summary
+
+    m = Mapper({"a": "a", "b": "b", "c": "a", "x": "x", "y": "y"})
+    texts = spark.createDataFrame([("xcyba" * 8,), ("yabxc" * 8,), ("bxcyabxc" * 5,)] * 6, "text string")  # c stands after x only
+    pairs = ds.self_supervised(texts, m)
+    net = network.fit(pairs, pairs, epochs=3, width=1, rate=0.01, batch=32, workers=2)
+    assert [h[0] for h in net.history] == [1, 2, 3] and net.history[-1][3] < net.history[0][1]
+    assert network.fit(pairs.repartition(3), pairs, epochs=3, width=1, rate=0.01, batch=32, workers=2).history == net.history
+    net.save(spark, str(tmp_path / "n"))
+    again = network.Network.load(spark, str(tmp_path / "n"))
+    assert again.history == net.history and again.is_compatible("abxy", "abcxy") and not again.is_compatible("ab", "ab")
+    more = network.fit(pairs, pairs, epochs=3, rate=0.01, batch=32, workers=2, start=again)
+    assert more.epoch == 6 and max(h[4] for h in more.history) > 0.95
+    assert validation_summary(more.history_table(spark), "val_accuracy").first().best == max(h[4] for h in more.history)
+    rows = {r.k: (r.text, r.confidence) for r in more.transform(spark.createDataFrame([(1, "xayba"), (2, ""), (3, None)], "k int, src string"), "k").collect()}
+    assert set(rows) == {1} and rows[1][0] == "xcyba" and 0 < rows[1][1] <= 1
+
+
+def test_network_slopes():
+    import numpy as np
+
+    from graphemica.operators.network import Network
+
+    rng = np.random.default_rng(4)
+    net = Network.new("abc", "xy", width=1, embed=3, hidden=5)
+    x, y = rng.integers(0, 5, (7, 3)), rng.integers(0, 2, 7)
+    slope, loss, _ = net.gradient(x, y, net.weights)
+    for name, w in net.weights.items():
+        for at in list(np.ndindex(w.shape))[:12]:
+            moved = {k: v.copy() for k, v in net.weights.items()}
+            moved[name][at] += 1e-6
+            assert abs((net.gradient(x, y, moved)[1] - loss) / 7e-6 - slope[name][at]) < 1e-4
