@@ -101,6 +101,29 @@ def test_run(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "sentencepiece"]
 
 
+def test_edges_of_every_stage(spark, tmp_path):
+    long = " ".join(f"word{i % 977}x{i}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "one short text"), (4, "one short text"), (None, "a text without an id"), (5, long), (6, "x" * 100_000), (7, "... !!! ..."), (8, "another text, of some words"), (9, "another text, of some words")]
+    made = spark.createDataFrame([(i, t, None, None if i == 8 else "s", None) for i, t in rows], DOCS)
+    clash = made.withColumns({c: F.lit("clash") for c in ("d", "rh", "t", "g", "n", "k", "__d", "__rh", "__cut", "__copy", "__lines", "__host", "shard", "slice", "cut")})
+    left = {"quality_rules": 11, "line_dedup": 10, "near_dedup": 9}
+    for docs in (made, clash):
+        for name, stage in corpus_pipeline.STAGES:
+            empty = stage(spark, docs.limit(0), str(tmp_path))
+            assert empty.count() == 0
+            out = stage(spark, docs, str(tmp_path))
+            if name == "sentencepiece":
+                assert {r.doc_id for r in out.collect()} <= {None, *range(1, 9)} and out.columns == empty.columns
+                break
+            assert out.columns == docs.columns == empty.columns
+            docs = common.materialize(out)
+            kept = [(r.doc_id, r.text) for r in docs.collect()]
+            if name in left:
+                assert len(kept) == left[name]
+                assert {(1, None), (2, ""), (3, "\n\n"), (5, long), (7, "... !!! ...")} <= set(kept)
+            assert set(kept) <= set(rows) and kept
+
+
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
