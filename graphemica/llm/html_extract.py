@@ -26,8 +26,6 @@ _WINDOWS = {0x80 + i: c for i, c in enumerate(bytes(range(0x80, 0xA0)).decode("c
 def decode_entities(text: Column) -> Column:
     """``text`` with its character references replaced: numbers, and all names of HTML 5, closed by a semicolon. Numbers of no
     character become U+FFFD; unknown names stay."""
-    for name, char in _COMMON.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
     def char(ref: Column) -> Column:
@@ -36,21 +34,33 @@ def decode_entities(text: Column) -> Column:
         none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
         one = F.when(none, F.lit("\ufffd")).when(number.between(0x80, 0x9F), F.coalesce(F.element_at(table({str(k): v for k, v in _WINDOWS.items()}), number.cast("string")), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
         one = one.otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        return F.when(F.substring(name, 1, 1) == "#", one).otherwise(F.coalesce(F.element_at(table(_NAMED), name), ref))
+        return F.when(F.substring(name, 1, 1) == "#", one).otherwise(F.coalesce(F.element_at(table(_COMMON | _NAMED), name), ref))
 
     refs, pieces = F.regexp_extract_all(text, F.lit(_ENTITY), 0), F.split(text, _ENTITY)
     whole = F.array_join(F.zip_with(pieces, F.transform(refs, char), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(text.rlike(_ENTITY), whole).otherwise(text)
 
 
-def html_lines(html: Column) -> Column:
-    """The lines of a page without its markup: block-level tags break lines, other tags vanish, blanks are squeezed."""
+def without_markup(html: Column) -> Column:
+    """A page without its markup: block-level tags become line feeds, other tags vanish, blanks are squeezed; character
+    references stay."""
     # possessive, which Java matches in a loop and not by recursion: a tag may have any number of attributes
     breaks, tags = _BREAKS.replace(")*>", ")*+>"), _TAGS.replace(")*>", ")*+>")
     text = F.regexp_replace(html, _DROPPED, "\n")
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\n]+", " "), breaks, "\n")
-    text = decode_entities(F.regexp_replace(text, tags, ""))
-    return F.transform(F.split(F.regexp_replace(text, "[ \\x{A0}]+", " "), "\n"), lambda x: F.trim(x))
+    text = F.regexp_replace(text, tags, "")
+    for name, char in _COMMON.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def lines_of(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(decode_entities(text), "[ \\x{A0}]+", " "), "\n"), lambda x: F.trim(x))
+
+
+def html_lines(html: Column) -> Column:
+    """The lines of a page without its markup, its character references replaced."""
+    return lines_of(without_markup(html))
 
 
 def main_lines(lines: Column, block: int = BLOCK, surge: int = SURGE) -> Column:
@@ -90,8 +100,9 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE, html_col:
     - Empty table: empty result. Extra columns stay; one named as ``out_col``, in any letter case, is replaced.
     - A control character U+0001 counts as a dive; references without a semicolon stay as they are.
     """
-    lines, = fresh(pages, "lines")
-    out = pages.withColumn(lines, html_lines(q(html_col)))  # named more than once below, so it stays a column of its own
+    raw, lines = fresh(pages, "raw", "lines")
+    # each is named more than once by the next, so it stays a column of its own and is worked out once
+    out = pages.withColumn(raw, without_markup(q(html_col))).withColumn(lines, lines_of(q(raw)))
     if span is not None:
         out, block = out.withColumn(lines, squeezed(q(lines), block, span)), span
     text = F.array_join(main_lines(q(lines), block, surge), "\n").alias(out_col)
