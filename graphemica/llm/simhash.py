@@ -18,7 +18,7 @@ from .units import in_units, linked, sides
 BITS, MAX_BITS, MIN_RATIO = 128, 22, 0.8
 #: Rows of the sample that the tree over shards is built on, at least and at most; fingerprints a shard should hold, rows of
 #: a unit of a larger one, and points of a leaf of the tree within a shard. They change no row.
-SAMPLE, MAX_SAMPLE, SHARD, UNIT, LEAF = 1 << 16, 1 << 20, 4096, 1 << 16, 256
+SAMPLE, MAX_SAMPLE, SHARD, UNIT, LEAF = 1 << 16, 1 << 20, 1 << 14, 1 << 16, 256
 _MIN_ID = -(1 << 63)
 
 
@@ -278,6 +278,7 @@ def dedup_documents(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float
     - NULL or empty text, or one without a word: no fingerprint; never a copy, stays.
     - Ties and exact copies: equal fingerprints are one point of the search, so thousands of copies cost as one.
     - Repeated rows (same id and text): one of them stays. NULL id: before all others.
+    - Very long texts: all their words. Ids are integers, or strings of digits; others are an error.
     - Empty table: empty result. Columns and extra columns are those of ``docs``.
     """
     d, rh, again, nth = fresh(docs, "d", "rh", "again", "nth")
