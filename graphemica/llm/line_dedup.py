@@ -76,8 +76,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(d, rh, l, n, s1, s2, bits, prefix): a row for each line with a word; s1, s2: a 128-bit hash of its set of words;
-    bits: the parity of the number of its words that fall on each of 64 places."""
+    """(d, rh, l, n, s1, s2, bits, prefix, again): a row for each line with a word; s1, s2: a 128-bit hash of its set of words;
+    bits: the parity of the number of its words that fall on each of 64 places.
+
+    Of equal sets within a chunk of texts the first stands for all; the others have ``again`` set, no prefix, and hashes of
+    their own, so that a line which every document has does not meet all its copies in one task.
+    """
     least = fuzzy_size(threshold)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +94,30 @@ def line_sets(docs: DataFrame, rank, threshold: float, id_col: str, text_col: st
                 n = np.diff(np.append(first, len(words)))
                 s1, s2 = np.add.reduceat(words, first), np.add.reduceat(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), first)
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), first)
-                p = np.where(n >= least, prefix_length(n, threshold), 0)
-                offset = np.arange(len(words)) - np.repeat(first, n)
-                taken = words[offset < np.repeat(p, n)]
                 start = _line_of(w)[1]
                 doc = np.searchsorted(start, line, "right") - 1
-                rows = pa.array(doc)
-                yield pa.record_batch([part.column("d").take(rows), part.column("rh").take(rows), pa.array((line - start[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), signed(s1), signed(s2), signed(bits), lists(taken.view(np.int64), p)], names=["d", "rh", "l", "n", "s1", "s2", "bits", "prefix"])
+                ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("d", "rh"))
+                again = _repeated(s1, s2, ids, hashes, line - start[doc])
+                p = np.where((n >= least) & ~again, prefix_length(n, threshold), 0)
+                own = mix64(ids.view(np.uint64) + mix64(hashes.view(np.uint64) + (line - start[doc]).astype(np.uint64)))
+                s1, s2 = np.where(again, own, s1), np.where(again, mix64(own), s2)
+                offset = np.arange(len(words)) - np.repeat(first, n)
+                taken = words[offset < np.repeat(p, n)]
+                yield pa.record_batch([pa.array(ids), pa.array(hashes), pa.array((line - start[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), signed(s1), signed(s2), signed(bits), lists(taken.view(np.int64), p), pa.array(again)], names=["d", "rh", "l", "n", "s1", "s2", "bits", "prefix", "again"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(each, "d bigint, rh bigint, l int, n int, s1 bigint, s2 bigint, bits bigint, prefix array<bigint>, again boolean")
+
 
-    return _keyed(docs, id_col, text_col).mapInArrow(each, "d bigint, rh bigint, l int, n int, s1 bigint, s2 bigint, bits bigint, prefix array<bigint>")
+def _repeated(s1: np.ndarray, s2: np.ndarray, ids: np.ndarray, hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Of rows with equal (s1, s2), those that are not the first by (id, hash, line), nor a repeated row of the first."""
+    order = np.lexsort((line, hashes, ids, s2, s1))
+    head = np.ones(len(order), bool)
+    same = lambda x: x[order][1:] == x[order][:-1]
+    head[1:] = ~(same(s1) & same(s2))
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    out = np.empty(len(order), bool)
+    out[order] = (ids[order] != ids[first]) | (hashes[order] != hashes[first]) | (line[order] != line[first])
+    return out
 
 
 def words_of_lines(docs: DataFrame, need: DataFrame, rank, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +155,7 @@ def later_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     sets = line_sets(docs, rank, t, id_col, text_col)
     nth = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))
     # a repeated row's lines have the same key and are one line
-    lines = materialize(sets.withColumn("nth", nth).withColumn("at", F.struct("d", "rh", "l")).withColumn("one", F.first("at").over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))).select("d", "rh", "l", "n", "bits", (F.col("at") != F.col("one")).alias("equal"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix")))
+    lines = materialize(sets.withColumn("nth", nth).withColumn("at", F.struct("d", "rh", "l")).withColumn("one", F.first("at").over(Window.partitionBy("s1", "s2").orderBy("d", "rh", "l"))).select("d", "rh", "l", "n", "bits", (F.col("again") | (F.col("at") != F.col("one"))).alias("equal"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix")))
     post = lines.filter(F.size("prefix") > 0).select("d", "rh", "l", "n", "bits", F.posexplode("prefix").alias("i", "w"))
     a, b = post.alias("a"), post.alias("b")
     alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
@@ -170,6 +189,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     - NULL or empty text and lines without a word: no set, never removed; a text that had no word from the start stays.
     - Ties: equal sets are similar 1; the first by (id, text hash, line number) stays. NULL ids come first.
     - Repeated rows (same id and text) are the same lines, not copies of each other: all are treated alike.
+    - Very long texts: every line, of any length. Ids are integers, or strings of digits; others are an error.
     - Empty table: empty result. Columns and extra columns are those of ``docs``.
     """
     ls, rh, d, kept = fresh(docs, "lines", "rh", "d", "kept")
