@@ -200,3 +200,23 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     out = out.withColumn(kept, F.when(q(ls).isNotNull(), F.array_join(stay, "\n")))
     text = F.when(q(ls).isNull(), q(text_col)).otherwise(q(kept))
     return out.filter(q(ls).isNull() | q(kept).rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]")).select(*[text.alias(c) if c == text_col else q(c) for c in docs.columns])
+
+
+SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'))) AS ws FROM l),
+e AS (SELECT doc_id, i, ws, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY doc_id, i) AS nth FROM w WHERE len(ws) > 0),
+t AS (SELECT doc_id, i, n, unnest(ws) AS word FROM e WHERE nth = 1),
+f AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+o AS (SELECT doc_id, i, n, t.word, row_number() OVER (PARTITION BY doc_id, i ORDER BY c, t.word) AS pos FROM t JOIN f ON t.word = f.word),
+x AS (SELECT * FROM o WHERE pos <= n - ceil({THRESHOLD} * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.doc_id AS d1, a.i AS i1, b.doc_id AS d2, b.i AS i2 FROM x a JOIN x b ON a.word = b.word AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i) AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9),
+v AS (SELECT c.d2, c.i2, a.n + b.n AS size, len(list_intersect(a.ws, b.ws)) AS shared FROM c JOIN e a ON a.doc_id = c.d1 AND a.i = c.i1 JOIN e b ON b.doc_id = c.d2 AND b.i = c.i2),
+gone AS (SELECT doc_id, i FROM e WHERE nth > 1 UNION SELECT d2, i2 FROM v WHERE shared >= {THRESHOLD} * (size - shared) - 1e-9),
+k AS (
+  SELECT l.doc_id, bool_or(gone.i IS NOT NULL) AS lost, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS rest
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN lost THEN rest ELSE text END AS text, lang, source, n_chars FROM documents d JOIN k ON d.doc_id = k.doc_id
+WHERE NOT lost OR regexp_matches(rest, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]')
+"""

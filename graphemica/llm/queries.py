@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op3_quality_rules": quality_rules.SQL, "op4_html_extraction": html_extract.SQL, "op7_url_filter": url_filter.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_quality_rules": quality_rules.SQL, "op4_html_extraction": html_extract.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.SQL, "op9_embedding_dedup": embedding_dedup.SQL}

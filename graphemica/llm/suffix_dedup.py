@@ -217,3 +217,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
                 yield pa.record_batch([pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names], names=names)
 
     return out.select(*[q(c) for c in docs.columns], q(cuts), q(text_col).alias(key)).mapInArrow(each, docs.schema)
+
+
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+x AS (SELECT doc_id, ws, CAST(unnest(range(0, len(ws) - {WINDOW - 1})) AS INTEGER) AS p FROM w WHERE len(ws) >= {WINDOW}),
+h AS (SELECT doc_id, p, md5(array_to_string(ws[p + 1 : p + {WINDOW}], ' ')) AS k FROM x),
+g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS later FROM h),
+r AS (SELECT doc_id, p, later, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, later ORDER BY p) + {WINDOW} THEN 0 ELSE 1 END AS new FROM g WHERE n > 1),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, later ORDER BY p) AS span FROM r)
+SELECT doc_id, min(p) AS start, CAST(max(p) + {WINDOW} AS INTEGER) AS "end", later FROM s GROUP BY doc_id, later, span
+"""
