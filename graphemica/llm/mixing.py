@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_side, materialize, q
 
-#: Slices of the key range; only the slice in which a budget ends is sorted row by row.
-SLICES = 4096
+#: Slices of the key range, for each power of e; only the slice in which a budget ends is sorted row by row. Their width is a
+#: share of the key itself, so that none holds more than 1 / (e * SLICES) of the rows of one weight, whatever it is.
+SLICES = 512
 SEED = 17
 #: Without explicit targets, a source's target is its tokens to this power.
 TEMPERATURE = 0.5
@@ -40,10 +41,10 @@ def _keyed(docs: DataFrame, weight: Column | None, seed: int, id_col: str, group
 def budgets(slim: DataFrame, targets: dict[str, float] | None, ratio: float, slices: int = SLICES) -> DataFrame:
     """(g, epochs, k, i, n): by source its whole epochs and the last (key, id, tokens) within the rest of its budget.
 
-    The keys' range is cut in slices whose token sums combine before they move (sources x slices rows at most). From
+    The keys' range is cut in slices whose token sums combine before they move (some thousands a source). From
     their running sums follows the slice where each source's budget ends, and only that slice's rows are sorted.
     """
-    cut = slim.withColumn("slice", F.floor(F.lit(float(slices)) * (F.lit(1.0) - F.exp(-F.col("k")))))
+    cut = slim.withColumn("slice", _slice(F.col("k"), slices))
     sums = materialize(cut.groupBy("g", "slice").agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
     if targets is None:
         want = sums.groupBy("g").agg(F.sum("n").alias("total")).withColumn("share", F.pow(F.col("total"), F.lit(TEMPERATURE)))
@@ -73,7 +74,7 @@ def _copies(cut: Column, slice_of: Column, key: Column, row_id: Column, tokens:
 
 
 def _slice(key: Column, slices: int) -> Column:
-    return F.floor(F.lit(float(slices)) * (F.lit(1.0) - F.exp(-key)))
+    return F.floor(F.lit(float(slices)) * F.log(F.greatest(key, F.lit(1e-300))))
 
 
 def _slim(docs: DataFrame, weight: Column | None, seed: int, id_col: str, group_col: str, text_col: str) -> DataFrame:
@@ -90,7 +91,8 @@ def mix_plan(docs: DataFrame, targets: dict[str, float] | None = None, ratio: fl
     rate is the document's quality weight (``weight``, by default ``quality_weight``), as long as the prefix sum of
     tokens stays within the rest.
 
-    - NULL text: no tokens, weight 0.05. NULL or empty source: one source. NULL id: as the empty id.
+    - NULL text: no tokens, weight 0.05. NULL or empty source: one source. NULL id: as the empty id. Ids of any type.
+    - Empty and very long texts: counted whole; a text that is longer than the rest of a budget ends it.
     - Ties (same key, id and tokens, as in repeated rows): all are taken or none, and only if all of them fit.
     - A source without tokens is taken once (its prefix sums are 0) if its target is positive.
     - Empty table: empty result. Extra columns: not read.

@@ -41,19 +41,24 @@ def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: fl
     line is rejected if its remaining non-blank lines hold less than ``min_kept`` of the characters it had.
 
     - NULL or empty text, and lines without a letter or digit: never counted, never removed; such documents stay.
+    - Very long texts: every line counts and is looked up like any other. Ids may be of any type.
     - NULL host: all such documents form one host of their own, as does the empty string. NULL id: one document.
     - A repeated row counts once (documents are distinct ids); all its copies are treated alike and stay.
     - Empty table: empty result. Columns, order of columns and extra columns are those of ``docs``.
     """
     heavy = frequent_lines(docs, min_docs, max_share, id_col, host_col, text_col)
-    host, hs, kept, lines = fresh(docs, "host", "heavy", "kept", "lines")
-    # at most mean lines a document / max_share hashes a host
+    host, hs, marks, kept, lines = fresh(docs, "host", "heavy", "marks", "kept", "lines")
+    # at most mean lines a document / max_share hashes a host; 4096 bits tell most other lines at once that they are none
     rules = heavy.groupBy(F.col("host").alias(host)).agg(F.collect_set(F.struct("h1", "h2")).alias(hs))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h["h1"].bitwiseAND(63).cast("int"))
+    word = lambda h1: F.shiftrightunsigned(h1, 6).bitwiseAND(63).cast("int")
+    rules = rules.withColumn(marks, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.filter(q(hs), lambda h: word(h["h1"]) == i), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(one(h)))))
     out = docs.withColumn(host, F.coalesce(q(host_col).cast("string"), F.lit(""))).join(join_side(rules), host, "left")
 
     def stays(line: Column) -> Column:
         h1, h2 = hash_pair(normal_line(line))
-        return ~F.array_contains(q(hs), F.struct(h1.alias("h1"), h2.alias("h2")))
+        marked = F.call_function("shiftrightunsigned", F.get(q(marks), word(h1)), h1.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        return ~(marked & F.array_contains(q(hs), F.struct(h1.alias("h1"), h2.alias("h2"))))
 
     size = lambda x: F.aggregate(x, F.lit(0), lambda n, s: n + F.length(F.trim(s)))
     out = out.withColumn(lines, F.when(q(hs).isNotNull(), F.split(q(text_col), "\n"))).withColumn(kept, F.filter(q(lines), stays))

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: Gumbel top-k segmentations without replacement (operator 10).
 
-The public model file gives the pieces; it holds merge ranks, not probabilities, so a piece's log-probability is taken
-from its rank by a Zipf-Mandelbrot law (nothing is trained). No piece crosses the end of a unit (blanks and the run of
+The public model file gives the pieces. A unigram model's scores are its pieces' log-probabilities. The production file is
+a merge model, whose scores are the negated ranks of its merges and no probabilities, so there a piece's log-probability is
+taken from its rank by a Zipf-Mandelbrot law (nothing is trained). No piece crosses the end of a unit (blanks and the run of
 known characters after them, or one unknown character, which is spelt in byte pieces), so the lattice of a text is the
 product of its units' lattices, and the perturbed A-star search works on units: a node of its agenda is "as in sample r
 before unit i, and there none of the segmentations E", bounded by a Gumbel variable of that subtree's whole mass that is
@@ -114,8 +115,11 @@ def load(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    raw = np.array([-math.log(r + 2.7) for r in range(1, len(ids) + 1)])
-    log_prob = dict(zip(ids, raw - np.log(np.exp(raw).sum()), strict=True))
+    scores = np.array([model.get_score(i) for i in ids])
+    # the scores of a merge model count down by one; those of a unigram model are logarithms of shares
+    merges = len(scores) > 1 and bool((scores == np.round(scores)).all())
+    law = np.array([-math.log(r + 2.7) for r in range(1, len(ids) + 1)])
+    log_prob = dict(zip(ids, (law - np.log(np.exp(law).sum()) if merges else scores).tolist(), strict=True))
     return Vocabulary({model.id_to_piece(i).replace("▁", " "): i for i in ids}, model.piece_to_id("<0x00>"), log_prob, min(log_prob.values()) - 1.0)
 
 
@@ -545,7 +549,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
     - Very long texts and texts without blanks are one lattice like any other; unknown characters and U+2581 in the text
       become byte pieces, so decoding gives every valid text back.
     - Repeated rows get the same samples. NULL id: seeded as the least id, and NULL in the result.
-    - Empty table: empty result. Extra columns: not read.
+    - Empty table: empty result. Extra columns: not read. Ids are integers, or strings of digits; others are an error.
     """
     name = model_file(docs.sparkSession, model)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from ..operators.demap import Demapper
 from ..sources import text as tx
 from ..sources.charsets import UNKNOWN, charset_table, charsets
 from ..streaming import streams
+from .session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -782,8 +782,7 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
 
 
 def _shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphemica-")
-    return f"{root}/graphemica-streams/{name}-{spark.sparkContext.applicationId}-{next(_count)}"
+    return f"{shared_dir(spark)}/graphemica-streams/{name}-{spark.sparkContext.applicationId}-{next(_count)}"
 
 
 @query(f"SELECT chr, n FROM {COUNTS}")
@@ -796,7 +795,7 @@ def stream_unigram(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     name = f"stream_windows_{next(_count)}"
     counts = streams.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", every="1 day")
-    return streams.run_available(counts, name, _shared(spark, name))
+    return streams.run_updates(counts, _shared(spark, name), "start", "event_type")
 
 
 @query(f"SELECT event_id, upper(event_type) AS event_type FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's modules to the executors, once an application; they need not have it installed."""
+    """Send this package's modules to the executors, once an application; they need not have it installed. Arrow batches of
+    more than 8 MB are held twice on either side of the pipe to a worker; where that limit has its default, it is lowered."""
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -23,3 +28,12 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder
+    of its own; on a cluster it is an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return given.rstrip("/") if given else "file://" + tempfile.mkdtemp(prefix="graphemica-")

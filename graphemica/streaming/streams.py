@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.align import positional_confusions
 from ..functions.mapper import Mapper
@@ -35,6 +36,20 @@ def windowed_counts(stream: DataFrame, ts: str, *by: str, every: str = "1 hour",
     return stream.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
+def run_updates(stream: DataFrame, checkpoint: str, *keys: str) -> DataFrame:
+    """All that has arrived, worked through in "update" mode: state that the watermark has passed is dropped, and each batch's
+    changed rows are written beside the checkpoint. The result is the last row of each key."""
+    rows = f"{checkpoint}/rows"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")  # a batch that is run again replaces itself
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    found = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(rows)
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*").select(*stream.columns)
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """All that has arrived, worked through once.
 

@@ -372,6 +372,20 @@ def test_prefix_filter_loses_nothing():
         assert least / (least + 1) >= t - 1e-9 > (least - 1) / least - 1e-9 or least == 1
 
 
+def test_first_of_equal_sets_in_a_chunk():
+    s1 = np.array([5, 5, 5, 7, 5, 9], np.uint64)
+    s2 = np.array([1, 1, 1, 1, 2, 1], np.uint64)
+    ids, hashes, line = np.array([3, 2, 2, 1, 0, 4]), np.zeros(6, np.int64), np.array([0, 1, 1, 0, 0, 0])
+    # of the three (5, 1) the first by id is row 1, and row 2 is the same line of a repeated row
+    assert line_dedup._repeated(s1, s2, ids, hashes, line).tolist() == [True, False, False, False, False, False]
+
+
+def test_a_line_of_every_document(spark):
+    rows = [(i, f"the one line that each document of this corpus has in common\nown text {i} a{i} b{i} c{i}") for i in range(400)]
+    out = line_dedup.dedup_lines(table(spark, rows).repartition(7)).collect()
+    assert {r.doc_id: r.text.count("\n") for r in out} == {i: int(i == 0) for i in range(400)}
+
+
 # --- 7 URL filters --------------------------------------------------------------------------------------------------
 
 URLS = ["https://www.spam-farm.example.org/en/1?x#f", "HTTP://Blog.Spam-Farm.Example.org:8080/", "http://u:p@cheap-pills.example.net/de/44", "cheap-pills.example.net", "//m.example.com", "https://other.org/?q", "https://other.org?q", "http://xspam-farm.example.org/", None, "", "https://example.net./es/x", "mailto:a@b"]
@@ -573,6 +587,29 @@ def test_embeddings(spark, dims, cosine, block, cell, kind):
 # --- 10 SentencePiece -----------------------------------------------------------------------------------------------
 
 
+def test_scores_of_a_unigram_model(monkeypatch):
+    import sys
+    import types
+
+    pieces = {"<unk>": 0.0, "\u2581a": -1.5, "a": -2.25, "b": -3.125, "<0x00>": 0.0}
+
+    class Model:
+        def __init__(self, model_file):
+            self.names = list(pieces)
+
+        get_piece_size = lambda self: len(self.names)
+        id_to_piece = lambda self, i: self.names[i]
+        piece_to_id = lambda self, p: self.names.index(p)
+        get_score = lambda self, i: pieces[self.names[i]]
+        is_byte = lambda self, i: i == 4
+        is_unknown = lambda self, i: i == 0
+        is_control = is_unused = lambda self, i: False
+
+    monkeypatch.setitem(sys.modules, "sentencepiece", types.SimpleNamespace(SentencePieceProcessor=Model))
+    v = sentencepiece.load.__wrapped__("unigram")
+    assert [float(v.log_prob[v.pieces[p]]) for p in (" a", "a", "b")] == [-1.5, -2.25, -3.125]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return sentencepiece.load(sentencepiece.MODEL)

@@ -364,3 +364,14 @@ def test_network_slopes():
             moved = {k: v.copy() for k, v in net.weights.items()}
             moved[name][at] += 1e-6
             assert abs((net.gradient(x, y, moved)[1] - loss) / 7e-6 - slope[name][at]) < 1e-4
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    schema = "ts timestamp, kind string"
+    write = lambda n, rows: spark.createDataFrame(rows, "ts string, kind string").select(F.col("ts").cast("timestamp"), "kind").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+    counts = lambda: streams.windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), "ts", "kind", every="1 hour", late="1 hour")
+    run = lambda: {(str(r.start), r.kind): r.n for r in streams.run_updates(counts(), str(tmp_path / "c"), "start", "kind").collect()}
+    write(1, [("2024-01-01 00:10:00", "a"), ("2024-01-01 09:10:00", "a")])
+    assert run() == {("2024-01-01 00:00:00", "a"): 1, ("2024-01-01 09:00:00", "a"): 1}
+    write(2, [("2024-01-01 00:20:00", "a"), ("2024-01-01 09:20:00", "a"), ("2024-01-01 09:30:00", "b")])  # the first is late
+    assert run() == {("2024-01-01 00:00:00", "a"): 1, ("2024-01-01 09:00:00", "a"): 2, ("2024-01-01 09:00:00", "b"): 1}
