@@ -34,6 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder
     of its own; on a cluster it is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not given and not re.match(r"local(\[[^\]]*\])?\Z", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return given.rstrip("/") if given else "file://" + tempfile.mkdtemp(prefix="graphemica-")
