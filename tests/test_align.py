@@ -200,3 +200,9 @@ def test_confusions_counted_in_batches(spark):
     slow = al.confusions(df.withColumn("steps", al.align(F.col("src"), F.col("tgt"))), "steps", "by")
     assert sorted(map(tuple, al.edit_confusions(df, "by").collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
     assert al.edit_confusions(df.limit(0), "by").count() == 0
+
+
+def test_substituted_is_substitution_only(spark):
+    rows = [x[:2] for x in SUBONLY] + [("", "AC"), ("AC", ""), ("", ""), (None, "A"), ("A", None), ("x😀y", "é😀")]
+    df = pairs(spark, rows).orderBy("i")
+    assert [r[0] for r in df.select(al.substituted(F.col("src"), F.col("tgt"))).collect()] == [r[0] for r in df.select(al.substitution_only(al.align(F.col("src"), F.col("tgt")))).collect()]
