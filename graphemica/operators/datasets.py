@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import align, align_substrings, edit_distance, edit_ops, substitution_only, within
+from ..functions.align import align_substrings, edit_distance, edit_ops, matches, substituted, within
 from ..functions.batches import counted
 from ..functions.mapper import Mapper, char_class
 from .stats import cumulative
@@ -110,7 +110,8 @@ def dataset_cer(pairs: DataFrame, by_edits: bool = False) -> DataFrame:
 
 def edit_totals(pairs: DataFrame, *by: str) -> DataFrame:
     """(by..., errors, total): summed edit distance and target length."""
-    return pairs.groupBy(*by).agg(F.sum(edit_distance(F.col("src"), F.col("tgt")).cast("long")).alias("errors"), F.sum(F.length("tgt").cast("long")).alias("total"))
+    rated = pairs.select(*by, edit_distance(F.col("src"), F.col("tgt")).cast("long").alias("d"), F.length("tgt").cast("long").alias("size"))
+    return rated.groupBy(*by).agg(F.sum("d").alias("errors"), F.sum("size").alias("total"))
 
 
 def many_to_more(pairs: DataFrame, low: int = 1, high: int = 1 << 30, letters: str | None = None, band: int | None = None, start_insertions: bool = True) -> DataFrame:
@@ -136,13 +137,13 @@ def postcorrection_pairs(pairs: DataFrame, min_length: int = 50, most: float = 0
 def full_cer(pairs: DataFrame, *by: str, ignore_above: float = 1.0) -> DataFrame:
     """(by..., n_lines, n_dropped, distance, cer, deletions, insertions, substitutions) over lines whose own error rate is
     at most ``ignore_above``; deletions are characters of the prediction that the truth lacks."""
-    # beyond that rate a line's distance is not even worked out; the steps are, for the lines that count only
-    d = within(F.col("src"), F.col("tgt"), F.floor(ignore_above * F.length(F.trim("tgt"))))
-    rated = pairs.withColumn("d", d).withColumn("ok", F.coalesce(F.col("d") >= 0, F.lit(False)))
-    ops = edit_ops(F.when(F.col("ok"), F.col("src")), F.col("tgt"))
+    # of lines beyond that rate no steps are worked out
+    ops = edit_ops(F.col("src"), F.col("tgt"), most=F.floor(ignore_above * F.length(F.trim("tgt"))))
+    rated = pairs.select(*by, F.length("tgt").alias("size"), ops.alias("ops"))
+    rated = rated.withColumns({"ok": F.col("ops").isNotNull(), "d": F.col("ops.del") + F.col("ops.ins") + F.col("ops.sub")})
     count = lambda op: F.coalesce(F.sum(F.col("ops")[op].cast("long")), F.lit(0))
-    total = F.sum(F.when(F.col("ok"), F.length("tgt")).cast("long"))
-    return rated.withColumn("ops", ops).groupBy(*by).agg(
+    total = F.sum(F.when(F.col("ok"), F.col("size")).cast("long"))
+    return rated.groupBy(*by).agg(
         F.count("*").alias("n_lines"), F.count_if(~F.col("ok")).alias("n_dropped"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("d")).cast("long")), F.lit(0)).alias("distance"),
         F.try_divide(F.sum(F.when(F.col("ok"), F.col("d"))), total).alias("cer"), count("del").alias("deletions"), count("ins").alias("insertions"), count("sub").alias("substitutions"))
 

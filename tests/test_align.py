@@ -206,3 +206,10 @@ def test_substituted_is_substitution_only(spark):
     rows = [x[:2] for x in SUBONLY] + [("", "AC"), ("AC", ""), ("", ""), (None, "A"), ("A", None), ("x😀y", "é😀")]
     df = pairs(spark, rows).orderBy("i")
     assert [r[0] for r in df.select(al.substituted(F.col("src"), F.col("tgt"))).collect()] == [r[0] for r in df.select(al.substitution_only(al.align(F.col("src"), F.col("tgt")))).collect()]
+
+
+def test_edit_ops_within(spark):
+    df = pairs(spark, [("ACGT", "ACGT"), ("ACT", "ACGT"), ("zzzz", "A"), (None, "A"), ("A", None), ("", "")]).orderBy("i")
+    ops = [r[0] for r in df.select(al.edit_ops(F.col("src"), F.col("tgt"), most=F.length("tgt") - 2)).collect()]
+    assert [o and tuple(o) for o in ops] == [(4, 0, 0, 0), (3, 0, 0, 1), None, None, None, None]
+    assert [r[0] for r in df.select(al.within(F.col("src"), F.col("tgt"), F.length("tgt") - 2)).collect()] == [0, 1, -1, None, None, 0]
