@@ -102,10 +102,15 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
 def dataset_cer(pairs: DataFrame, by_edits: bool = False) -> DataFrame:
     """One row, cer: 1 - right places / summed longer lengths. Pairs of unequal length have no right place, unless
     ``by_edits`` counts theirs by edit distance; without pairs it is 1."""
+    return dataset_cers(pairs, edits=by_edits, places=not by_edits).select(F.col("edit_cer" if by_edits else "cer").alias("cer"))
+
+
+def dataset_cers(pairs: DataFrame, places: bool = True, edits: bool = True) -> DataFrame:
+    """One row (cer, edit_cer): both kinds of ``dataset_cer``, in one pass."""
     longest = F.greatest(F.length("src"), F.length("tgt"))
-    same = F.aggregate(F.zip_with(F.split("src", ""), F.split("tgt", ""), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    right = longest - edit_distance(F.col("src"), F.col("tgt")) if by_edits else F.when((F.length("src") == F.length("tgt")) & (longest > 0), same).otherwise(0)
-    return pairs.agg((F.lit(1.0) - F.coalesce(F.try_divide(F.sum(right), F.sum(longest)), F.lit(0.0))).alias("cer"))
+    kinds = ({"cer": F.coalesce(matches(F.col("src"), F.col("tgt")), F.lit(0))} if places else {}) | ({"edit_cer": longest - edit_distance(F.col("src"), F.col("tgt"))} if edits else {})
+    right = pairs.select(longest.alias("longest"), *[c.alias(name) for name, c in kinds.items()])
+    return right.agg(*[(F.lit(1.0) - F.coalesce(F.try_divide(F.sum(name), F.sum("longest")), F.lit(0.0))).alias(name) for name in kinds])
 
 
 def edit_totals(pairs: DataFrame, *by: str) -> DataFrame:

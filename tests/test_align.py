@@ -213,3 +213,10 @@ def test_edit_ops_within(spark):
     ops = [r[0] for r in df.select(al.edit_ops(F.col("src"), F.col("tgt"), most=F.length("tgt") - 2)).collect()]
     assert [o and tuple(o) for o in ops] == [(4, 0, 0, 0), (3, 0, 0, 1), None, None, None, None]
     assert [r[0] for r in df.select(al.within(F.col("src"), F.col("tgt"), F.length("tgt") - 2)).collect()] == [0, 1, -1, None, None, 0]
+
+
+def test_dataset_cers_in_one_pass(spark):
+    rows = [("ACGT", "ACGA"), ("AC", "ACG"), ("", ""), (None, "AC"), ("é😀", "é😀")]
+    both = ds.dataset_cers(pairs(spark, rows)).first()
+    assert (both.cer, both.edit_cer) == (pytest.approx(1 - 5 / 11), pytest.approx(1 - 7 / 11))
+    assert ds.dataset_cer(pairs(spark, rows)).first()[0] == both.cer and ds.dataset_cer(pairs(spark, rows), by_edits=True).first()[0] == both.edit_cer
