@@ -136,7 +136,7 @@ def postcorrection_pairs(pairs: DataFrame, min_length: int = 50, most: float = 0
     apart go before the alignment is worked out."""
     kept = pairs.filter(F.length("tgt") >= min_length)
     kept = within_distance(kept, most)
-    return kept.withColumn("sub", substitution_only(align(F.col("src"), F.col("tgt"))))
+    return kept.withColumn("sub", substituted(F.col("src"), F.col("tgt")))
 
 
 def full_cer(pairs: DataFrame, *by: str, ignore_above: float = 1.0) -> DataFrame:

@@ -220,3 +220,8 @@ def test_dataset_cers_in_one_pass(spark):
     both = ds.dataset_cers(pairs(spark, rows)).first()
     assert (both.cer, both.edit_cer) == (pytest.approx(1 - 5 / 11), pytest.approx(1 - 7 / 11))
     assert ds.dataset_cer(pairs(spark, rows)).first()[0] == both.cer and ds.dataset_cer(pairs(spark, rows), by_edits=True).first()[0] == both.edit_cer
+
+
+def test_postcorrection_pairs(spark):
+    df = pairs(spark, [("ACGT" * 20, "ACGA" + "ACGT" * 19), ("ACGT" * 20 + "T", "ACGT" * 20), ("A", "A" * 60), ("A", "A"), (None, "A" * 60)])
+    assert {r.i: r.sub for r in ds.postcorrection_pairs(df).collect()} == {0: "ACGT" * 20, 1: "ACGT" * 20}
