@@ -225,3 +225,8 @@ def test_dataset_cers_in_one_pass(spark):
 def test_postcorrection_pairs(spark):
     df = pairs(spark, [("ACGT" * 20, "ACGA" + "ACGT" * 19), ("ACGT" * 20 + "T", "ACGT" * 20), ("A", "A" * 60), ("A", "A"), (None, "A" * 60)])
     assert {r.i: r.sub for r in ds.postcorrection_pairs(df).collect()} == {0: "ACGT" * 20, 1: "ACGT" * 20}
+
+
+def test_edit_totals(spark):
+    df = pairs(spark, [("AC", "ACG"), (None, "AC"), ("A", None)]).withColumn("by", F.lit("x"))
+    assert [tuple(r) for r in ds.edit_totals(df, "by").collect()] == [("x", 1, 5)]
