@@ -230,3 +230,8 @@ def test_postcorrection_pairs(spark):
 def test_edit_totals(spark):
     df = pairs(spark, [("AC", "ACG"), (None, "AC"), ("A", None)]).withColumn("by", F.lit("x"))
     assert [tuple(r) for r in ds.edit_totals(df, "by").collect()] == [("x", 1, 5)]
+
+
+def test_tokens_may_be_missing(spark):
+    df = spark.createDataFrame([(["a", None], ["a", "b"]), ([None], [None]), ([], []), (["x"] * 300, ["y"] * 200), (["a"], None)], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(al.token_distance(F.col("a"), F.col("b"))).collect()] == [1, 0, 0, 300, None]
