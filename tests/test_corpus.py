@@ -375,3 +375,23 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert run() == {("2024-01-01 00:00:00", "a"): 1, ("2024-01-01 09:00:00", "a"): 1}
     write(2, [("2024-01-01 00:20:00", "a"), ("2024-01-01 09:20:00", "a"), ("2024-01-01 09:30:00", "b")])  # the first is late
     assert run() == {("2024-01-01 00:00:00", "a"): 1, ("2024-01-01 09:00:00", "a"): 2, ("2024-01-01 09:00:00", "b"): 1}
+
+
+def test_phoc_of_many_words(spark):
+    words = ["Brand#13", "a", "é😀", "", None, "ring", "Zz 0" * 40]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string").orderBy("i")
+    rows = df.select(sq.phoc(F.col("w")).alias("v"), sq.phoc_entries(F.col("w")).alias("e")).collect()
+    letters = "".join(sorted(" " + sq.ALPHANUMERIC))
+    for word, r in zip(words, rows, strict=True):
+        if word is None:
+            assert r.v is None and r.e is None
+            continue
+        want, n = [], len(word)
+        for level in (1, 2, 3, 5):
+            for i in range(level):
+                part = word[i * n // level : -(-(i + 1) * n // level)]
+                want += [sum(letters.find(c) + 1 == k for c in part) / max(1, len(part)) for k in range(64)]
+        assert r.v == want and [tuple(x) for x in r.e] == [(k, x) for k, x in enumerate(want) if x]
+    from graphemica.plans import catalogue as cat
+
+    assert "(5, 6)" in cat.SQL["phoc_words"] and "p_name" in cat.SQL["phoc_words"] and "vector" in cat.SQL["phoc_words"]
