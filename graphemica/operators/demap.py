@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.batches import points, texts_of
+from ..functions.batches import in_pieces, pieces, points, texts_of
 
 #: Contexts of a model that is sent to the workers; beyond, it is joined.
 SMALL = 2_000_000
+#: Bytes of text whose contexts are counted at once.
+_COUNTED = 1 << 20
 _EDGE = "\x02"
 
 
@@ -73,6 +75,9 @@ class Demapper:
         @F.arrow_udf("struct<text:string,confidence:double,n:int,correct:int>")
         def each(texts: pa.Array, gold: pa.Array) -> pa.Array:
             look = _Lookup.of(sent, width)
+            return in_pieces(lambda a, b: one(look, a, b), texts, gold)
+
+        def one(look: _Lookup, texts: pa.Array, gold: pa.Array) -> pa.Array:
             code, bounds = points(texts)
             target, confidence = look(code, bounds)
             made = look.spell(target, code, bounds)
@@ -165,7 +170,8 @@ def _counts(width: int):
     """(k, ctx, tgt, n) of a batch of (src, tgt): how often each target stood in each context."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # larger pieces, as a context is sent on once a piece
+        for batch in pieces(batches, 0, size=_COUNTED):
             code, bounds = points(batch.column(0))
             if not len(code):
                 continue
@@ -195,7 +201,7 @@ def _counts(width: int):
 class _Lookup:
     """A model by hashes of its contexts, whose code points are compared as well."""
 
-    _kept: tuple | None = None
+    _kept: list[tuple] = []
 
     def __init__(self, table: pa.Table, width: int):
         self.width, self.by_size = width, []
@@ -214,10 +220,15 @@ class _Lookup:
 
     @classmethod
     def of(cls, sent, width: int) -> _Lookup:
-        """The one of the model that this worker used last, or a new one."""
-        if cls._kept is None or cls._kept[0] is not sent.value:
-            cls._kept = sent.value, cls(sent.value, width)
-        return cls._kept[1]
+        """The one of a model that this worker used before, or a new one; of those used last as many are kept as have ``SMALL``
+        contexts in all."""
+        for table, look in cls._kept:
+            if table is sent.value:
+                return look
+        cls._kept = [*cls._kept, (sent.value, cls(sent.value, width))]
+        while len(cls._kept) > 1 and sum(len(table) for table, _ in cls._kept) > SMALL:
+            cls._kept = cls._kept[1:]
+        return cls._kept[-1][1]
 
     @staticmethod
     def _hash(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -269,9 +280,15 @@ def accuracy(predicted: DataFrame, truth: DataFrame, key: str, *by: str) -> Data
 
 def learning_curve(pairs: DataFrame, test: DataFrame, key: str, sizes: list[int], width: int = 1) -> DataFrame:
     """(size, n, correct, accuracy): models fitted on the first ``size`` pairs by key, all held against ``test``."""
+    models = {size: Demapper.fit(pairs.orderBy(key).limit(size), width) for size in sizes}
+    if all(m._sent() is not None for m in models.values()):
+        # all models in one pass over the test set, by the same workers
+        rows = test.filter((F.length("src") > 0) & (F.length("tgt") > 0)).select(*[m._whole(F.col("src"), F.col("tgt")).alias(f"x{k}") for k, m in enumerate(models.values())])
+        sums = rows.agg(*[F.coalesce(F.sum(F.col(f"x{k}.{c}").cast("long")), F.lit(0)).alias(f"{c}{k}") for k in range(len(models)) for c in ("n", "correct")])
+        each = F.array(*[F.struct(F.lit(size).alias("size"), F.col(f"n{k}").alias("n"), F.col(f"correct{k}").alias("correct")) for k, size in enumerate(models)])
+        return sums.select(F.explode(each).alias("x")).select("x.*", F.try_divide("x.correct", "x.n").alias("accuracy"))
     out = None
-    for size in sizes:
-        model = Demapper.fit(pairs.orderBy(key).limit(size), width)
+    for size, model in models.items():
         row = model.accuracy(test, key).select(F.lit(size).alias("size"), "n", "correct", "accuracy")
         out = row if out is None else out.unionByName(row)
     return out

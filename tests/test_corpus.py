@@ -395,3 +395,33 @@ def test_phoc_of_many_words(spark):
     from graphemica.plans import catalogue as cat
 
     assert "(5, 6)" in cat.SQL["phoc_words"] and "p_name" in cat.SQL["phoc_words"] and "vector" in cat.SQL["phoc_words"]
+
+
+def test_pieces_bound_what_is_worked_on(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphemica.functions import batches as ba
+
+    texts = pa.array(["abc", None, "", "é" * 200, "x" * 700, "y"])
+    cut = list(ba.pieces(iter([pa.record_batch([texts], names=["t"])]), 0, size=500))
+    assert [x for c in cut for x in c.column(0).to_pylist()] == texts.to_pylist() and all(c.num_rows == 1 or len("".join(filter(None, c.column(0).to_pylist())).encode()) <= 500 for c in cut)
+    assert ba.in_pieces(lambda t: t, texts).equals(texts) and [c.num_rows for c in ba.pieces(iter([pa.record_batch([texts.slice(0, 0)], names=["t"])]), 0)] == [0]
+    many = pa.array(["characters " * 100] * 8000)  # 8.8 MB, as a batch of Arrow may be
+    tracemalloc.start()
+    for piece in ba.pieces(iter([pa.record_batch([many], names=["t"])]), 0):
+        ba.points(piece.column(0))[0].astype("int64")
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
+def test_curve_in_one_pass_is_that_of_each_model(spark, monkeypatch):
+    from graphemica.operators import demap
+
+    rows = [(i, t.lower(), t) for i, t in enumerate(["Ab aB", "xYz", "AB é", "", "Zzz aB xY"] * 3)]
+    df = spark.createDataFrame(rows, "k int, src string, tgt string")
+    passes = []
+    monkeypatch.setattr(demap.Demapper, "accuracy", (lambda f: lambda self, *a: passes.append(1) or f(self, *a))(demap.Demapper.accuracy))
+    once = sorted(map(tuple, demap.learning_curve(df, df, "k", [1, 2, 9]).collect()))
+    assert not passes and once == sorted((size, *demap.Demapper.fit(df.orderBy("k").limit(size)).accuracy(df, "k").first()) for size in (1, 2, 9))
