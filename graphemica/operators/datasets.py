@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.align import align_substrings, edit_distance, edit_ops, matches, substituted, within
-from ..functions.batches import counted
+from ..functions.batches import counted, in_pieces, points, texts_of
 from ..functions.mapper import Mapper, char_class
 from .stats import cumulative
 
@@ -180,6 +183,25 @@ def windows(text: Column, size: int) -> Column:
     return F.when(n >= size, F.flatten(each)).otherwise(F.array().cast("array<string>"))
 
 
+def window_ends(text: Column, size: int) -> Column:
+    """Of all ``windows`` of a text a struct (n, firsts, lasts): how many there are, and their first and last characters, one text
+    each. The windows are views of the text's code points, so they take no room of their own."""
+
+    @F.arrow_udf("struct<n:int,firsts:string,lasts:string>")
+    def each(texts: pa.Array) -> pa.Array:
+        return in_pieces(ends, texts)
+
+    def ends(texts: pa.Array) -> pa.Array:
+        code, bounds = points(texts)
+        n = np.maximum(np.diff(bounds) - size + 1, 0)
+        views = [sliding_window_view(code[a:z], size) for a, z, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n.tolist(), strict=True) if k]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        side = lambda place: texts_of(np.concatenate([v[:, place] for v in views]) if views else code[:0], upto)
+        return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), side(0), side(size - 1)], ["n", "firsts", "lasts"], mask=texts.is_null())
+
+    return each(text)
+
+
 def pack_lines(lines: DataFrame, key: str, more_than: int = 50, order: str = "line_no") -> DataFrame:
     """(key, block, text): lines of a document joined until they are longer than ``more_than``; what is left at the end is a
     block of its own."""

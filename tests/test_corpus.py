@@ -425,3 +425,10 @@ def test_curve_in_one_pass_is_that_of_each_model(spark, monkeypatch):
     monkeypatch.setattr(demap.Demapper, "accuracy", (lambda f: lambda self, *a: passes.append(1) or f(self, *a))(demap.Demapper.accuracy))
     once = sorted(map(tuple, demap.learning_curve(df, df, "k", [1, 2, 9]).collect()))
     assert not passes and once == sorted((size, *demap.Demapper.fit(df.orderBy("k").limit(size)).accuracy(df, "k").first()) for size in (1, 2, 9))
+
+
+def test_window_ends(spark):
+    texts = ["abcdé😀g", "abc", "ab", "", None, "é" * 3000 + "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    for r, t in zip(df.select(ds.window_ends(F.col("t"), 3).alias("e"), ds.windows(F.col("t"), 3).alias("w")).collect(), texts, strict=True):
+        assert r.e is None if t is None else tuple(r.e) == (len(r.w), "".join(w[0] for w in r.w), "".join(w[2] for w in r.w))
