@@ -432,3 +432,17 @@ def test_window_ends(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
     for r, t in zip(df.select(ds.window_ends(F.col("t"), 3).alias("e"), ds.windows(F.col("t"), 3).alias("w")).collect(), texts, strict=True):
         assert r.e is None if t is None else tuple(r.e) == (len(r.w), "".join(w[0] for w in r.w), "".join(w[2] for w in r.w))
+
+
+def test_network_validates_each_window_once(spark):
+    import numpy as np
+
+    from graphemica.operators import network
+
+    net = network.Network.new("ab", "AB", width=1, hidden=4)
+    x, y = net.windows(np.array([97, 98] * 500, np.uint32), np.array([0, 1000])), np.array([0, 1] * 500)
+    first, often = network._distinct(x, y, 4)
+    assert len(first) == 4 and sorted(often.tolist()) == [1, 1, 499, 499]
+    n, loss, right = network.Network("ab", "AB", 1, net.weights).validate(spark.createDataFrame([("ab" * 500, "AB" * 500)], "src string, tgt string"))
+    p = net.shares(x)[0]
+    assert (n, right) == (1000, (p.argmax(1) == y).mean()) and loss == pytest.approx(-np.log(p[np.arange(1000), y]).mean())
