@@ -1,9 +1,10 @@
 """Demappers: models that reverse a map of characters, as tables of counts with backoff.
 
 A model tells what most often stood for a source character between its neighbours; where a context was never seen, a
-shorter one decides, and at last the character stays itself. Fitting counts within each Arrow batch and sums what is left.
-A model of at most ``SMALL`` contexts goes to every worker, which looks up whole batches in it; a larger one is joined. It is
-a table like any other: saved as Parquet, compared by alphabet.
+shorter one decides, and at last the character stays itself. Fitting counts the widest contexts of many Arrow batches and
+sums what is left; shorter ones are parts of these. Accuracy joins the counts of the test set with the model, which no worker
+holds. To transform texts, a model of at most ``SMALL`` contexts goes to every worker, which looks up whole batches in it; a
+larger one is joined. It is a table like any other: saved as Parquet, compared by alphabet.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..functions.batches import in_pieces, pieces, points, texts_of
 
 #: Contexts of a model that is sent to the workers; beyond, it is joined.
 SMALL = 2_000_000
-#: Bytes of text whose contexts are counted at once.
-_COUNTED = 1 << 20
+#: Distinct contexts that a task keeps before it sends them on.
+_KEPT = 1 << 19
 _EDGE = "\x02"
 
 
@@ -53,11 +54,11 @@ class Demapper:
         """From pairs (src, tgt) of equal length (others are left out), or, with ``pieces``, from that column of aligned
         parts, whose targets may be of any length. Ties go to the first target in order."""
         if pieces is None:
-            rows = pairs.filter((F.length("src") == F.length("tgt")) & (F.length("src") > 0)).select("src", "tgt")
+            rows = pairs.select("src", "tgt")
         else:
             src = F.array_join(F.transform(pieces, lambda p: p["src"]), "")
             rows = pairs.filter(F.size(pieces) > 0).select(src.alias("src"), F.transform(pieces, lambda p: p["tgt"]).alias("tgt"))
-        counts = rows.mapInArrow(_counts(width), "k int, ctx string, tgt string, n bigint").groupBy("k", "ctx", "tgt").agg(F.sum("n").alias("n"))
+        counts = _contexts_counted(rows, width, equal=pieces is None).select(F.explode(_levels("ctx", width)).alias("x"), "tgt", "n").groupBy("x.k", "x.ctx", "tgt").agg(F.sum("n").alias("n"))
         best = counts.groupBy("k", "ctx").agg(F.min(F.struct((-F.col("n")).alias("m"), "tgt")).alias("b"), F.sum("n").alias("n"))
         return cls(best.select("k", "ctx", "b.tgt", "n", (-F.col("b.m") / F.col("n")).alias("confidence")), width)
 
@@ -116,7 +117,18 @@ class Demapper:
         return rows.groupBy(key).agg(text.alias("text"), F.avg("confidence").alias("confidence"))
 
     def accuracy(self, pairs: DataFrame, key: str, *by: str) -> DataFrame:
-        """(by..., n, correct, accuracy) by character over pairs (key, src, tgt)."""
+        """(by..., n, correct, accuracy) by character over pairs (key, src, tgt). What a character becomes depends on its widest
+        context alone, so without ``by`` these are counted with their targets and only the counts meet the model."""
+        if not by:
+            counts = _contexts_counted(pairs.select("src", "tgt"), self.width)
+            each = counts.select(F.col("ctx").alias("whole"), F.col("tgt").alias("gold"), F.col("n").alias("times"), F.explode(_levels("ctx", self.width)).alias("x")).select("whole", "gold", "times", "x.*")
+            met = each.join(self.model.select("k", "ctx", "tgt"), ["k", "ctx"], "left")
+            # the widest known context is the greatest number, its lowest bit tells a hit
+            best = met.groupBy("whole", "gold", "times").agg(F.max(2 * F.col("k") + (F.col("tgt") == F.col("gold")).cast("int")).alias("b"))
+            hit = F.coalesce(F.col("b") % 2 == 1, F.substring("whole", self.width + 1, 1) == F.col("gold"))
+            n, correct = F.sum("times"), F.sum(F.when(hit, F.col("times")))
+            sums = best.agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(correct, F.lit(0)).alias("correct"))
+            return sums.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
         if self._sent() is None:
             return accuracy(self.characters(pairs, key), pairs, key, *by)
         rows = pairs.filter((F.length("src") > 0) & (F.length("tgt") > 0)).select(*by, self._whole(F.col("src"), F.col("tgt")).alias("x"))
@@ -166,38 +178,118 @@ def _ranked(x: np.ndarray) -> tuple[np.ndarray, int]:
     return rank[x], max(1, len(seen))
 
 
-def _counts(width: int):
-    """(k, ctx, tgt, n) of a batch of (src, tgt): how often each target stood in each context."""
+def _levels(ctx: str, width: int) -> Column:
+    """The contexts (k, ctx) of each width within the widest one."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.substring(ctx, width - k + 1, 2 * k + 1).alias("ctx")) for k in range(width + 1)])
+
+
+def _contexts_counted(pairs: DataFrame, width: int, equal: bool = False) -> DataFrame:
+    """(ctx, tgt, n) of (src, tgt): how often each target stood in each context of ``width`` characters on either side; with
+    ``equal`` of texts of equal length only."""
+    return pairs.mapInArrow(_counts(width, equal), "ctx string, tgt string, n bigint").groupBy("ctx", "tgt").agg(F.sum("n").alias("n"))
+
+
+def _counts(width: int, equal: bool = False):
+    """(ctx, tgt, n) of batches of (src, tgt), as far as both texts go; a target may be a list of what stands for each character."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # larger pieces, as a context is sent on once a piece
-        for batch in pieces(batches, 0, size=_COUNTED):
-            code, bounds = points(batch.column(0))
-            if not len(code):
-                continue
-            if pa.types.is_list(batch.column(1).type):
-                targets = batch.column(1).flatten().dictionary_encode()
-                words, target = targets.dictionary, targets.indices.to_numpy().astype(np.int64)
-            else:
-                letters = points(batch.column(1))[0]
-                seen = np.flatnonzero(np.bincount(letters))
-                words, target = pa.array([chr(c) for c in seen.tolist()], pa.string()), _ranked(letters)[0]
-            padded, at = _padded(code, bounds, width)
-            rank, letters = _ranked(padded)
-            ids, many = rank[at], letters
-            for k in range(width + 1):
-                if k:  # a context is its inner one between two more characters
-                    _, ids = np.unique((rank[at - k] * letters + rank[at + k]) * many + ids, return_inverse=True)
-                    ids = ids.reshape(-1)
-                    many = int(ids.max()) + 1
-                key, where, n = np.unique(ids * len(words) + target, return_index=True, return_counts=True)
-                spans = at[where][:, None] + np.arange(-k, k + 1)
-                context = texts_of(padded[spans].ravel().astype(np.uint32), np.arange(len(where) + 1) * (2 * k + 1))
-                yield pa.record_batch([pa.array(np.full(len(n), k, np.int32)), context, words.take(pa.array(key % len(words))), pa.array(n.astype(np.int64))], names=["k", "ctx", "tgt", "n"])
+        tally = _Tally(width)
+        for whole in batches:
+            listed = pa.types.is_list(whole.column(1).type)
+            for batch in pieces(iter([whole]), *((0,) if listed else (0, 1))):
+                code, bounds = points(batch.column(0))
+                padded, at = _padded(code, bounds, width)
+                if listed:
+                    targets = batch.column(1).flatten().dictionary_encode()
+                    words, target = targets.dictionary.to_pylist(), targets.indices.to_numpy().astype(np.int64)
+                else:
+                    letters, edges = points(batch.column(1))
+                    if not np.array_equal(bounds, edges):
+                        n = np.minimum(np.diff(bounds), np.diff(edges))
+                        if equal:
+                            n[np.diff(bounds) != np.diff(edges)] = 0
+                        pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        at, letters = at[np.repeat(bounds[:-1], n) + pos], letters[np.repeat(edges[:-1], n) + pos]
+                    seen = np.flatnonzero(np.bincount(letters)) if len(letters) else np.zeros(0, np.int64)
+                    words, target = [chr(c) for c in seen.tolist()], _ranked(letters)[0]
+                if len(at):
+                    yield from tally.add(padded, at, words, target)
+        yield from tally.rest()
 
     return each
 
 
+class _Tally:
+    """Counts of contexts with their targets, of one piece after another. A context and its target are one number of 63 bits
+    while the characters and the targets of all pieces are few enough; a piece of too many is counted alone."""
+
+    def __init__(self, width: int):
+        self.width, self.bits = width, 63 // (2 * width + 2)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.letters: dict[int, int] = {}
+        self.words: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, padded: np.ndarray, at: np.ndarray, words: list[str], target: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = np.flatnonzero(np.bincount(padded))
+        if max(len(self.letters.keys() | seen.tolist()), len(self.words.keys() | words)) > 1 << self.bits:
+            yield from self.rest()
+            if max(len(seen), len(words)) > 1 << self.bits:
+                yield from self._alone(padded, at, words, target)
+                return
+        rank = np.zeros(int(seen[-1]) + 1, np.int64)
+        rank[seen] = [self.letters.setdefault(c, len(self.letters)) for c in seen.tolist()]
+        known = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64)
+        ranks, key = rank[padded], np.zeros(len(at), np.int64)
+        for c in range(-self.width, self.width + 1):
+            key <<= self.bits
+            key |= ranks[at + c]
+        key <<= self.bits
+        key |= known[target]
+        self.parts.append(np.unique(key, return_counts=True))
+        if sum(len(k) for k, _ in self.parts) > 2 * _KEPT:
+            self._merge()
+            if len(self.parts[0][0]) > _KEPT:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        self.parts = [(key[first], np.add.reduceat(n[order], first))]
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What was counted, which begins anew."""
+        if self.parts:
+            self._merge()
+            (keys, counts), mask = self.parts[0], (1 << self.bits) - 1
+            letters, words = np.array(list(self.letters), np.uint32), pa.array(list(self.words), pa.string())
+            for i in range(0, len(keys), 1 << 16):
+                key = keys[i : i + (1 << 16)]
+                spans = np.stack([letters[key >> (self.bits * c) & mask] for c in range(2 * self.width + 1, 0, -1)], 1)
+                yield _counted_rows(spans, words.take(pa.array(key & mask)), counts[i : i + (1 << 16)])
+        self._clear()
+
+    def _alone(self, padded: np.ndarray, at: np.ndarray, words: list[str], target: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rank, letters = _ranked(padded)
+        ids, many = rank[at], letters
+        for k in range(1, self.width + 1):  # a context is its inner one between two more characters
+            _, ids = np.unique((rank[at - k] * letters + rank[at + k]) * many + ids, return_inverse=True)
+            ids = ids.reshape(-1)
+            many = int(ids.max()) + 1
+        key, where, n = np.unique(ids * len(words) + target, return_index=True, return_counts=True)
+        spans = padded[at[where][:, None] + np.arange(-self.width, self.width + 1)]
+        yield _counted_rows(spans, pa.array(words, pa.string()).take(pa.array(key % len(words))), n)
+
+
+def _counted_rows(contexts: np.ndarray, targets: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    spelt = texts_of(contexts.astype(np.uint32, copy=False).ravel(), np.arange(len(n) + 1) * contexts.shape[1])
+    return pa.record_batch([spelt, targets, pa.array(n.astype(np.int64))], names=["ctx", "tgt", "n"])
+
+
 class _Lookup:
     """A model by hashes of its contexts, whose code points are compared as well."""
 

@@ -446,3 +446,60 @@ def test_network_validates_each_window_once(spark):
     n, loss, right = network.Network("ab", "AB", 1, net.weights).validate(spark.createDataFrame([("ab" * 500, "AB" * 500)], "src string, tgt string"))
     p = net.shares(x)[0]
     assert (n, right) == (1000, (p.argmax(1) == y).mean()) and loss == pytest.approx(-np.log(p[np.arange(1000), y]).mean())
+
+
+def test_contexts_are_counted_across_batches(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from graphemica.operators import demap
+
+    texts = ["abcab" * 40, "", "é😀é", "a", "abcab" * 40, "".join(chr(c) for c in range(200, 1500)), "x\x02y"]
+    for width in (0, 1, 2, 3):
+        want = Counter()
+        for t in texts * 3:
+            edged = "\x02" * width + t + "\x02" * width
+            want.update((edged[i : i + 2 * width + 1], c.upper()[:1]) for i, c in enumerate(t))
+        upper = ["".join(c.upper()[:1] for c in t) for t in texts]
+        aligned = [[c.upper()[:1] for c in t] for t in texts]
+        for targets in (pa.array(upper), pa.array(aligned, pa.list_(pa.string()))):
+            batch = pa.record_batch([pa.array(texts), targets], names=["src", "tgt"])
+            for kept in (1 << 19, 1):  # all at the end, or whenever two are known
+                monkeypatch.setattr(demap, "_KEPT", kept)
+                out = list(demap._counts(width)(iter([batch] * 3)))
+                got = Counter()
+                for b in out:
+                    for c, t, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                        got[c, t] += n
+                assert got == want
+                # what moves does not grow with the number of batches, as far as the characters are few enough for one number
+                if kept > 1 and width < 2:
+                    assert sum(b.num_rows for b in out) == len(want)
+    # as far as both texts go, or of equal ones only
+    uneven = pa.record_batch([pa.array(["abc", None, "x"]), pa.array(["AB", "q", "XYZ"])], names=["src", "tgt"])
+    assert sorted(tuple(r.values()) for b in demap._counts(1)(iter([uneven])) for r in b.to_pylist()) == [("\x02ab", "A", 1), ("\x02x\x02", "X", 1), ("abc", "B", 1)]
+    assert not list(demap._counts(1, True)(iter([uneven])))
+
+
+def test_accuracy_sends_no_model(spark, monkeypatch):
+    from collections import Counter, defaultdict
+
+    rows = [(i, t and t.lower(), t) for i, t in enumerate(["Ab aB", "xYz", "AB é", "", "Zzz aB xY", "aB Ab ab", None] * 3)]
+    test = [(1, "ab xyz", "Ab xYz"), (2, "q", "Q"), (3, "zab", "ZA"), (4, "é", "éé"), (5, "", "x"), (6, None, None)]
+    pairs, held = (spark.createDataFrame(x, "k int, src string, tgt string") for x in ([*rows, (99, "ab", "QQQ"), (98, "ab", None)], test))
+    for width in (0, 1, 2):
+        contexts = lambda t, i, k: ("\x02" * k + t)[i : i + k] + t[i : i + k + 1] + "\x02" * max(0, i + k + 1 - len(t))
+        seen = defaultdict(Counter)
+        for _, s, t in rows:
+            for i in range(len(s or "")):
+                for k in range(width + 1):
+                    seen[contexts(s, i, k)][t[i]] += 1
+        best = {c: min(n, key=lambda t, n=n: (-n[t], t)) for c, n in seen.items()}
+        made = [(next((best[c] for k in range(width, -1, -1) if (c := contexts(s, i, k)) in best), s[i]), t[i]) for _, s, t in test if s and t for i in range(min(len(s), len(t)))]
+        with monkeypatch.context() as m:  # a model of any size is joined with the counts of the test set
+            m.setattr(Demapper, "_sent", lambda self: 1 / 0)
+            got = Demapper.fit(pairs, width).accuracy(held, "k").first()
+        right = sum(a == b for a, b in made)
+        assert tuple(got) == (len(made), right, right / len(made))
+    assert tuple(Demapper.fit(pairs, 1).accuracy(held.filter("k > 5"), "k").first()) == (0, 0, None)
