@@ -503,3 +503,29 @@ def test_accuracy_sends_no_model(spark, monkeypatch):
         right = sum(a == b for a, b in made)
         assert tuple(got) == (len(made), right, right / len(made))
     assert tuple(Demapper.fit(pairs, 1).accuracy(held.filter("k > 5"), "k").first()) == (0, 0, None)
+
+
+def _peak_of_counting(monkeypatch, make, batch):
+    """(what the step of ``make`` that counts in Arrow batches sends on for a batch, the most bytes that it held at once)."""
+    import tracemalloc
+
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    steps = []
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "mapInArrow", (lambda f: lambda self, func, *a, **k: steps.append(func) or f(self, func, *a, **k))(Classic.mapInArrow))
+        make()
+    tracemalloc.start()
+    out = [row for b in steps[0](iter([batch])) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_information_by_group_holds_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    corpus = spark.createDataFrame([("a", "x")], "lang string, text string")
+    batch = pa.record_batch([pa.array(["la", "de"] * 4000), pa.array(["characters é" * 90, "abc"] * 4000)], names=["lang", "text"])
+    out, peak = _peak_of_counting(monkeypatch, lambda: st.information(corpus, "lang"), batch)
+    assert peak < 24 << 20 and sum(r[-1] for r in out) == 4000 * (12 * 90 + 3) and sum(r[-1] for r in out if r[:2] == ("la", "é")) == 4000 * 90
