@@ -529,3 +529,20 @@ def test_information_by_group_holds_pieces(spark, monkeypatch):
     batch = pa.record_batch([pa.array(["la", "de"] * 4000), pa.array(["characters é" * 90, "abc"] * 4000)], names=["lang", "text"])
     out, peak = _peak_of_counting(monkeypatch, lambda: st.information(corpus, "lang"), batch)
     assert peak < 24 << 20 and sum(r[-1] for r in out) == 4000 * (12 * 90 + 3) and sum(r[-1] for r in out if r[:2] == ("la", "é")) == 4000 * 90
+
+
+def test_confusions_hold_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from graphemica.functions import align as al
+    from graphemica.functions import mapper as mp
+
+    pairs = spark.createDataFrame([("a", "b")], "src string, tgt string")
+    batch = pa.record_batch([pa.array(["characters e" * 90, "abc"] * 4000), pa.array(["characters é" * 90, "ab"] * 4000)], names=["src", "tgt"])
+    out, peak = _peak_of_counting(monkeypatch, lambda: al.positional_confusions(pairs), batch)
+    assert peak < 24 << 20 and sum(r[-1] for r in out) == 4000 * 12 * 90 and sum(r[-1] for r in out if r[:2] == ("e", "é")) == 4000 * 90
+    fold = Mapper({"é": "e", "a": "a"})
+    pieces = []
+    monkeypatch.setattr(mp, "_apply", (lambda f: lambda m, t: pieces.append(t.nbytes) or f(m, t))(mp._apply))
+    made = mp.in_pieces(lambda piece: mp._apply(fold, piece), batch.column(1))
+    assert len(pieces) > 10 and made[0].as_py() == fold("characters é" * 90) and len(made) == 8000
