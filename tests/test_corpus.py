@@ -546,3 +546,12 @@ def test_confusions_hold_pieces(spark, monkeypatch):
     monkeypatch.setattr(mp, "_apply", (lambda f: lambda m, t: pieces.append(t.nbytes) or f(m, t))(mp._apply))
     made = mp.in_pieces(lambda piece: mp._apply(fold, piece), batch.column(1))
     assert len(pieces) > 10 and made[0].as_py() == fold("characters é" * 90) and len(made) == 8000
+
+
+def test_missing_characters_hold_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    corpus = spark.createDataFrame([("a",)], "text string")
+    batch = pa.record_batch([pa.array(["characters é" * 90, None, "abc"] * 4000)], names=["text"])
+    out, peak = _peak_of_counting(monkeypatch, lambda: st.missing_characters(corpus, charset_table(spark, ["ascii"])), batch)
+    assert peak < 24 << 20 and sum(r[-1] for r in out) == 4000 * (12 * 90 + 3) and {r[0] for r in out} == set("characters éb")
