@@ -555,3 +555,27 @@ def test_missing_characters_hold_pieces(spark, monkeypatch):
     batch = pa.record_batch([pa.array(["characters é" * 90, None, "abc"] * 4000)], names=["text"])
     out, peak = _peak_of_counting(monkeypatch, lambda: st.missing_characters(corpus, charset_table(spark, ["ascii"])), batch)
     assert peak < 24 << 20 and sum(r[-1] for r in out) == 4000 * (12 * 90 + 3) and {r[0] for r in out} == set("characters éb")
+
+
+def test_long_text_is_counted_in_stretches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from graphemica.functions import batches as ba
+
+    corpus = spark.createDataFrame([("a", "x")], "lang string, text string")
+    batch = pa.record_batch([pa.array(["la"]), pa.array(["characters é😀" * 200_000])], names=["lang", "text"])  # one text of 3.2 MB
+    out, peak = _peak_of_counting(monkeypatch, lambda: st.information(corpus, "lang"), batch)
+    counts = collections.Counter()
+    for lang, c, n in out:
+        counts[lang, c] += n
+    assert peak < 16 << 20 and counts == {("la", c): n * 200_000 for c, n in collections.Counter("characters é😀").items()}
+    for size in (8, 9, 100, 1000):
+        texts = [pa.array(["aé€😀" * 50 + "z"]), pa.array(["😀a€é" * 50 + "é"])]
+        cut = list(ba.stretches(texts, size))
+        assert ["".join(part[k][0].as_py() for part in cut) for k in range(2)] == [t[0].as_py() for t in texts]
+        assert all(len(a[0].as_py()) == len(b[0].as_py()) for a, b in cut) and all(sum(len(t[0].as_py().encode()) for t in part) <= max(size, 16) for part in cut)
+    monkeypatch.setattr(ba, "_PIECE", 16)
+    rows = [("é" * 40 + "b", "e" * 40 + "b"), ("x" * 50, "y" * 49), (None, "z" * 60), ("a" * 30, None), ("ab", "cd")]
+    found = list(ba.pieces(iter([pa.record_batch([pa.array([a for a, _ in rows]), pa.array([b for _, b in rows])], names=["a", "b"])]), 0, 1))
+    kept = [(a, b) for p in found for part in ba._in_stretches(p, 0, 1) for a, b in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+    assert "".join(a for a, _ in kept) == "é" * 40 + "bab" and "".join(b for _, b in kept) == "e" * 40 + "bcd" and len(kept) > 4
