@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.charsets import UNKNOWN
-from .batches import in_pieces, points, raw, texts_of
+from .batches import in_pieces, points, raw, stretches, texts_of
 from .similarity import char_similarity, similarity_mapping
 
 
@@ -182,12 +182,18 @@ def _apply(mapper: Mapper, texts: pa.Array) -> pa.Array:
         out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes().translate(small)))
         return out if not texts.null_count else pc.if_else(pc.is_valid(texts), out, pa.scalar(None, pa.string()))
     if mapper.form and not unicodedata.is_normalized(mapper.form.upper(), data.tobytes().decode("utf-8", "surrogatepass")):
-        normal = pa.array([t and unicodedata.normalize(mapper.form.upper(), t) for t in texts.to_pylist()], pa.string())
-        code, bounds = points(normal)
-    else:
-        code, bounds = points(texts)
+        texts = pa.array([t and unicodedata.normalize(mapper.form.upper(), t) for t in texts.to_pylist()], pa.string())
+    if len(texts) != 1 or texts.null_count:
+        return _looked_up(table, mapper.unit, texts)
+    made = b"".join(raw(_looked_up(table, mapper.unit, part))[0].tobytes() for (part,) in stretches([texts]))  # it may be a long one
+    return pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(made)], np.int32)), pa.py_buffer(made))
+
+
+def _looked_up(table: np.ndarray, unit: str, texts: pa.Array) -> pa.Array:
+    """The image of every character of ``texts``."""
+    code, bounds = points(texts)
     out = table[code]
-    if mapper.unit == "utf16" and (code > 0xFFFF).any():
+    if unit == "utf16" and (code > 0xFFFF).any():
         twice = 1 + (code > 0xFFFF).astype(np.int64)
         out, bounds = np.repeat(out, twice), np.concatenate(([0], np.cumsum(twice)))[bounds]
     return texts_of(out, bounds, texts)

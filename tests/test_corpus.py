@@ -579,3 +579,32 @@ def test_long_text_is_counted_in_stretches(spark, monkeypatch):
     found = list(ba.pieces(iter([pa.record_batch([pa.array([a for a, _ in rows]), pa.array([b for _, b in rows])], names=["a", "b"])]), 0, 1))
     kept = [(a, b) for p in found for part in ba._in_stretches(p, 0, 1) for a, b in zip(*(c.to_pylist() for c in part.columns), strict=True)]
     assert "".join(a for a, _ in kept) == "é" * 40 + "bab" and "".join(b for _, b in kept) == "e" * 40 + "bcd" and len(kept) > 4
+
+
+def test_long_text_is_mapped_and_compared_in_stretches(spark, monkeypatch):
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    from graphemica.functions import align as al
+    from graphemica.functions import batches as ba
+    from graphemica.functions import mapper as mp
+
+    text, plain = "characters é" * 250_000, "characters e" * 250_000  # 3 MB each
+    fold = Mapper({"é": "e"} | {c: c for c in "characters "}, unknown="?")
+    mp._apply(fold, pa.array(["é"]))  # the table of the map is kept
+    tracemalloc.start()
+    made = ba.in_pieces(lambda piece: mp._apply(fold, piece), pa.array([text]))
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text) and made.to_pylist() == [plain]
+    tracemalloc.stop()
+    pairs = spark.createDataFrame([("a", "b")], "src string, tgt string")
+    for tgt, n in ((text, 250_000), (text[:-1], 0)):
+        batch = pa.record_batch([pa.array([plain]), pa.array([tgt])], names=["src", "tgt"])
+        out, peak = _peak_of_counting(monkeypatch, lambda: al.positional_confusions(pairs), batch)
+        assert peak < 16 << 20 and sum(r[-1] for r in out) == 12 * n and sum(r[-1] for r in out if r[:2] == ("e", "é")) == n
+    monkeypatch.setattr(ba, "_PIECE", 16)
+    texts = ["e\u0301😀a" * 30, "é€a" * 30, "", None, "a" * 90, "é"]  # of more bytes than a piece, and of the other normal form
+    for m in (Mapper({"é": "e", "a": "ß"}), Mapper({"é": "e"}, unit="utf16"), Mapper({"a": "b", "😀": "é"}, form=None), Mapper({"e": "x"}, form="nfd")):
+        assert ba.in_pieces(lambda piece, m=m: mp._apply(m, piece), pa.array(texts)).to_pylist() == [t if t is None else m(t) for t in texts]
+    assert unicodedata.is_normalized("NFC", texts[1]) and not unicodedata.is_normalized("NFC", texts[0])
