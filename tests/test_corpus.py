@@ -608,3 +608,14 @@ def test_long_text_is_mapped_and_compared_in_stretches(spark, monkeypatch):
     for m in (Mapper({"é": "e", "a": "ß"}), Mapper({"é": "e"}, unit="utf16"), Mapper({"a": "b", "😀": "é"}, form=None), Mapper({"e": "x"}, form="nfd")):
         assert ba.in_pieces(lambda piece, m=m: mp._apply(m, piece), pa.array(texts)).to_pylist() == [t if t is None else m(t) for t in texts]
     assert unicodedata.is_normalized("NFC", texts[1]) and not unicodedata.is_normalized("NFC", texts[0])
+
+
+def test_missing_characters_of_a_long_text(spark, monkeypatch):
+    import pyarrow as pa
+
+    corpus = spark.createDataFrame([("a" * 70_000 + "é" * 200_000 + "€",), ("b",), (None,)], "text string")  # the last character of all lies beyond a piece
+    sets = charset_table(spark, ["ascii"])
+    assert [tuple(r) for r in st.missing_characters(corpus, sets).collect()] == [("ascii", "é€")]
+    batch = pa.record_batch([pa.array(["b", "aé" * 1_500_000 + "€", None])], names=["text"])  # 4.5 MB in one text
+    out, peak = _peak_of_counting(monkeypatch, lambda: st.missing_characters(corpus, sets), batch)
+    assert peak < 16 << 20 and {c: sum(n for d, n in out if d == c) for c, _ in out} == {"a": 1_500_000, "é": 1_500_000, "€": 1, "b": 1}
